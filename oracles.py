@@ -204,10 +204,6 @@ metrics AS (SELECT substr(o_orderpriority, 3) AS "MetricName",
 {select}"""
 
 
-def metric_columns(values):
-    return f"""SELECT {values}, 'V2' AS "MetricVersion" """
-
-
 MOMENT = "TIMESTAMP '2021-09-17 10:00:00'"
 
 ORACLES = {
@@ -222,7 +218,8 @@ WHERE k."Flag" = 'Yes'""",
     "metric_feed": f"""WITH {audit('minute')}
 SELECT * FROM savepoint_metrics UNION ALL SELECT * FROM manifest_metrics""",
     "capture_rejects": f"""WITH {audit('minute')}
-SELECT "TaskId", "BatchId", "RecordsReceived", 'unknown task' AS "Reason" FROM manifest
+SELECT "TaskId", "BatchId", CAST("RecordsReceived" AS INTEGER) AS "RecordsReceived",
+  'unknown task' AS "Reason" FROM manifest
 WHERE "TaskId" = 'purchase'""",
     "bulk_metrics": bulk("""SELECT row_number() OVER (ORDER BY "SourceName", "MetricName") AS "metricDataId",
   "MetricId", "SourceId", '20211028' AS "BatchId", 'V2' AS "MetricVersion", 50 AS "MetricValue",
@@ -242,8 +239,8 @@ WHERE n = 1""",
     "recon_by_batch_customers": f"WITH {recon_tables('customer')}, {by_batch()} SELECT {LOG} FROM folded",
     "recon_log": f"""WITH {recon_tables('customer')}, {by_batch()}
 SELECT row_number() OVER (ORDER BY map, batch) AS "ReconLogId", {LOG} FROM folded""",
-    "comparisons_of": """SELECT s_suppkey AS "ComparisionId", s_nationkey AS "SourceId",
-  s_suppkey % 25 AS "TargetId" FROM supplier WHERE s_nationkey = 1 OR s_suppkey % 25 = 1""",
+    "comparisons_of": """SELECT CAST(s_suppkey AS INTEGER) AS "ComparisionId", s_nationkey AS "SourceId",
+  CAST(s_suppkey % 25 AS INTEGER) AS "TargetId" FROM supplier WHERE s_nationkey = 1 OR s_suppkey % 25 = 1""",
     "insert_absent_rows": f"""SELECT orderkey, status FROM ({LINES}) e
 UNION SELECT orderkey, status FROM ({HEADS}) i""",
     "insert_absent_keys": first_per_key(

@@ -5,14 +5,13 @@ from pyspark.sql import functions as F
 from tallyline import codes
 
 
-def change_rank(op):
-    """1 for an insert, 2 for an update, 3 for anything else."""
-    return F.when(op == codes.INSERT, 1).when(op == codes.UPDATE, 2).otherwise(3)
-
-
-def distinct_ids(*ids):
-    """Array of the different non-null ids of a row."""
-    return F.array_distinct(F.array_compact(F.array(*ids)))
+def distinct_ids(first, second):
+    """Array of the different ids of a row; a null one only where both are null."""
+    return (
+        F.when(second.isNull() | (first == second), F.array(first))
+        .when(first.isNull(), F.array(second))
+        .otherwise(F.array(first, second))
+    )
 
 
 def within_threshold(deviation, threshold):
@@ -31,13 +30,5 @@ def required(value, problem):
     return F.when(value.isNull(), F.raise_error(problem)).otherwise(value)
 
 
-def null_safe_equal(left, right, names):
-    """Join condition over `names` in which nulls are equal."""
-    condition = F.lit(True)
-    for name in names:
-        condition = condition & left[name].eqNullSafe(right[name])
-    return condition
-
-
 def seconds(moment):
     return F.date_trunc("second", moment)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyline import codes
 from tallyline.functions.columns import required
-from tallyline.operators.lookup import add_id, without_id
+from tallyline.operators.lookup import add_id, join_definitions
 from tallyline.operators.ordered import (
     SIZE,
     START,
@@ -96,10 +96,10 @@ def metric_feed(savepoint, manifest, tasks, created, user, version=codes.METRIC_
 
 def capture_rejects(audit, tasks, count):
     """Audit rows the non-strict capture leaves out: unknown task or no count."""
-    unknown = without_id(audit, tasks, "TaskId").withColumn("Reason", F.lit("unknown task"))
-    known = audit.join(tasks.select("TaskId").distinct(), "TaskId", "left_semi")
-    uncounted = known.where(F.col(count).isNull()).withColumn("Reason", F.lit("no count"))
-    return unknown.unionByName(uncounted)
+    known = tasks.select("TaskId", F.lit(True).alias("_known")).distinct()
+    reason = F.when(F.col("_known").isNull(), "unknown task").when(F.col(count).isNull(), "no count")
+    rejected = join_definitions(audit, known, ["TaskId"], "left").withColumn("Reason", reason)
+    return rejected.where(F.col("Reason").isNotNull()).select(*audit.columns, "Reason")
 
 
 def bulk_metrics(pairs, sources, metrics, batch, value, created, user,

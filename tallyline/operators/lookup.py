@@ -4,6 +4,9 @@ from pyspark.sql import functions as F
 
 from tallyline.functions.columns import required
 
+SALT = "_salt"
+SALTS = 16
+
 
 def latest_per_key(df, keys):
     """One row per key: the largest by the remaining columns.
@@ -17,18 +20,29 @@ def latest_per_key(df, keys):
     return best.select(*[F.col(c) if c in keys else F.col(f"_best.{c}").alias(c) for c in df.columns])
 
 
+def join_definitions(df, definitions, on, how="inner", salts=SALTS):
+    """Join many rows, a few keys of which may hold most of them, with one definition per key.
+
+    Spark broadcasts the definitions when their size is below its threshold. Beyond it both sides
+    are shuffled by key and salt: the rows of a key are spread by their content, and AQE can split
+    what is left, as neither side brings a partitioning of its own. The salt depends on the row
+    alone, so a task that runs again sends its rows the same way.
+    """
+    rows = df.withColumn(SALT, F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+    spread = definitions.withColumn(
+        SALT, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
+    )
+    return rows.join(spread, [*on, SALT], how).drop(SALT)
+
+
 def add_id(df, definitions, name, id_column, strict=True):
     """Add `id_column`, looked up by `name`; an unknown name fails the job, or is left out.
 
-    Spark broadcasts the definitions only when their size is below its threshold.
+    Of several definitions of one name the largest id counts.
     """
     ids = definitions.groupBy(name).agg(F.max(id_column).alias(id_column))
     if not strict:
-        return df.join(ids, name, "inner")
+        return join_definitions(df, ids, [name])
     problem = F.concat(F.lit(f"no {id_column} for {name} "), F.coalesce(F.col(name), F.lit("null")))
-    return df.join(ids, name, "left").withColumn(id_column, required(F.col(id_column), problem))
-
-
-def without_id(df, definitions, name):
-    """Rows whose `name` is not defined."""
-    return df.join(definitions.select(name), name, "left_anti")
+    found = join_definitions(df, ids, [name], "left")
+    return found.withColumn(id_column, required(F.col(id_column), problem))

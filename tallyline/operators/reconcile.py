@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyline import codes
 from tallyline.functions.columns import id_list, within_threshold
-from tallyline.operators.lookup import latest_per_key
+from tallyline.operators.lookup import join_definitions, latest_per_key
 from tallyline.operators.ordered import number_rows
 
 MAP_ID = "MetricComparisionMapId"
@@ -102,9 +102,10 @@ def recon_by_batch(maps, definitions, tracker, metric_data, map_ids=None, on_mis
     if map_ids is not None:
         tracked = tracked.where(F.col(MAP_ID).isin(id_list(map_ids)))
     definitions = latest_per_key(definitions.select(*DEFINITION_COLUMNS), ["ComparisionId"])
-    compared = (
-        tracked.select(MAP_ID, "BatchId").distinct()
-        .join(_maps(maps, map_ids).join(definitions, "ComparisionId"), MAP_ID)
+    compared = join_definitions(
+        tracked.select(MAP_ID, "BatchId").distinct(),
+        _maps(maps, map_ids).join(definitions, "ComparisionId"),
+        [MAP_ID],
     )
 
     # one narrow row per metric, system and batch, matched once for each side

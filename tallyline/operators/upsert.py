@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from tallyline.functions.columns import null_safe_equal
 from tallyline.operators.select import conform
 
 ORIGIN = "_origin"
@@ -39,9 +38,9 @@ def rows_to_append(existing, incoming, keys):
     incoming = conform(incoming, existing.schema)
     rest = [c for c in existing.columns if c not in keys]
     kept = incoming.groupBy(*keys).agg(F.min(F.struct(F.lit(1), *rest)).alias("_kept"))
-    asked, stored = incoming.select(*keys), existing.select(*[F.col(k).alias(f"_at_{k}") for k in keys])
+    stored = existing.select(*[F.col(k).alias(f"_at_{k}") for k in keys])
     same = [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in keys]
-    present = stored.join(asked, same, "left_semi").distinct()
+    present = stored.join(incoming.select(*keys).distinct(), same, "left_semi").distinct()
     return kept.join(present, same, "left_anti").select(*[
         F.col(c) if c in keys else F.col(f"_kept.{c}").alias(c) for c in existing.columns
     ])
