@@ -1,0 +1,95 @@
+import pytest
+
+from tallyline.operators import reconcile
+
+MAPS = "MetricComparisionMapId int, MetricId int, ComparisionId int, ThresholdPercentage int"
+DEFS = "ComparisionId int, SourceId int, TargetId int"
+DATA = "MetricId int, SourceId int, BatchId string, MetricVersion string, MetricValue long"
+TRACKER = "MetricComparisionMapId int, BatchId string, MetricComparisionStatus string"
+
+
+def by_map(spark, data, maps=((1, 7, 1, 5),), defs=((1, 1, 2),), ids=None):
+    log = reconcile.recon_by_map(
+        spark.createDataFrame(list(maps), MAPS), spark.createDataFrame(list(defs), DEFS),
+        spark.createDataFrame(list(data), DATA), ids,
+    )
+    return {r.MetricComparisionMapId: tuple(r)[1:] for r in log.collect()}
+
+
+def by_batch(spark, data, tracked=((1, "b1", "New"),), maps=((1, 7, 1, 5),), defs=((1, 1, 2),), **options):
+    log = reconcile.recon_by_batch(
+        spark.createDataFrame(list(maps), MAPS), spark.createDataFrame(list(defs), DEFS),
+        spark.createDataFrame(list(tracked), TRACKER), spark.createDataFrame(list(data), DATA), **options,
+    )
+    return {(r.MetricComparisionMapId, r.MetricBatch): tuple(r)[2:] for r in log.collect()}
+
+
+@pytest.mark.parametrize("target, status", [(105, "Passed"), (95, "Passed"), (106, "Failed"), (94, "Failed")])
+def test_deviation_equal_to_the_threshold_passes(spark, target, status):
+    data = [(7, 1, "b1", "V2", 100), (7, 2, "b1", "V2", target)]
+    row = ("V2", 1, 100, 2, target, 5, abs(target - 100), status)
+    assert by_map(spark, data) == {1: ("b1", *row)}
+    assert by_batch(spark, data) == {(1, "b1"): row}
+
+
+def test_a_zero_keeps_the_earlier_value(spark):
+    data = [(7, 1, "b1", "V2", 100), (7, 1, "b2", "V2", 0), (7, 2, "b3", "V3", 101)]
+    assert by_map(spark, data) == {1: ("b3", "V3", 1, 100, 2, 101, 5, 1, "Passed")}
+    same_batch = [(7, 1, "b1", "V1", 100), (7, 1, "b1", "V2", 0), (7, 2, "b1", "V1", 101)]
+    assert by_batch(spark, same_batch) == {(1, "b1"): ("V2", 1, 100, 2, 101, 5, 1, "Passed")}
+
+
+def test_only_zeros_are_a_known_side_of_zero(spark):
+    data = [(7, 1, "b1", "V2", 0), (7, 2, "b1", "V2", 3)]
+    assert by_map(spark, data) == {1: ("b1", "V2", 1, 0, 2, 3, 5, 3, "Passed")}
+    assert by_batch(spark, data) == {(1, "b1"): ("V2", 1, 0, 2, 3, 5, 3, "Passed")}
+
+
+def test_one_side_missing(spark):
+    data = [(7, 1, "b1", "V2", 100)]
+    assert by_map(spark, data) == {1: ("b1", "V2", 1, 100, 0, 0, 5, 100, "Failed")}
+    assert by_batch(spark, data) == {(1, "b1"): ("V2", 1, 100, 0, 0, 5, 100, "Failed")}
+
+
+def test_same_system_on_both_sides(spark):
+    data, defs = [(7, 1, "b1", "V2", 100)], [(1, 1, 1)]
+    assert by_map(spark, data, defs=defs) == {1: ("b1", "V2", 1, 100, 1, 100, 5, 0, "Passed")}
+    assert by_batch(spark, data, defs=defs) == {(1, "b1"): ("V2", 1, 100, 0, 0, 5, 100, "Failed")}
+
+
+def test_no_metric_rows(spark):
+    data = [(8, 1, "b1", "V2", 100), (7, 1, "b2", "V2", 1)]
+    assert by_map(spark, data[:1]) == {}
+    assert by_batch(spark, data) == {(1, "b1"): ("", 0, 0, 0, 0, 0, 0, "Passed")}
+    assert by_batch(spark, data, on_missing="skip") == {}
+
+
+def test_differences_wider_than_int(spark):
+    data = [(7, 1, "b1", "V2", -(2**31)), (7, 2, "b1", "V2", 2**31 - 1)]
+    assert by_map(spark, data)[1][-2:] == (2**32 - 1, "Failed")
+    assert by_batch(spark, data)[(1, "b1")][-2:] == (2**32 - 1, "Failed")
+
+
+def test_only_listed_maps_and_new_batches(spark):
+    maps = [(1, 7, 1, 5), (2, 7, 1, 9), (3, 7, 1, 9)]
+    data = [(7, 1, "b1", "V2", 100), (7, 2, "b1", "V2", 100)]
+    assert set(by_map(spark, data, maps, ids="1,3")) == {1, 3}
+    assert set(by_map(spark, data, maps, ids=[2])) == {2}
+    tracked = [(1, "b1", "New"), (1, "b1", "New"), (2, "b1", "Done"), (3, "b1", "New")]
+    assert set(by_batch(spark, data, tracked, maps)) == {(1, "b1"), (3, "b1")}
+    assert set(by_batch(spark, data, tracked, maps, map_ids=[1, 2])) == {(1, "b1")}
+
+
+def test_log_numbers(spark):
+    maps = [(n, 7, 1, 5) for n in range(1, 21)]
+    log = reconcile.recon_by_map(
+        spark.createDataFrame(maps, MAPS), spark.createDataFrame([(1, 1, 2)], DEFS),
+        spark.createDataFrame([(7, 1, "b1", "V2", 1)], DATA),
+    )
+    found = reconcile.number_log(log, start=4).collect()
+    assert sorted((r.ReconLogId, r.MetricComparisionMapId) for r in found) == [(n + 3, n) for n in range(1, 21)]
+
+
+def test_comparisons_of_a_system(spark):
+    defs = spark.createDataFrame([(1, 1, 2), (2, 3, 1), (3, 2, 3), (4, 1, 1)], DEFS)
+    assert sorted(r.ComparisionId for r in reconcile.comparisons_of(defs, 1).collect()) == [1, 2, 4]
