@@ -8,8 +8,15 @@ from pyspark.sql import Window, functions as F
 SYSTEM_PAIRS = [(1, 1, 2), (2, 2, 1), (3, 1, 1), (4, 1, 9)]
 
 
+SCHEMAS = {}
+
+
 def read(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; its schema is kept, so that reading it again starts no job."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in SCHEMAS:
+        SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(SCHEMAS[path]).parquet(path)
 
 
 def _day(at):

@@ -7,9 +7,11 @@ over the few slices, and the window only ever sees one slice.
 
 from pyspark.sql import Window, functions as F
 
-from tallyline.session import shared_folder
+from tallyline.session import scratch_path
 
 SLICE = "_slice"
+POSITION = "_position"
+SLICE_BITS = 33
 START = "_start"
 SIZE = "_size"
 
@@ -41,14 +43,19 @@ def spread_copies(chunks, position):
     ).drop(START, SIZE)
 
 
-def cut_by_order(df, order):
-    """`df` with the number of its range slice.
+def _written(df):
+    """`df` from a table in the shared folder, so that every reader sees the same rows in it.
 
-    Range bounds come from a sample and may differ between runs of a plan, so the slices are
-    checkpointed: both readers below must see the same ones.
+    Range bounds come from a sample and may differ between two runs of one plan.
     """
-    shared_folder(df.sparkSession)
-    return df.repartitionByRange(*order).withColumn(SLICE, F.spark_partition_id()).checkpoint()
+    path = scratch_path(df.sparkSession, "ordered")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def cut_by_order(df, order):
+    """`df` with the number of its range slice."""
+    return _written(df.repartitionByRange(*order).withColumn(SLICE, F.spark_partition_id()))
 
 
 def _before(df, by, order, value, name, aggregate, combine):
@@ -88,6 +95,19 @@ def sum_before(df, order, value, name):
 
 
 def number_rows(df, order, name, start=1):
-    """Consecutive BIGINT ids from `start` in `order`, as the first column."""
-    numbered = sum_before(df, order, F.lit(1).cast("bigint"), "_earlier")
-    return numbered.select((F.col("_earlier") + start).alias(name), *df.columns)
+    """Consecutive BIGINT ids from `start` in `order`, as the first column.
+
+    Each sorted slice numbers its own rows; only the sizes of the slices are put together.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the upper bits count the slices, the lower ones the rows of a slice
+    counted = _written(ranged.withColumn(POSITION, F.monotonically_increasing_id()))
+    slice_of = F.shiftright(POSITION, SLICE_BITS)
+    row_of = F.col(POSITION).bitwiseAND(F.lit((1 << SLICE_BITS) - 1))
+
+    sizes = counted.groupBy(slice_of.alias("_at")).agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_at", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
+    return counted.join(offsets, slice_of == F.col("_at")).select(
+        (F.col("_offset") + row_of + start).alias(name), *df.columns
+    )

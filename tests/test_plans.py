@@ -1,0 +1,136 @@
+"""What the plans look like when one key holds most of the rows, and what they must not contain."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from tallyline.operators import capture, changelog, reconcile, upsert
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+def ran(df):
+    """The plan Spark ended up with, after the rows were all read."""
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+@pytest.fixture
+def crowded(conf):
+    """Joins without broadcasts, and a low mark for what AQE calls skewed."""
+    conf(
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="2k",
+        spark__sql__adaptive__skewJoin__skewedPartitionFactor="1.5",
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="2k",
+        spark__sql__adaptive__coalescePartitions__enabled="false",
+    )
+
+
+def third(n):
+    """A key that takes a third of the rows."""
+    return F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).cast("int")
+
+
+def test_a_hot_id_is_split_in_the_change_log(spark, crowded, tmp_path):
+    rows = spark.range(0, 60_000, 1, 16).select(
+        third(3).alias("id_new"), F.lit(None).cast("int").alias("id_old"), F.lit("U").alias("op_code"),
+        F.lit(5).alias("op_time"), F.col("id").alias("note"),
+    )
+    rows.write.parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    found = changelog.compact_changes(log)
+    assert "SortMergeJoin(skew=true)" in ran(found)
+    assert found.count() == 60_000
+
+
+def test_a_hot_task_is_split_in_a_lookup(spark, crowded):
+    audit = spark.range(0, 60_000, 1, 16).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), "id")).alias("TaskId"),
+        F.lit("b").alias("BatchId"), F.lit(1).alias("RecordsProcesssed"),
+    )
+    tasks = audit.select("TaskId").distinct().withColumn("MetricId", F.lit(1))
+    # equal rows share a salt, so AQE has to split them
+    found = capture.savepoint_metrics(audit, tasks, "", "")
+    assert "SortMergeJoin(skew=true)" in ran(found)
+    assert found.count() == 60_000
+
+
+def test_a_hot_map_is_spread_over_salts(spark, crowded):
+    tracker = spark.range(0, 30_000, 1, 16).select(
+        third(3).alias("MetricComparisionMapId"), F.col("id").cast("string").alias("BatchId"),
+        F.lit("New").alias("MetricComparisionStatus"),
+    )
+    maps = tracker.select(
+        "MetricComparisionMapId", F.lit(1).alias("MetricId"), F.lit(1).alias("ComparisionId"),
+        F.lit(1).alias("ThresholdPercentage"),
+    ).distinct()
+    defs = spark.createDataFrame([(1, 1, 2)], "ComparisionId int, SourceId int, TargetId int")
+    data = tracker.select(
+        F.lit(1).alias("MetricId"), F.lit(1).alias("SourceId"), "BatchId",
+        F.lit("V").alias("MetricVersion"), F.lit(3).cast("long").alias("MetricValue"),
+    )
+    found = reconcile.recon_by_batch(maps, defs, tracker, data)
+    assert re.search(r"SortMergeJoin.*\[MetricComparisionMapId#\d+, _salt", ran(found))
+    assert found.count() == 30_000
+
+
+def test_hot_keys_are_reduced_before_the_shuffle(spark):
+    rows = spark.range(0, 90_000, 1, 8).select(
+        third(3).alias("k"), F.col("id").alias("v"), F.lit("x").alias("s")
+    )
+    hot = rows.where("k = 7")
+    for df in (
+        upsert.insert_absent_keys(hot, hot, ["k"]),
+        upsert.insert_absent_rows(hot.select("k", "s"), hot.select("k", "s")),
+    ):
+        ran(df)
+        written = [int(n.replace(",", "")) for n in re.findall(
+            r"shuffle records written: ([\d,]+)", _metrics(df))]
+        assert written and max(written) <= 2 * 8
+
+
+def _metrics(df):
+    """Shuffle record counts of the exchanges of an executed plan."""
+    plan, found = df._jdf.queryExecution().executedPlan(), []
+
+    def walk(node):
+        metrics = node.metrics()
+        if metrics.contains("shuffleRecordsWritten"):
+            found.append(f"shuffle records written: {metrics.apply('shuffleRecordsWritten').value()}")
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            walk(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            walk(node.plan())
+        children = node.children()
+        for i in range(children.size()):
+            walk(children.apply(i))
+
+    walk(plan)
+    return "\n".join(found)
+
+
+def test_filters_and_columns_reach_the_scan(spark, conf):
+    conf(spark__sql__maxMetadataStringLength="1000")
+    plan = ran(entry.queries()["select_where"](spark, SF_DIR))
+    assert "EqualTo(l_returnflag,R)" in plan and "GreaterThan(l_quantity,25.0)" in plan
+    assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double,l_returnflag:string>" in plan
+
+
+def test_metric_data_is_reduced_once_per_batch_reconciliation(spark, conf):
+    """Both sides use the same reduced rows."""
+    conf(spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__autoBroadcastJoinThreshold="-1")
+    plan = ran(entry.queries()["recon_by_batch_customers"](spark, SF_DIR))
+    assert "ReusedExchange" in plan
+
+
+@pytest.mark.parametrize("name", sorted(entry.queries()))
+def test_no_pair_joins_and_no_python_rows(spark, name):
+    plan = entry.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "MapInPandas"):
+        assert operator not in plan
