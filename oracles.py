@@ -222,7 +222,7 @@ SELECT "TaskId", "BatchId", CAST("RecordsReceived" AS INTEGER) AS "RecordsReceiv
   'unknown task' AS "Reason" FROM manifest
 WHERE "TaskId" = 'purchase'""",
     "bulk_metrics": bulk("""SELECT row_number() OVER (ORDER BY "SourceName", "MetricName") AS "metricDataId",
-  "MetricId", "SourceId", '20211028' AS "BatchId", 'V2' AS "MetricVersion", 50 AS "MetricValue",
+  "MetricId", "SourceId", '20211028' AS "BatchId", 'V2' AS "MetricVersion", CAST(50 AS BIGINT) AS "MetricValue",
   '20211028' AS "CreatedTimeSTamp", 'bulk' AS "CreatedBy"
 FROM pairs JOIN sources USING ("SourceName") JOIN metrics USING ("MetricName")"""),
     "latest_metric_rows": f"""WITH {recon_tables('customer')}

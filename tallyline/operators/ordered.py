@@ -7,7 +7,7 @@ over the few slices, and the window only ever sees one slice.
 
 from pyspark.sql import Window, functions as F
 
-from tallyline.session import scratch_path
+from tallyline.session import written
 
 SLICE = "_slice"
 POSITION = "_position"
@@ -43,19 +43,14 @@ def spread_copies(chunks, position):
     ).drop(START, SIZE)
 
 
-def _written(df):
-    """`df` from a table in the shared folder, so that every reader sees the same rows in it.
+def cut_by_order(df, order):
+    """`df` with the number of its range slice.
 
-    Range bounds come from a sample and may differ between two runs of one plan.
+    Range bounds come from a sample and may differ between two runs of one plan, so the slices are
+    written to the shared folder: both readers below must see the same ones.
     """
-    path = scratch_path(df.sparkSession, "ordered")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def cut_by_order(df, order):
-    """`df` with the number of its range slice."""
-    return _written(df.repartitionByRange(*order).withColumn(SLICE, F.spark_partition_id()))
+    ranged = df.repartitionByRange(*order).withColumn(SLICE, F.spark_partition_id())
+    return written(ranged, "slices")
 
 
 def _before(df, by, order, value, name, aggregate, combine):
@@ -101,7 +96,7 @@ def number_rows(df, order, name, start=1):
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     # the upper bits count the slices, the lower ones the rows of a slice
-    counted = _written(ranged.withColumn(POSITION, F.monotonically_increasing_id()))
+    counted = written(ranged.withColumn(POSITION, F.monotonically_increasing_id()), "numbered")
     slice_of = F.shiftright(POSITION, SLICE_BITS)
     row_of = F.col(POSITION).bitwiseAND(F.lit((1 << SLICE_BITS) - 1))
 

@@ -1,6 +1,6 @@
 """Whole jobs: read from a store, apply an operator, write to a store.
 
-A store is a CatalogStore or a JdbcStore. Every job is one plan and one write.
+A store is a CatalogStore or a JdbcStore. Rows go from the source to the target in one write.
 """
 
 from pyspark.sql import Observation, functions as F
@@ -8,19 +8,24 @@ from pyspark.sql import Observation, functions as F
 from tallyline.operators import capture, changelog, metadata, reconcile, upsert
 from tallyline.operators.select import conform, select_where
 from tallyline.schemas import LOOKUP, RECONCILIATION_LOG
+from tallyline.session import written
 from tallyline.sources.files import publish_parquet, read_csv
 
 
+def _read_once(store, name):
+    """A table the job uses twice; one in a database is copied to the shared folder first."""
+    return written(store.table(name), name) if store.remote else store.table(name)
+
+
 def compact_log(source, target, log="audit_log", output="output_auditlog"):
     """Append the net changes of an audit log."""
-    target.write(changelog.compact_changes(source.table(log)), output)
+    target.write(changelog.compact_changes(_read_once(source, log)), output)
 
 
 def capture_metrics(source, target, tasks, created, user, output="metric_data", **options):
     """Append savepoint and manifest metrics."""
-    feed = capture.metric_feed(
-        source.table("etlaudit_savepoint"), source.table("manifest"), tasks, created, user, **options
-    )
+    savepoint = _read_once(source, "etlaudit_savepoint")
+    feed = capture.metric_feed(savepoint, source.table("manifest"), tasks, created, user, **options)
     target.write(feed, output)
 
 
@@ -112,7 +117,7 @@ def load_task_metadata(spark, path, schema=None, as_of=None, **options):
 
 
 def store_metadata(store, rows, placeholders, rows_table, placeholders_table):
-    """Append metadata and placeholders to existing tables, by position."""
+    """Append metadata and placeholders to existing catalog tables, by position."""
     store.insert_by_position(rows, rows_table)
     store.insert_by_position(placeholders, placeholders_table)
 

@@ -24,3 +24,10 @@ def shared_folder(spark):
 def scratch_path(spark, name):
     """A fresh path below the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df, name):
+    """`df` from a table in the shared folder: computed once, and the same for every reader."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

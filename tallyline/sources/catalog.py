@@ -4,6 +4,8 @@
 class CatalogStore:
     """Reads and writes the tables of one catalog database."""
 
+    remote = False
+
     def __init__(self, spark, database="default"):
         self.spark = spark
         self.database = database

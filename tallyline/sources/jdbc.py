@@ -19,31 +19,35 @@ class JdbcStore:
     """Reads and writes the tables of one database.
 
     `options` are Spark's JDBC options (url, driver, user, password, fetchsize, batchsize, ..).
+    `ranges` names, for the tables many tasks shall read, a numeric, date or timestamp column and
+    the number of ranges to cut it into.
     """
 
-    def __init__(self, spark, options, catalog="tallyline_jdbc"):
+    remote = True
+
+    def __init__(self, spark, options, ranges=None, catalog="tallyline_jdbc"):
         self.spark = spark
         self.options = dict(options)
+        self.ranges = dict(ranges or {})
         self.catalog = catalog
 
     def _reader(self, **more):
         return self.spark.read.format("jdbc").options(**self.options, **more)
 
-    def table(self, name, partition_column=None, partitions=None):
-        """A table, read by many tasks when given a numeric, date or timestamp column to cut by."""
+    def table(self, name):
         try:
-            if partition_column is None:
-                return self._reader(dbtable=name).load()
-            lower, upper = self.query(
-                f"SELECT MIN({partition_column}) AS lo, MAX({partition_column}) AS hi FROM {name}"
-            ).first()
-            if lower is None:
-                return self._reader(dbtable=name).load()
-            ranges = parallel_scan(partition_column, lower, upper, partitions)
-            return self._reader(dbtable=name, **ranges).load()
+            return self._reader(dbtable=name, **self._ranges(name)).load()
         except AnalysisException as e:
             raise RuntimeError(f"Table {name} not found") from e
 
+    def _ranges(self, name):
+        if name not in self.ranges:
+            return {}
+        column, partitions = self.ranges[name]
+        bounds = f"SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {name}"
+        lower, upper = self.query(bounds).first()
+        return {} if lower is None else parallel_scan(column, lower, upper, partitions)
+
     def query(self, sql):
         """The result of a query the database runs."""
         return self._reader(dbtable=f"({sql}) t").load()

@@ -62,7 +62,7 @@ def test_table_and_query():
 
 def test_parallel_read_asks_for_its_bounds():
     spark = Recorder(first=(3, 90))
-    JdbcStore(spark, OPTIONS).table("t", "id", 12)
+    JdbcStore(spark, OPTIONS, {"t": ("id", 12)}).table("t")
     assert spark.calls[0]["dbtable"] == "(SELECT MIN(id) AS lo, MAX(id) AS hi FROM t) t"
     assert spark.calls[1] == {
         "format": "jdbc", "dbtable": "t", "partitionColumn": "id", "lowerBound": "3",
@@ -71,7 +71,7 @@ def test_parallel_read_asks_for_its_bounds():
 
 def test_parallel_read_of_an_empty_table():
     spark = Recorder(first=(None, None))
-    JdbcStore(spark, OPTIONS).table("t", "id", 12)
+    JdbcStore(spark, OPTIONS, {"t": ("id", 12)}).table("t")
     assert "partitionColumn" not in spark.calls[1]
 
 
