@@ -62,7 +62,7 @@ def new_records(manifest, savepoint):
     )
     saved = savepoint.groupBy("TaskId", "BatchId", "Status").agg(F.count(F.lit(1)).alias("_saved"))
     copies = F.col("_received") * F.coalesce("_saved", F.lit(1))
-    joined = received.join(saved, ["TaskId", "BatchId"], "left").select(
+    joined = received.join(saved, ["BatchId", "TaskId"], "left").select(
         "TaskId", "BatchId", "RecordsReceived", "Status", copies.alias("_copies")
     )
 

@@ -5,6 +5,7 @@ the order is cut into slices by range, each slice gets its own total, the totals
 over the few slices, and the window only ever sees one slice.
 """
 
+from pyspark import StorageLevel
 from pyspark.sql import Window, functions as F
 
 from tallyline.session import written
@@ -19,6 +20,10 @@ SIZE = "_size"
 CHUNK = 10_000
 
 
+def _long(number):
+    return F.lit(number).cast("bigint")
+
+
 def count_copies(df, columns):
     """One row per different value of `columns`, cut into chunks of at most CHUNK copies.
 
@@ -29,28 +34,34 @@ def count_copies(df, columns):
 
 
 def chunk_copies(df, copies):
+    size = _long(CHUNK)
+    starts = F.sequence(_long(0), F.col(copies) - 1, size)
     return (
-        df.withColumn(START, F.explode(F.sequence(F.lit(0), F.col(copies) - 1, F.lit(CHUNK))))
-        .withColumn(SIZE, F.least(F.lit(CHUNK).cast("bigint"), F.col(copies) - F.col(START)))
+        df.withColumn(START, F.explode(F.when(F.col(copies) <= size, F.array(_long(0))).otherwise(starts)))
+        .withColumn(SIZE, F.least(size, F.col(copies) - F.col(START)))
         .drop(copies)
     )
 
 
 def spread_copies(chunks, position):
     """Undo `count_copies`; `position` counts the copies inside their chunk from 0."""
-    return chunks.withColumn(
-        position, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(SIZE) - 1))
-    ).drop(START, SIZE)
+    places = F.when(F.col(SIZE) == 1, F.array(_long(0))).otherwise(F.sequence(_long(0), F.col(SIZE) - 1))
+    return chunks.withColumn(position, F.explode(places)).drop(START, SIZE)
 
 
 def cut_by_order(df, order):
     """`df` with the number of its range slice.
 
     Range bounds come from a sample and may differ between two runs of one plan, so the slices are
-    written to the shared folder: both readers below must see the same ones.
+    written to the shared folder: both readers below must see the same ones. Until then the rows are
+    kept, as sampling reads them once more; lost ones are computed again.
     """
-    ranged = df.repartitionByRange(*order).withColumn(SLICE, F.spark_partition_id())
-    return written(ranged, "slices")
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        ranged = kept.repartitionByRange(*order).withColumn(SLICE, F.spark_partition_id())
+        return written(ranged, "slices")
+    finally:
+        kept.unpersist()
 
 
 def _before(df, by, order, value, name, aggregate, combine):
@@ -66,7 +77,7 @@ def _before(df, by, order, value, name, aggregate, combine):
     )
 
     ascending = [F.col(c).asc_nulls_first() for c in order]
-    in_slice = Window.partitionBy(*by, SLICE).orderBy(*ascending).rowsBetween(*earlier)
+    in_slice = Window.partitionBy(SLICE, *by).orderBy(*ascending).rowsBetween(*earlier)
     same = [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in [*by, SLICE]]
     return (
         sliced.withColumn("_inside", aggregate("_value").over(in_slice))
@@ -82,10 +93,9 @@ def max_before(df, by, order, value, name):
 
 def sum_before(df, order, value, name):
     """Sum of `value` over all rows that come earlier in `order`."""
-    zero = F.lit(0).cast("bigint")
     return _before(
         df, [], order, value, name, F.sum,
-        lambda a, b: F.coalesce(a, zero) + F.coalesce(b, zero),
+        lambda a, b: F.coalesce(a, _long(0)) + F.coalesce(b, _long(0)),
     )
 
 
