@@ -49,21 +49,27 @@ def spread_copies(chunks, position):
     return chunks.withColumn(position, F.explode(places)).drop(START, SIZE)
 
 
-def cut_by_order(df, order):
-    """`df` with the number of its range slice.
+def _write_ranged(df, order, mark, name):
+    """`df` cut into ranges of `order`, marked by `mark` and written to the shared folder.
 
-    Range bounds come from a sample and may differ between two runs of one plan, so the slices are
-    written to the shared folder: both readers below must see the same ones. Until then the rows are
-    kept, as sampling reads them once more; lost ones are computed again.
+    Range bounds come from a sample and may differ between two runs of one plan, so every reader
+    must take the rows from there. While they are written they are also kept, as sampling reads
+    them once more; lost ones are computed again.
     """
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        ranged = kept.repartitionByRange(*order).withColumn(SLICE, F.spark_partition_id())
-        return written(ranged, "slices")
+        return written(mark(kept.repartitionByRange(*order)), name)
     finally:
         kept.unpersist()
 
 
+def cut_by_order(df, order):
+    """`df` with the number of its range slice."""
+    return _write_ranged(
+        df, order, lambda ranged: ranged.withColumn(SLICE, F.spark_partition_id()), "slices"
+    )
+
+
 def _before(df, by, order, value, name, aggregate, combine):
     sliced = cut_by_order(df.withColumn("_value", value), [*by, *order])
     earlier = (Window.unboundedPreceding, -1)
@@ -104,9 +110,12 @@ def number_rows(df, order, name, start=1):
 
     Each sorted slice numbers its own rows; only the sizes of the slices are put together.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     # the upper bits count the slices, the lower ones the rows of a slice
-    counted = written(ranged.withColumn(POSITION, F.monotonically_increasing_id()), "numbered")
+    def mark(ranged):
+        rows = ranged.sortWithinPartitions(*order)
+        return rows.withColumn(POSITION, F.monotonically_increasing_id())
+
+    counted = _write_ranged(df, order, mark, "numbered")
     slice_of = F.shiftright(POSITION, SLICE_BITS)
     row_of = F.col(POSITION).bitwiseAND(F.lit((1 << SLICE_BITS) - 1))
 

@@ -39,6 +39,17 @@ def _last_values(metric_data, keys):
     )
 
 
+def _of_systems(metric_data, systems, map_ids):
+    """The metric rows of the listed maps' systems, filtered as they are scanned.
+
+    The broadcast has two rows per listed id, so its size is that of the caller's list.
+    """
+    if map_ids is None:
+        return metric_data
+    wanted = systems.select("MetricId", "SourceId").distinct()
+    return metric_data.join(F.broadcast(wanted), ["MetricId", "SourceId"], "left_semi")
+
+
 def _log(df):
     zero = F.lit(0).cast("bigint")
     source = F.coalesce(F.col("SourceValue").cast("bigint"), zero)
@@ -75,7 +86,8 @@ def recon_by_map(maps, definitions, metric_data, map_ids=None):
             F.struct(F.lit(False).alias("is_source"), F.col("TargetId").alias("SourceId")),
         )).alias("side"),
     ).select(MAP_ID, "MetricId", "ThresholdPercentage", "side.*")
-    found = sides.join(_last_values(metric_data, ["MetricId", "SourceId"]), ["MetricId", "SourceId"])
+    keys = ["MetricId", "SourceId"]
+    found = sides.join(_last_values(_of_systems(metric_data, sides, map_ids), keys), keys)
 
     on_source, on_target = F.col("is_source"), ~F.col("is_source")
     known = F.col("SourceId") != 0
@@ -102,11 +114,10 @@ def recon_by_batch(maps, definitions, tracker, metric_data, map_ids=None, on_mis
     if map_ids is not None:
         tracked = tracked.where(F.col(MAP_ID).isin(id_list(map_ids)))
     definitions = latest_per_key(definitions.select(*DEFINITION_COLUMNS), ["ComparisionId"])
-    compared = join_definitions(
-        tracked.select(MAP_ID, "BatchId").distinct(),
-        _maps(maps, map_ids).join(definitions, "ComparisionId"),
-        [MAP_ID],
-    )
+    mapped = _maps(maps, map_ids).join(definitions, "ComparisionId")
+    compared = join_definitions(tracked.select(MAP_ID, "BatchId").distinct(), mapped, [MAP_ID])
+    systems = mapped.select("MetricId", F.explode(F.array("SourceId", "TargetId")).alias("SourceId"))
+    metric_data = _of_systems(metric_data, systems, map_ids)
 
     # one narrow row per metric, system and batch, matched once for each side
     value = F.struct("MetricVersion", "MetricValue")

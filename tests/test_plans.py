@@ -129,6 +129,18 @@ def test_metric_data_is_reduced_once_per_batch_reconciliation(spark, conf):
     assert "ReusedExchange" in plan
 
 
+def test_listed_maps_filter_the_metric_rows_before_they_are_reduced(spark, conf):
+    conf(spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__autoBroadcastJoinThreshold="-1")
+    columns = "MetricId int, SourceId int, BatchId string, MetricVersion string, MetricValue long"
+    data = spark.createDataFrame([(n, 1, "b", "V", n) for n in range(100)], columns)
+    maps = data.selectExpr(
+        "MetricId AS MetricComparisionMapId", "MetricId", "1 AS ComparisionId", "5 AS ThresholdPercentage")
+    defs = spark.createDataFrame([(1, 1, 2)], "ComparisionId int, SourceId int, TargetId int")
+    found = reconcile.recon_by_map(maps, defs, data, [3, 4])
+    assert re.search(r"BroadcastHashJoin \[MetricId#\d+, SourceId#\d+\].*LeftSemi", ran(found))
+    assert found.count() == 2
+
+
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_no_pair_joins_and_no_python_rows(spark, name):
     plan = entry.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
