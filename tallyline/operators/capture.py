@@ -102,22 +102,39 @@ def capture_rejects(audit, tasks, count):
     return rejected.where(F.col("Reason").isNotNull()).select(*audit.columns, "Reason")
 
 
+def _with_ids(pairs, sources, metrics, strict):
+    known = add_id(pairs, sources, "SourceName", "SourceId", strict)
+    return add_id(known, metrics, "MetricName", "MetricId", strict)
+
+
+def _constants(batch, value, created, user, version):
+    return {
+        "BatchId": F.lit(batch),
+        "MetricVersion": F.lit(version),
+        "MetricValue": F.lit(value),
+        "CreatedTimeSTamp": F.lit(created),
+        "CreatedBy": F.lit(user),
+    }
+
+
+def named_metrics(pairs, sources, metrics, batch, value, created, user,
+                  version=codes.METRIC_VERSION, strict=True):
+    """One metric row per (SourceName, MetricName) pair."""
+    rows = _with_ids(pairs, sources, metrics, strict)
+    return conform(rows.withColumns(_constants(batch, value, created, user, version)), METRIC_DATA)
+
+
 def bulk_metrics(pairs, sources, metrics, batch, value, created, user,
                  version=codes.METRIC_VERSION, start=1, strict=True):
-    """One numbered metric row per (SourceName, MetricName) pair, in the order of the names.
+    """`named_metrics`, numbered in the order of the names.
 
     Equal pairs are counted first, so the lookups and the numbering work on different pairs only.
     """
-    chunks = count_copies(pairs, ["SourceName", "MetricName"])
-    chunks = add_id(chunks, sources, "SourceName", "SourceId", strict)
-    chunks = add_id(chunks, metrics, "MetricName", "MetricId", strict)
-    chunks = sum_before(chunks, ["SourceName", "MetricName", START], F.col(SIZE), "_earlier")
+    names = ["SourceName", "MetricName"]
+    chunks = _with_ids(count_copies(pairs, names), sources, metrics, strict)
+    chunks = sum_before(chunks, [*names, START], F.col(SIZE), "_earlier")
     rows = spread_copies(chunks, "_copy").withColumns({
         "metricDataId": F.col("_earlier") + F.col("_copy") + start,
-        "BatchId": F.lit(batch),
-        "MetricVersion": F.lit(version),
-        "MetricValue": F.lit(value),
-        "CreatedTimeSTamp": F.lit(created),
-        "CreatedBy": F.lit(user),
+        **_constants(batch, value, created, user, version),
     })
     return conform(rows, NUMBERED_METRIC_DATA)

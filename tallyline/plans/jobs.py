@@ -85,8 +85,7 @@ def single_metric(sources, metrics, source_name, metric_name, value, batch, crea
     """One metric row with its ids looked up by name."""
     spark = sources.sparkSession
     pair = spark.createDataFrame([(source_name, metric_name)], "SourceName string, MetricName string")
-    rows = capture.bulk_metrics(pair, sources, metrics, batch, value, created, user, version)
-    return rows.drop("metricDataId")
+    return capture.named_metrics(pair, sources, metrics, batch, value, created, user, version)
 
 
 def lookup_copy(source, target, lookup):
