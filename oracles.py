@@ -13,32 +13,31 @@ audit_log AS (
   FROM (SELECT *, user_id * 40 + event_id % 31 AS k FROM events) e)
 """
 
-# the literal form: one order over the whole log
+# every latest change side by side with the other latest changes of its id
 CHANGE_FLAGS = """
-ranked AS (
-  SELECT coalesce(id_new, id_old) AS id, op_code, op_time,
-    CASE op_code WHEN 'I' THEN 1 WHEN 'U' THEN 2 ELSE 3 END AS pri
-  FROM audit_log),
+kinds AS (SELECT * FROM (VALUES ('I', 1), ('U', 2)) t(code, kind)),
+changes AS (
+  SELECT coalesce(id_new, id_old) AS id, op_code, op_time, coalesce(kind, 3) AS kind
+  FROM audit_log LEFT JOIN kinds ON code = op_code),
 latest AS (
-  SELECT id, op_code, op_time, pri FROM (
-    SELECT *, row_number() OVER (PARTITION BY id, pri
-      ORDER BY op_time DESC NULLS LAST, op_code DESC NULLS LAST) AS n FROM ranked) r
+  SELECT id, op_code, op_time, kind FROM (
+    SELECT *, row_number() OVER (PARTITION BY id, kind
+      ORDER BY op_time DESC NULLS LAST, op_code DESC NULLS LAST) AS n
+    FROM changes WHERE id IS NOT NULL) r
   WHERE n = 1),
-near AS (
-  SELECT *,
-    lead(id) OVER w AS id1, lead(op_code) OVER w AS op1, lead(op_time) OVER w AS at1,
-    lag(id) OVER w AS id0, lag(op_code) OVER w AS op0, lag(op_time) OVER w AS at0,
-    lag(id, 2) OVER w AS id00, lag(op_code, 2) OVER w AS op00, lag(op_time, 2) OVER w AS at00
-  FROM latest WINDOW w AS (ORDER BY id, pri, op_time)),
 change_flags AS (
-  SELECT id, op_time, op_code,
-    CASE WHEN id = id1 AND op_time = at1 AND op_code = 'I' AND op1 = 'U' THEN 'No'
-         WHEN id = id1 AND op_time = at1 AND op_code IN ('I', 'U') AND op1 = 'D' THEN 'No'
-         WHEN id = id0 AND op_time = at0 AND op_code = 'D' AND op0 = 'I' THEN 'No'
-         WHEN id = id0 AND id = id00 AND op_time = at0 AND op_time = at00
-          AND op_code = 'D' AND op0 = 'U' AND op00 = 'I' THEN 'No'
-         ELSE 'Yes' END AS "Flag"
-  FROM near)
+  SELECT c.id, c.op_time, c.op_code,
+    CASE WHEN
+      CASE c.kind
+        WHEN 1 THEN CASE WHEN u.id IS NOT NULL THEN u.op_time = c.op_time
+                         ELSE o.op_code = 'D' AND o.op_time = c.op_time END
+        WHEN 2 THEN o.op_code = 'D' AND o.op_time = c.op_time
+        ELSE c.op_code = 'D' AND i.op_time = c.op_time AND (u.id IS NULL OR u.op_time = c.op_time)
+      END THEN 'No' ELSE 'Yes' END AS "Flag"
+  FROM latest c
+  LEFT JOIN latest i ON i.id = c.id AND i.kind = 1
+  LEFT JOIN latest u ON u.id = c.id AND u.kind = 2
+  LEFT JOIN latest o ON o.id = c.id AND o.kind = 3)
 """
 
 DAY = "year(ts) * 10000 + month(ts) * 100 + day(ts)"

@@ -16,8 +16,10 @@ SLICE_BITS = 33
 START = "_start"
 SIZE = "_size"
 
-# copies of one row that travel together; a row with more is cut into several chunks
+# copies of one row that travel together; a row with more is cut into several chunks, which grow
+# only where there would be more than MAX_CHUNKS of them
 CHUNK = 10_000
+MAX_CHUNKS = 100_000
 
 
 def _long(number):
@@ -25,7 +27,7 @@ def _long(number):
 
 
 def count_copies(df, columns):
-    """One row per different value of `columns`, cut into chunks of at most CHUNK copies.
+    """One row per different value of `columns`, cut into chunks of copies.
 
     Copies are counted before the shuffle, so a row repeated without bound costs one row per task.
     """
@@ -34,7 +36,7 @@ def count_copies(df, columns):
 
 
 def chunk_copies(df, copies):
-    size = _long(CHUNK)
+    size = F.greatest(_long(CHUNK), F.ceil(F.col(copies) / MAX_CHUNKS))
     starts = F.sequence(_long(0), F.col(copies) - 1, size)
     return (
         df.withColumn(START, F.explode(F.when(F.col(copies) <= size, F.array(_long(0))).otherwise(starts)))

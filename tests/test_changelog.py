@@ -75,36 +75,36 @@ def test_row_with_two_kept_ids_returns_twice(spark):
     assert Counter(r.note for r in compact_changes(log).collect()) == {"both": 2, "two": 1}
 
 
-def literal_compaction(log):
-    """One global order over the latest change per id and kind, and a nested-loop match."""
-    rank = {"I": 1, "U": 2}
+def nested_loop_compaction(log):
+    """The net effect per id and instant, and every log row against every kept change."""
     latest = {}
     for new, old, code, at, _ in log:
-        key = (new if new is not None else old, rank.get(code, 3))
-        if key not in latest or (at, code) > latest[key]:
-            latest[key] = (at, code)
-    order = [(i, at, code) for (i, _), (at, code) in sorted(latest.items())]
-    kept = []
-    for n, (i, at, code) in enumerate(order):
-        def near(step):
-            k = n + step
-            return order[k] if 0 <= k < len(order) else (None, None, None)
-        after, before, first = near(1), near(-1), near(-2)
-        drop = (
-            after[:2] == (i, at) and (code, after[2]) in {("I", "U"), ("I", "D"), ("U", "D")}
-            or before[:2] == (i, at) and (before[2], code) == ("I", "D")
-            or before[:2] == first[:2] == (i, at) and (first[2], before[2], code) == ("I", "U", "D")
-        )
-        if not drop:
-            kept.append((i, at, code))
+        kinds = latest.setdefault(new if new is not None else old, {})
+        kind = code if code in "IU" else "other"
+        kinds[kind] = max(kinds.get(kind, (at, code)), (at, code))
+    kept = set()
+    for key, kinds in latest.items():
+        gone = set()
+        here = {kind: at for kind, (at, code) in kinds.items() if kind != "other" or code == "D"}
+        ends = here.get("other")
+        if here.get("I") is not None and "U" in here and here["U"] == here["I"]:
+            gone.add("I")
+        if "U" in here and here["U"] == ends:
+            gone.add("U")
+        if "I" in here and here["I"] == ends:
+            if "U" not in here:
+                gone |= {"I", "other"}
+            elif here["U"] == ends:
+                gone.add("other")
+        kept |= {(key, *change) for kind, change in kinds.items() if kind not in gone}
     return Counter(
-        row for row in log for i, at, code in kept
-        if i in (row[0], row[1]) and (at, code) == (row[3], row[2])
+        row for row in log for key, at, code in kept
+        if key in (row[0], row[1]) and (at, code) == (row[3], row[2])
     )
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_same_rows_as_the_literal_form(spark, seed):
+def test_same_rows_as_a_nested_loop(spark, seed):
     draw = random.Random(seed)
     log = []
     for n in range(400):
@@ -114,4 +114,4 @@ def test_same_rows_as_the_literal_form(spark, seed):
             new, old = None, draw.randrange(60)
         log.append((new, old, draw.choice("IIUUDDX"), draw.randrange(3), f"n{n}"))
     found = compact_changes(spark.createDataFrame(log, SCHEMA)).collect()
-    assert Counter(tuple(r) for r in found) == literal_compaction(log)
+    assert Counter(tuple(r) for r in found) == nested_loop_compaction(log)

@@ -41,6 +41,14 @@ def test_number_rows_has_no_gaps_and_follows_the_order(spark, conf):
     assert [r.v for r in found] == sorted(values)
 
 
+def test_chunks_grow_where_there_would_be_too_many(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "CHUNK", 2)
+    monkeypatch.setattr(ordered, "MAX_CHUNKS", 3)
+    chunks = ordered.count_copies(spark.createDataFrame([("a",)] * 20 + [("b",)] * 3, "k string"), ["k"])
+    found = sorted((r.k, r[ordered.START], r[ordered.SIZE]) for r in chunks.collect())
+    assert found == [("a", 0, 7), ("a", 7, 7), ("a", 14, 6), ("b", 0, 2), ("b", 2, 1)]
+
+
 def test_copies_come_back_whole(spark, chunk):
     df = spark.createDataFrame([("a",)] * 10 + [("b",)] + [(None,)] * 4, "k string")
     chunks = ordered.count_copies(df, ["k"])
