@@ -58,11 +58,14 @@ def _write_ranged(df, order, mark, name):
     must take the rows from there. While they are written they are also kept, as sampling reads
     them once more; lost ones are computed again.
     """
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    ours = not (df.storageLevel.useMemory or df.storageLevel.useDisk)
+    if ours:
+        df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return written(mark(kept.repartitionByRange(*order)), name)
+        return written(mark(df.repartitionByRange(*order)), name)
     finally:
-        kept.unpersist()
+        if ours:
+            df.unpersist()
 
 
 def cut_by_order(df, order):

@@ -41,6 +41,16 @@ def test_number_rows_has_no_gaps_and_follows_the_order(spark, conf):
     assert [r.v for r in found] == sorted(values)
 
 
+def test_what_the_caller_keeps_stays_kept(spark):
+    df = spark.createDataFrame([(v,) for v in range(20)], "v int")
+    ordered.number_rows(df, ["v"], "id").collect()
+    assert not df.storageLevel.useMemory
+    df.cache()
+    assert ordered.number_rows(df, ["v"], "id").count() == 20
+    assert df.storageLevel.useMemory
+    df.unpersist()
+
+
 def test_chunks_grow_where_there_would_be_too_many(spark, monkeypatch):
     monkeypatch.setattr(ordered, "CHUNK", 2)
     monkeypatch.setattr(ordered, "MAX_CHUNKS", 3)
