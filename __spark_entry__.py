@@ -311,6 +311,17 @@ QUERIES = {
 }
 
 
+MORE_ORACLES = {}
+try:
+    import corpus_pipeline
+    from tallyline.llm import queries as llm
+except ImportError:
+    pass
+else:
+    QUERIES |= llm.QUERIES | {"pipeline": corpus_pipeline.run}
+    MORE_ORACLES = llm.ORACLES | {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else llm.ORACLES
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Reconciliation per comparison map and batch."""
     return QUERIES["recon_by_batch"](spark, "/root/testdata/sf0.001")
@@ -321,4 +332,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | MORE_ORACLES
