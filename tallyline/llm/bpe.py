@@ -20,7 +20,7 @@ import pandas as pd
 import regex
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import filled
+from tallyline.llm.common import filled, ship_package
 
 WORD_BITS = 256
 SHORT = 64
@@ -156,6 +156,7 @@ def decode_column(ids, path, pattern):
 
 def tokenised(docs, path, pattern, id_col="doc_id", text_col="text"):
     """`id_col` and the packed `ids` of each row's text."""
+    ship_package(docs.sparkSession)
     return docs.select(id_col, encode_column(filled(text_col), path, pattern).alias("ids"))
 
 
@@ -164,6 +165,8 @@ def round_trip(docs, path, pattern, id_col="doc_id", text_col="text"):
 
     Ids are encoded and decoded a text at a time, so a task holds one text's ids and no batch of them.
     """
+    ship_package(docs.sparkSession)
+
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digests(texts: pd.Series) -> pd.DataFrame:
         own, rows = encoder(path, pattern), []

@@ -1,9 +1,16 @@
 """Helpers shared by the operators of this subpackage."""
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import functions as F
 
+import tallyline
 from tallyline.session import written
 
+_shipped = set()
+
 
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,3 +29,19 @@ def numbered(df, columns, label):
     """
     ordered = df.select(*columns).distinct().repartitionByRange(*columns).sortWithinPartitions(*columns)
     return written(ordered.withColumn("name", F.monotonically_increasing_id()), label)
+
+
+def ship_package(spark):
+    """Give the executors this package, once for each application."""
+    if spark.sparkContext.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(tallyline.__file__))
+    path = os.path.join(tempfile.mkdtemp(), "tallyline.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(spark.sparkContext.applicationId)

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallyline.llm import bpe, chat, exact_dedup, url_filter
+from tallyline.llm import bpe, chat, exact_dedup, fingerprints, toxicity, url_filter
 from tallyline.llm.common import table
 
 URL_RULES = [
@@ -34,6 +34,10 @@ def op2_chat_format(spark, sf_dir):
     )
 
 
+def op3_fingerprints(spark, sf_dir):
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.round_trip(table(spark, sf_dir, "documents"), str(path), public_tokenizers.PATTERN)
@@ -43,11 +47,17 @@ def op5_url_filter(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op7_toxicity(spark, sf_dir):
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_chat_format": op2_chat_format,
+    "op3_fingerprints": op3_fingerprints,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_url_filter": op5_url_filter,
+    "op7_toxicity": op7_toxicity,
 }
 
 ORACLES = {
