@@ -45,3 +45,41 @@ def ship_package(spark):
                     out.write(full, os.path.relpath(full, os.path.dirname(root)))
     spark.sparkContext.addPyFile(path)
     _shipped.add(spark.sparkContext.applicationId)
+
+
+def components(pairs, label):
+    """Connected components of pairs (a, b): a row (node, label) for each node, with its least node as label.
+
+    Each round takes the least label among a node's own and its neighbours', then the label of that
+    label, until none changes.
+    """
+    pairs = written(pairs.select("a", "b").distinct(), f"{label}-pairs")
+    both = pairs.union(pairs.select("b", "a")).toDF("node", "other")
+    labels = written(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")), f"{label}-0")
+    changed, turn = not labels.isEmpty(), 0
+    while changed:
+        turn += 1
+        seen = both.join(labels.select(F.col("node").alias("other"), "label"), "other")
+        least = seen.groupBy("node").agg(F.min("label").alias("least"))
+        nearer = labels.join(least, "node").select("node", F.col("label").alias("old"), F.least("label", "least").alias("label"))
+        further = labels.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
+        moved = nearer.join(further, "label", "left").select(
+            "node", "old", F.coalesce(F.least("label", "beyond"), F.col("label")).alias("label")
+        )
+        moved = written(moved, f"{label}-{turn}")
+        changed = not moved.where("old <> label").isEmpty()
+        labels = moved.drop("old")
+    return labels
+
+
+def staying(docs, groups, id_col, text_col):
+    """The rows of `docs` that `groups` (id_col, text_key, kept) keeps, with all their columns."""
+    key = F.xxhash64(filled(text_col))
+    kept = groups.where("kept").select(F.col(id_col).alias("kept_id_"), F.col("text_key").alias("kept_key_"))
+    stay = docs.join(kept, F.col(id_col).eqNullSafe(F.col("kept_id_")) & (key == F.col("kept_key_")), "left_semi")
+    if groups.groupBy(id_col, "text_key").count().where("count > 1").isEmpty():
+        return stay
+    # rows that repeat both id and text: one of them stays
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = stay.groupBy(F.col(id_col).alias("id_"), key.alias("key_")).agg(F.first(row).alias("row_"))
+    return once.select("row_.*")

@@ -19,7 +19,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import filled, numbered
+from tallyline.llm.common import filled, numbered, staying
 from tallyline.session import written
 
 SPACE = "[ \\t-\\r]+"  # the characters x20 and x09 to x0D
@@ -66,7 +66,7 @@ def _ordinal(key, block, clashes):
 
 
 def identities(docs, id_col="doc_id", text_col="text", block_bytes=BLOCK_BYTES, key=F.xxhash64):
-    """Rows of `docs` with level and name: row_id, id_col, n_chars, text_sha256, level, name.
+    """Rows of `docs` with level and name: row_id, id_col, n_chars, text_key, text_sha256, level, name.
 
     `key` gives a block's sort key; any function of the content is right.
     """
@@ -75,7 +75,7 @@ def identities(docs, id_col="doc_id", text_col="text", block_bytes=BLOCK_BYTES,
     clashes = _clashes(texts, block_bytes, key)
     rows = written(texts.select(
         F.monotonically_increasing_id().alias("row_id"), id_col,
-        F.length("text").cast("long").alias("n_chars"),
+        F.length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("text_key"),
         F.sha2(F.encode("norm", "UTF-8"), 256).alias("text_sha256"),
         F.transform(_blocks(F.col("norm"), block_bytes), lambda b: F.struct(
             key(b).alias("key"), _ordinal(key(b), b, clashes).alias("ordinal")
@@ -105,7 +105,7 @@ def identities(docs, id_col="doc_id", text_col="text", block_bytes=BLOCK_BYTES,
 
 
 def exact_groups(docs, id_col="doc_id", text_col="text", block_bytes=BLOCK_BYTES, key=F.xxhash64):
-    """A row for each row of `docs`: id, keep_id, group_size, kept, text_sha256, n_chars.
+    """A row for each row of `docs`: id, keep_id, group_size, kept, text_sha256, n_chars, text_key.
 
     Of equal texts the row with the most code points in the original text, then the smallest id stays.
     """
@@ -114,20 +114,10 @@ def exact_groups(docs, id_col="doc_id", text_col="text", block_bytes=BLOCK_BYTES
     groups = written(named.groupBy("level", "name").agg(F.count("*").alias("group_size"), best.alias("best")), "groups")
     return named.join(groups, ["level", "name"]).select(
         id_col, F.bitwise_not("best.by_id").alias("keep_id"), "group_size",
-        (F.col("row_id") == F.bitwise_not("best.by_row")).alias("kept"), "text_sha256", "n_chars",
+        (F.col("row_id") == F.bitwise_not("best.by_row")).alias("kept"), "text_sha256", "n_chars", "text_key",
     )
 
 
 def keep_one(docs, id_col="doc_id", text_col="text"):
     """The rows of `docs` that stay, with all their columns."""
-    groups = written(exact_groups(docs, id_col, text_col), "exact-groups")
-    kept = groups.where("kept").select(F.col(id_col).alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
-    sha = F.sha2(F.encode(normalised(filled(text_col)), "UTF-8"), 256)
-    stay = docs.join(kept, F.col(id_col).eqNullSafe(F.col("kept_id")) & (sha == F.col("kept_sha")), "left_semi")
-    repeats = groups.groupBy(id_col, "text_sha256").count().where("count > 1")
-    if repeats.isEmpty():
-        return stay
-    # rows that repeat an id and its text: the longest, then any of them, stays
-    hashed = stay.withColumn("__sha", sha)
-    once = hashed.groupBy(id_col, "__sha").agg(F.max_by(F.struct(*docs.columns), F.length(filled(text_col))).alias("row"))
-    return once.select("row.*")
+    return staying(docs, written(exact_groups(docs, id_col, text_col), "exact-groups"), id_col, text_col)

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallyline.llm import bpe, chat, exact_dedup, fingerprints, toxicity, url_filter
+from tallyline.llm import bpe, chat, exact_dedup, fingerprints, near_dedup, toxicity, url_filter
 from tallyline.llm.common import table
 
 URL_RULES = [
@@ -12,7 +12,7 @@ URL_RULES = [
 
 
 def op1_exact_dedup(spark, sf_dir):
-    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op2_chat_format(spark, sf_dir):
@@ -47,6 +47,10 @@ def op5_url_filter(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_near_dedup(spark, sf_dir):
+    return near_dedup.near_classes(table(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op7_toxicity(spark, sf_dir):
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op3_fingerprints": op3_fingerprints,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_url_filter": op5_url_filter,
+    "op6_near_dedup": op6_near_dedup,
     "op7_toxicity": op7_toxicity,
 }
 
