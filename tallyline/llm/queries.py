@@ -3,13 +3,17 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tallyline.llm import bpe, chat, exact_dedup, fingerprints, near_dedup, toxicity, url_filter
+from tallyline.llm import (
+    bpe, chat, exact_dedup, fingerprints, html_text, licences, mixing, near_dedup, toxicity, url_filter,
+)
 from tallyline.llm.common import table
 
 URL_RULES = [
     ("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"),
 ]
 
+MIX = {"clean": 0.90, "junk": 0.08, "toxic": 0.02}
+
 
 def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("text_key")
@@ -55,6 +59,20 @@ def op7_toxicity(spark, sf_dir):
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_licences(spark, sf_dir):
+    return licences.licences(table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark, sf_dir):
+    rates = mixing.mixed_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), MIX)
+    parts = [F.col("posterior")[i].alias(f"p_{name}") for i, name in enumerate(mixing.DOMAINS)]
+    return rates.select("doc_id", "tokens", *parts, "rate", "copies")
+
+
+def op10_html_text(spark, sf_dir):
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_chat_format": op2_chat_format,
@@ -63,6 +81,9 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op6_near_dedup": op6_near_dedup,
     "op7_toxicity": op7_toxicity,
+    "op8_licences": op8_licences,
+    "op9_mixing": op9_mixing,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLES = {
