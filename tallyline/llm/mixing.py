@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tallyline.llm.common import filled, ship_package
-from tallyline.llm.words import words_of
+from tallyline.llm.words import distinct, words_of
 from tallyline.session import written
 
 BITS = 15
@@ -37,7 +37,7 @@ def features(texts):
     for text, (words, _) in zip(texts, words_of(texts)):
         data = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
         shares = np.sqrt(np.bincount(data, minlength=BYTES) / max(1, len(data)))
-        found = np.unique(words >> np.uint64(64 - BITS)).astype(np.int64) + BYTES
+        found = distinct(words >> np.uint64(64 - BITS)).astype(np.int64) + BYTES
         places = np.concatenate((np.arange(BYTES), found))
         values = np.concatenate((4 * shares, np.full(len(found), 1.0)))
         yield len(words), places, values

@@ -56,15 +56,17 @@ SEEDS = np.random.Generator(np.random.PCG64(6)).integers(1, 1 << 63, SAMPLES, dt
 def weighted_samples(hashes, weights):
     """The consistent weighted samples of a set, as a 64-bit hash each."""
     out = np.empty(SAMPLES, np.uint64)
-    logs = np.log(weights)
-    low = np.uint64(LEVELS - 1)
+    logs = None if (weights == 1).all() else np.log(weights)
     for first in range(0, SAMPLES, 8):
-        stirred = hashes[None, :] * SEEDS[first:first + 8, None]
-        rate = GAMMA[stirred >> np.uint64(48)]
-        shift = UNIFORM[(stirred >> np.uint64(16)) & low]
+        # four independent numbers of 16 bits for each shingle and sample, the lowest unused
+        drawn = (hashes[None, :] * SEEDS[first:first + 8, None]).view(np.uint16).reshape(8, len(hashes), 4)
+        rate, shift = GAMMA.take(drawn[:, :, 3]), UNIFORM.take(drawn[:, :, 1])
+        if logs is None:
+            best = (LOG_GAMMA.take(drawn[:, :, 2]) - rate * (1 - shift)).argmin(axis=1)
+            out[first:first + 8] = mixed(hashes[best])
+            continue
         step = np.floor(logs / rate + shift)
-        value = LOG_GAMMA[(stirred >> np.uint64(32)) & low] - rate * (step - shift + 1)
-        best = value.argmin(axis=1)
+        best = (LOG_GAMMA.take(drawn[:, :, 2]) - rate * (step - shift + 1)).argmin(axis=1)
         steps = np.take_along_axis(step, best[:, None], 1)[:, 0].astype(np.int64).astype(np.uint64)
         out[first:first + 8] = mixed(hashes[best] ^ (steps * np.uint64(0x9E3779B97F4A7C15)))
     return out

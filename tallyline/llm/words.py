@@ -16,6 +16,12 @@ VALUES[~WORD_BYTE] = 0
 _powers = {}
 
 
+def distinct(x):
+    """The different values of an array, sorted."""
+    ordered = np.sort(x)
+    return ordered[np.concatenate((np.ones(min(1, len(x)), bool), ordered[1:] != ordered[:-1]))]
+
+
 def mixed(x):
     """Hashes with all bits stirred."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
