@@ -256,8 +256,9 @@ def _block_pairs(rows, bucket, blocks):
     placed = rows.withColumn("own", own).withColumn("other", other)
     placed = placed.withColumns({"bucket": F.col(bucket), "low": F.least("own", "other"), "high": F.greatest("own", "other")})
     keys = ["bucket", "low", "high"]
-    # block numbers are part of the key, so the pairs of a large bucket go to different tasks
-    return placed.drop("own", "other", blocks).repartition(*keys).sortWithinPartitions(*keys)
+    # block numbers are part of the key, so the pairs of a large bucket go to different tasks; in order of
+    # row_id, so that the buckets of a class mostly name the same row as the root of their pairs
+    return placed.drop("own", "other", blocks).repartition(*keys).sortWithinPartitions(*keys, "row_id")
 
 
 def near_classes(docs, id_col="doc_id", text_col="text"):
