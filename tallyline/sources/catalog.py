@@ -1,5 +1,11 @@
 """Tables of the session catalog."""
 
+WHOLE = "tallyline.whole"  # marks staged content that may be copied over
+
+
+def _quoted(text):
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
 
 class CatalogStore:
     """Reads and writes the tables of one catalog database."""
@@ -13,39 +19,92 @@ class CatalogStore:
     def _full(self, name):
         return f"{self.database}.{name}"
 
-    def exists(self, name):
+    def _has(self, name):
         return self.spark.catalog.tableExists(self._full(name))
 
+    def _settle(self, name):
+        """Finish or undo a replacement of a table that was lost half way."""
+        staged, old = f"{name}_temp", f"{name}_old"
+        if not self._has(name):
+            if self._has(old):
+                self._rename(old, name)
+        elif self._has(old):
+            # the new content has its name, so the old one is no longer needed
+            self.drop(old)
+        if self._has(name) and self._has(staged) and self._properties(staged).get(WHOLE) == "true":
+            self._copy_over(staged, name)
+
+    def exists(self, name):
+        self._settle(name)
+        return self._has(name)
+
     def table(self, name):
+        self._settle(name)
         return self.spark.table(self._full(name))
 
-    def query(self, sql):
-        """Any query; its tables carry their database name."""
+    def query(self, sql, split=None):
+        """Any query; its tables carry their database name, and Spark splits their reading."""
         return self.spark.sql(sql)
 
     def write(self, df, name, mode="append"):
-        df.write.mode(mode).format("parquet").saveAsTable(self._full(name))
+        self._settle(name)
+        partitions = self._partitions(name) if self._has(name) else []
+        df.write.mode(mode).format("parquet").partitionBy(*partitions).saveAsTable(self._full(name))
 
     def insert_by_position(self, df, name):
+        self._settle(name)
         df.write.insertInto(self._full(name))
 
     def drop(self, name):
         self.spark.sql(f"DROP TABLE IF EXISTS {self._full(name)}")
 
     def replace(self, df, name):
-        """Overwrite a table that `df` may be read from.
+        """Overwrite a table that `df` may be read from; it keeps its partitioning, properties and place.
 
-        The new content is written beside the old table and takes its name after it is whole. The
-        swap only renames, so the data is written once; the old table is dropped last.
+        The new content is written beside the old table first. A managed table is then swapped by
+        renaming: the data is written once, and the old table is dropped last. An external table's
+        folder has other readers, and the catalog renames no partitions, so there the staged content,
+        marked as whole, is copied over. Any later use of the table finishes or undoes what a lost
+        job left.
         """
+        self._settle(name)
         staged, old = f"{name}_temp", f"{name}_old"
         self.drop(staged)
-        self.write(df, staged, "overwrite")
-        if self.exists(name):
-            self.drop(old)
-            self._rename(name, old)
+        if not self._has(name):
+            self._stage(df, staged, {})
+            self._rename(staged, name)
+            return
+        partitions = self._partitions(name)
+        self._stage(df, staged, self._properties(name))
+        if partitions or self._is_external(name):
+            self.spark.sql(f"ALTER TABLE {self._full(staged)} SET TBLPROPERTIES ('{WHOLE}' = 'true')")
+            self._copy_over(staged, name)
+            return
+        self._rename(name, old)
         self._rename(staged, name)
         self.drop(old)
 
+    def _stage(self, df, staged, properties):
+        df.write.mode("overwrite").format("parquet").saveAsTable(self._full(staged))
+        if properties:
+            pairs = ", ".join(f"{_quoted(k)} = {_quoted(v)}" for k, v in properties.items())
+            self.spark.sql(f"ALTER TABLE {self._full(staged)} SET TBLPROPERTIES ({pairs})")
+
+    def _copy_over(self, staged, name):
+        """Put staged content into a table's own folder; it stays until it is there."""
+        columns = ", ".join(f"`{c}`" for c in self.spark.table(self._full(name)).columns)
+        self.spark.sql(f"INSERT OVERWRITE TABLE {self._full(name)} SELECT {columns} FROM {self._full(staged)}")
+        self.drop(staged)
+
+    def _partitions(self, name):
+        return [c.name for c in self.spark.catalog.listColumns(self._full(name)) if c.isPartition]
+
+    def _is_external(self, name):
+        return self.spark.catalog.getTable(self._full(name)).tableType == "EXTERNAL"
+
+    def _properties(self, name):
+        rows = self.spark.sql(f"SHOW TBLPROPERTIES {self._full(name)}").collect()
+        return {r["key"]: r["value"] for r in rows if not r["key"].startswith(("spark.", "transient"))}
+
     def _rename(self, name, new):
         self.spark.sql(f"ALTER TABLE {self._full(name)} RENAME TO {self._full(new)}")

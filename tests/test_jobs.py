@@ -38,13 +38,13 @@ def test_reconciliation_jobs(spark, store):
 def test_metrics_are_inserted_once(spark, store):
     seed(spark, store)
     before = rows(store.table("metric_data"))
-    jobs.insert_metric(store, "General", "Policy", 200, "20210925", "20210918", "someone")
+    jobs.insert_metric(store, "General", "Policy", 120, "20240229", "20240301", "someone")
     assert rows(store.table("metric_data")) == before
     store.write(spark.createDataFrame([(3, "Extra", "", "", "", "", "")], schemas.SOURCE_DEFINITION), "source_definition")
     for _ in range(2):
-        jobs.insert_metric(store, "Extra", "Policy", 200, "20210925", "20210918", "someone")
+        jobs.insert_metric(store, "Extra", "Policy", 120, "20240229", "20240301", "someone")
         assert rows(store.table("metric_data")) == before + Counter(
-            {(7, 3, "20210925", "12", 200, "20210918", "someone"): 1})
+            {(7, 3, "20240229", "V2", 120, "20240301", "someone"): 1})
     with pytest.raises(Exception, match="no SourceId for SourceName Nowhere"):
         jobs.insert_metric(store, "Nowhere", "Policy", 1, "", "", "")
     assert not store.exists("metric_data_old")
@@ -55,16 +55,16 @@ def test_bulk_metrics_are_appended(spark, store):
     seed(spark, store)
     store.drop("metric_data")
     pairs = spark.createDataFrame([("General", "Policy")] * 2, "SourceName string, MetricName string")
-    jobs.load_bulk_metrics(store, pairs, "20211028", 50, "20211028", "someone")
+    jobs.load_bulk_metrics(store, pairs, "20240228", 35, "20240228", "someone")
     assert rows(store.table("metric_data")) == Counter(
-        {(n, 7, 1, "20211028", "V2", 50, "20211028", "someone"): 1 for n in (1, 2)})
+        {(n, 7, 1, "20240228", "V2", 35, "20240228", "someone"): 1 for n in (1, 2)})
 
 
 def test_capture_job(spark, store):
     store.write(spark.createDataFrame([("PC_POLICY", 9, "b1", "Success")], schemas.ETLAUDIT_SAVEPOINT), "etlaudit_savepoint")
     store.write(spark.createDataFrame([("PC_POLICY", 10, "b1"), ("PC_POLICY", 15, "b2")], schemas.MANIFEST), "manifest")
     tasks = spark.createDataFrame([("PC_POLICY", 1)], "TaskId string, MetricId int")
-    jobs.capture_metrics(store, store, tasks, "20210923", "someone")
+    jobs.capture_metrics(store, store, tasks, "20240131", "someone")
     found = store.table("metric_data").select("SourceId", "BatchId", "MetricValue")
     assert rows(found) == Counter({(1, "b1", 9): 1, (2, "b1", 10): 1, (2, "b2", 5): 1})
 
@@ -167,3 +167,65 @@ def test_the_shared_folder_is_the_one_the_cluster_names(spark):
 def test_missing_table(spark):
     with pytest.raises(Exception, match="TABLE_OR_VIEW_NOT_FOUND"):
         CatalogStore(spark).table("no_such_table")
+
+
+class Lost(Exception):
+    pass
+
+
+def failing(store, monkeypatch, step):
+    """Make the store's n-th rename, copy or drop of a replacement fail once."""
+    count = [0]
+
+    def wrap(name):
+        own = getattr(store, name)
+
+        def call(*args):
+            count[0] += 1
+            if count[0] == step:
+                raise Lost(name)
+            return own(*args)
+
+        monkeypatch.setattr(store, name, call)
+
+    for name in ("_rename", "_copy_over", "drop"):
+        wrap(name)
+
+
+@pytest.mark.parametrize("step", range(1, 6))
+@pytest.mark.parametrize("external", [False, True])
+def test_a_replacement_lost_at_any_step_loses_no_row(spark, store, monkeypatch, tmp_path, step, external):
+    old = spark.createDataFrame([(n, n % 3) for n in range(100)], "k int, p int")
+    writer = old.write.format("parquet").partitionBy("p")
+    if external:
+        writer = writer.option("path", str(tmp_path / "t"))
+    writer.saveAsTable(f"{store.database}.t")
+    new = store.table("t").union(spark.createDataFrame([(n, 4) for n in range(100, 110)], "k int, p int"))
+    with monkeypatch.context() as patched:
+        failing(store, patched, step)
+        try:
+            store.replace(new, "t")
+        except Lost:
+            pass
+    jobs.append_if_absent(store, "t", spark.createDataFrame([(1000, 0), (5, 2)], "k int, p int"), ["k"])
+    jobs.insert_if_absent(store, "t", spark.createDataFrame([(1001, 1)], "k int, p int"), ["k"])
+    keys = {r.k for r in store.table("t").collect()}
+    assert set(range(100)) | {1000, 1001} <= keys
+    assert store.table("t").count() == len(keys)
+    assert not store.exists("t_old") and not store.exists("t_temp")
+
+
+def test_a_replaced_table_keeps_its_kind(spark, store, tmp_path):
+    path = str(tmp_path / "ext")
+    spark.createDataFrame([(n, n % 2) for n in range(10)], "k int, p int").write.partitionBy("p").option(
+        "path", path).saveAsTable(f"{store.database}.e")
+    spark.sql(f"ALTER TABLE {store.database}.e SET TBLPROPERTIES ('owner_team' = 'it''s us')")
+    store.replace(store.table("e").where("k < 4"), "e")
+    assert spark.catalog.getTable(f"{store.database}.e").tableType == "EXTERNAL"
+    assert [c.name for c in spark.catalog.listColumns(f"{store.database}.e") if c.isPartition] == ["p"]
+    assert spark.read.parquet(path).count() == store.table("e").count() == 4
+    store.write(spark.createDataFrame([(1, 1)], "k int, p int"), "m")
+    spark.sql(f"ALTER TABLE {store.database}.m SET TBLPROPERTIES ('owner_team' = 'it''s us')")
+    store.replace(spark.createDataFrame([(2, 1)], "k int, p int"), "m")
+    assert store._properties("m")["owner_team"] == "it's us"
+    assert rows(store.table("m")) == Counter({(2, 1): 1})
