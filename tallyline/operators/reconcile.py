@@ -40,14 +40,11 @@ def _last_values(metric_data, keys):
 
 
 def _of_systems(metric_data, systems, map_ids):
-    """The metric rows of the listed maps' systems, filtered as they are scanned.
-
-    The broadcast has two rows per listed id, so its size is that of the caller's list.
-    """
+    """The metric rows of the listed maps' systems, filtered before they are reduced."""
     if map_ids is None:
         return metric_data
     wanted = systems.select("MetricId", "SourceId").distinct()
-    return metric_data.join(F.broadcast(wanted), ["MetricId", "SourceId"], "left_semi")
+    return metric_data.join(wanted, ["MetricId", "SourceId"], "left_semi")
 
 
 def _log(df):
@@ -76,8 +73,8 @@ def recon_by_map(maps, definitions, metric_data, map_ids=None):
     A zero counts as no value. A map without any metric row is left out; a side without rows is 0.
     When source and target are the same system its rows count for both sides.
     """
-    compared = _maps(maps, map_ids).join(
-        definitions.select(*DEFINITION_COLUMNS).distinct(), "ComparisionId"
+    compared = join_definitions(
+        _maps(maps, map_ids), definitions.select(*DEFINITION_COLUMNS).distinct(), ["ComparisionId"]
     )
     sides = compared.select(
         MAP_ID, "MetricId", "ThresholdPercentage",
@@ -87,7 +84,7 @@ def recon_by_map(maps, definitions, metric_data, map_ids=None):
         )).alias("side"),
     ).select(MAP_ID, "MetricId", "ThresholdPercentage", "side.*")
     keys = ["MetricId", "SourceId"]
-    found = sides.join(_last_values(_of_systems(metric_data, sides, map_ids), keys), keys)
+    found = join_definitions(sides, _last_values(_of_systems(metric_data, sides, map_ids), keys), keys)
 
     on_source, on_target = F.col("is_source"), ~F.col("is_source")
     known = F.col("SourceId") != 0
@@ -114,7 +111,7 @@ def recon_by_batch(maps, definitions, tracker, metric_data, map_ids=None, on_mis
     if map_ids is not None:
         tracked = tracked.where(F.col(MAP_ID).isin(id_list(map_ids)))
     definitions = latest_per_key(definitions.select(*DEFINITION_COLUMNS), ["ComparisionId"])
-    mapped = _maps(maps, map_ids).join(definitions, "ComparisionId")
+    mapped = join_definitions(_maps(maps, map_ids), definitions, ["ComparisionId"])
     compared = join_definitions(tracked.select(MAP_ID, "BatchId").distinct(), mapped, [MAP_ID])
     systems = mapped.select("MetricId", F.explode(F.array("SourceId", "TargetId")).alias("SourceId"))
     metric_data = _of_systems(metric_data, systems, map_ids)
@@ -125,35 +122,38 @@ def recon_by_batch(maps, definitions, tracker, metric_data, map_ids=None, on_mis
         F.max("MetricVersion").alias("version"),
         F.max(F.when(F.col("MetricValue") != 0, value))["MetricValue"].alias("value"),
     )
-    source, target = values.alias("s"), values.alias("t")
-    matched = (
-        compared.alias("c")
-        .join(source, _on("s", F.col("c.SourceId")), "left")
-        .join(target, _on("t", F.col("c.TargetId")) & (F.col("c.TargetId") != F.col("c.SourceId")), "left")
-    )
-    found = F.col("s.system").isNotNull() | F.col("t.system").isNotNull()
+    def side(name, system):
+        return values.select(
+            "MetricId", "BatchId", F.col("system").alias(system), F.struct("system", "version", "value").alias(name)
+        )
+
+    matched = join_definitions(compared, side("s", "SourceId"), ["MetricId", "BatchId", "SourceId"], "left")
+    matched = join_definitions(matched, side("t", "TargetId"), ["MetricId", "BatchId", "TargetId"], "left")
+    matched = matched.withColumn("t", F.when(F.col("TargetId") != F.col("SourceId"), F.col("t")))
+    found = F.col("s").isNotNull() | F.col("t").isNotNull()
     if on_missing == "skip":
         matched = matched.where(found)
     return _log(matched.select(
-        F.col(f"c.{MAP_ID}").alias(MAP_ID),
-        F.col("c.BatchId").alias("MetricBatch"),
+        MAP_ID,
+        F.col("BatchId").alias("MetricBatch"),
         F.coalesce(F.greatest("s.version", "t.version"), F.lit("")).alias("MetricVersion"),
         F.col("s.system").alias("SourceId"),
         F.col("s.value").alias("SourceValue"),
         F.col("t.system").alias("TargetId"),
         F.col("t.value").alias("TargetValue"),
-        F.when(found, F.col("c.ThresholdPercentage")).alias("ThresholdPercentage"),
+        F.when(found, F.col("ThresholdPercentage")).alias("ThresholdPercentage"),
     ))
 
 
-def _on(side, system):
-    return (
-        (F.col("c.MetricId") == F.col(f"{side}.MetricId"))
-        & (F.col("c.BatchId") == F.col(f"{side}.BatchId"))
-        & (system == F.col(f"{side}.system"))
-    )
+def number_log(log, order=(MAP_ID, "MetricBatch"), start=1, keys=None):
+    """Add ReconLogId, counted from `start` in `order`.
+
+    `keys` may give the order columns more cheaply than the log, as the tracked batches do.
+    """
+    return number_rows(log, list(order), "ReconLogId", start, keys)
 
 
-def number_log(log, order=(MAP_ID, "MetricBatch"), start=1):
-    """Add ReconLogId, counted from `start` in `order`."""
-    return number_rows(log, list(order), "ReconLogId", start)
+def tracked_keys(tracker):
+    """The order columns of a log of tracked batches."""
+    new = tracker.where(F.col("MetricComparisionStatus") == codes.TRACKER_NEW)
+    return new.select(MAP_ID, F.col("BatchId").alias("MetricBatch"))
