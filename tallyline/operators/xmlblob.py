@@ -2,14 +2,26 @@
 
 from pyspark.sql import functions as F
 
+ROOT = r"(?s)^\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*<([^\s/>]+)"
 
-def blob_to_json(rows, column, schema, root, name="json", strict=True):
-    """Add `name`, the XML text of `column` as ``{"<root>": {...}}`` with the fields of `schema`.
 
-    Text that is not XML fails the job, or gives null when not strict.
+def blob_to_json(rows, column, schema=None, root=None, name="json", strict=True):
+    """Add `name`, the XML text of `column` as ``{"<root>": {...}}``.
+
+    Without a schema everything in the text is kept: attributes as ``_name``, repeated elements as
+    arrays, empty ones as null, numbers as numbers. With one only its fields are. Text that is not XML, or has another
+    root than `root` where that is given, fails the job, or gives null when not strict.
     """
+    text = F.col(column)
+    found = F.regexp_extract(text, ROOT, 1)
+    fits = found != "" if root is None else found == root
     options = {"mode": "FAILFAST" if strict else "PERMISSIVE"}
-    record = F.from_xml(F.col(column), schema, options)
-    return rows.withColumn(
-        name, F.when(F.col(column).isNotNull(), F.to_json(F.struct(record.alias(root))))
-    )
+    if schema is None:
+        whole = F.from_xml(text, "all variant", {**options, "singleVariantColumn": "all"})
+        record = F.to_json(whole["all"])
+    else:
+        record = F.to_json(F.from_xml(text, schema, options))
+    json = F.concat(F.lit('{"'), found, F.lit('":'), F.coalesce(record, F.lit("null")), F.lit("}"))
+    problem = F.concat(F.lit("unexpected root in "), F.substring(text, 1, 200))
+    wrong = F.raise_error(problem).cast("string") if strict else F.lit(None).cast("string")
+    return rows.withColumn(name, F.when(text.isNotNull(), F.when(fits, json).otherwise(wrong)))

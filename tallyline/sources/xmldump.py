@@ -8,9 +8,9 @@ RECORD = "_name string, column array<struct<_VALUE:string,_name:string>>"
 def dump_rows(spark, path, columns, row_tag="table", splittable=True):
     """One row per dumped row, with the named columns as text; a missing column is null.
 
-    A dump is cut at the closing row tags, so Spark splits even one huge file over many tasks. Tags
-    inside CDATA sections or comments would be cut wrongly; such a dump fails the job and can be
-    read with ``splittable=False``, one task per file.
+    A dump is cut at the closing row tags, so Spark splits even one huge file over many tasks. Comments
+    are left out. Closing tags inside CDATA sections or comments would be cut wrongly; such a dump
+    fails the job and can be read with ``splittable=False``, one task per file.
     """
     if splittable:
         record = _split_records(spark, path, row_tag)
@@ -22,17 +22,19 @@ def dump_rows(spark, path, columns, row_tag="table", splittable=True):
 
 def _split_records(spark, path, row_tag):
     closing = f"</{row_tag}>"
-    opening = f"<{row_tag}[\\s>]"
-    one_row = (F.regexp_count("value", F.lit(opening)) == 1) & ~F.regexp_replace(
-        "value", r"(?s)<!\[CDATA\[.*?\]\]>", ""
-    ).contains("<![CDATA[")
-    text = F.concat(F.regexp_substr("value", F.lit(f"(?s){opening}.*")), F.lit(closing))
-    record = F.when(one_row, text).otherwise(
+    opening = f"<\\Q{row_tag}\\E[\\s>]"
+    section = r"<!\[CDATA\[.*?\]\]>"
+    said = F.regexp_replace("value", f"(?s)({section})|<!--.*?-->", "$1")
+    bare = F.regexp_replace(said, f"(?s){section}", "")
+    cut = bare.contains("<!--") | bare.contains("<![CDATA[")
+    rows = F.regexp_count(bare, F.lit(opening))
+    text = F.concat(F.regexp_substr(said, F.lit(f"(?s){opening}.*")), F.lit(closing))
+    record = F.when((rows == 1) & ~cut, text).otherwise(
         F.raise_error(f"{row_tag} tags inside CDATA or a comment: read with splittable=False")
     )
     return (
         spark.read.option("lineSep", closing).text(path)
-        .where(F.col("value").rlike(opening))
+        .where((rows > 0) | cut)
         .select(F.from_xml(record, RECORD, {"rowTag": row_tag, "mode": "FAILFAST"}).alias("record"))
         .select("record.column")
     )

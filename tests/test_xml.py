@@ -5,7 +5,7 @@ import pytest
 from tallyline.operators.xmlblob import blob_to_json
 from tallyline.sources.xmldump import dump_rows, write_dump
 
-NOTE = "&lt;?xml version=&quot;1.0&quot;?&gt;\n&lt;note&gt;\n &lt;to&gt;{}&lt;/to&gt;\n &lt;body&gt;Don't &amp;amp; won't&lt;/body&gt;\n&lt;/note&gt;"
+ENTRY = "&lt;entry kind=&quot;{}&quot;&gt;&lt;item&gt;salt &amp;amp; oil&lt;/item&gt;&lt;item&gt;bread&lt;/item&gt;&lt;/entry&gt;"
 HEAD = '<?xml version="1.0" encoding="utf-8"?>\n<database name="db">\n  <!-- Table t -->\n'
 
 
@@ -38,16 +38,16 @@ def test_a_dump_of_one_row(spark, dump, splittable):
 
 def test_cumulative_counts_of_a_dump(spark, dump):
     """A dump in the stored shape: batch, task, count, and a note per row."""
-    counts = [("b1", "PC_POLICY", 100), ("b2", "PC_POLICY", 120), ("b3", "PC_POLICY", 141), ("b4", "PC_POLICY", 142)]
+    counts = [("b1", "PC_POLICY", 30), ("b2", "PC_POLICY", 37), ("b3", "PC_POLICY", 90)]
     path = dump(*[
-        row(ManifestId=n, BatchId=b, TaskId=t, RecordsReceived=r, blob_column=NOTE.format(f"name {n}"))
+        row(ManifestId=n, BatchId=b, TaskId=t, RecordsReceived=r, blob_column=ENTRY.format(f"k{n}"))
         for n, (b, t, r) in enumerate(counts)
     ])
     rows = dump_rows(spark, path, ["BatchId", "TaskId", "RecordsReceived", "blob_column"])
     assert sorted((r.BatchId, r.TaskId, int(r.RecordsReceived)) for r in rows.collect()) == counts
-    noted = blob_to_json(rows, "blob_column", "to string, body string", "note").orderBy("BatchId").collect()
+    noted = blob_to_json(rows, "blob_column").orderBy("BatchId").collect()
     assert [json.loads(r.json) for r in noted] == [
-        {"note": {"to": f"name {n}", "body": "Don't & won't"}} for n in range(4)]
+        {"entry": {"_kind": f"k{n}", "item": ["salt & oil", "bread"]}} for n in range(3)]
 
 
 def test_a_big_file_is_read_by_many_tasks(spark, dump, conf):
@@ -88,3 +88,46 @@ def test_round_trip(spark, tmp_path):
     found = {r.id: (r.s, r.t) for r in dump_rows(spark, path, ["id", "s", "t"]).collect()}
     assert found["1"] == ("a<b>&\"c\"", None)
     assert found["2"][1] == "x"
+
+
+COMMENTED = '  <!-- <table name="t"><column name="id">99</column></table> -->\n'
+
+
+def test_commented_rows_are_no_rows(spark, dump):
+    path = dump(row(id=1), COMMENTED, row(id=2))
+    assert sorted(dump_rows(spark, path, ["id"], splittable=False).collect()) == [("1",), ("2",)]
+    with pytest.raises(Exception, match="splittable=False"):
+        dump_rows(spark, path, ["id"]).collect()
+
+
+@pytest.mark.parametrize("splittable", [True, False])
+def test_comments_without_closing_tags_are_left_out(spark, dump, splittable):
+    path = dump(row(id=1), "<!-- <table name='t'> only a start -->", row(id=2, name="<![CDATA[<!-- kept -->]]>"))
+    found = dump_rows(spark, path, ["id", "name"], splittable=splittable).collect()
+    assert sorted(found, key=str) == [("1", None), ("2", "<!-- kept -->")]
+
+
+def test_a_row_tag_is_no_pattern(spark, tmp_path):
+    path = tmp_path / "dump.xml"
+    path.write_text('<d><a.b name="t"><column name="id">1</column></a.b><axb name="t"><column name="id">2</column></axb></d>')
+    assert dump_rows(spark, str(path), ["id"], row_tag="a.b").collect() == [("1",)]
+
+
+def test_everything_in_a_blob_is_kept(spark):
+    blobs = [
+        (1, '<note lang="en"><to>a</to><cc>x</cc><cc>y</cc><empty/></note>'),
+        (2, '<?xml version="1.0"?>\n<!-- c -->\n<memo><n>12</n></memo>'), (3, None),
+    ]
+    rows = spark.createDataFrame(blobs, "id int, x string")
+    found = [r.json for r in blob_to_json(rows, "x").orderBy("id").collect()]
+    assert json.loads(found[0]) == {"note": {"_lang": "en", "to": "a", "cc": ["x", "y"], "empty": None}}
+    assert json.loads(found[1]) == {"memo": {"n": 12}}
+    assert found[2] is None
+
+
+def test_a_foreign_root_is_not_taken_for_another(spark):
+    rows = spark.createDataFrame([(1, "<memo><to>a</to></memo>"), (2, "<note><to>b</to></note>")], "id int, x string")
+    with pytest.raises(Exception, match="unexpected root"):
+        blob_to_json(rows, "x", "to string", "note").collect()
+    found = blob_to_json(rows, "x", "to string", "note", strict=False).orderBy("id").collect()
+    assert [r.json for r in found] == [None, '{"note":{"to":"b"}}']
