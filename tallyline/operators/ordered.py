@@ -1,25 +1,28 @@
 """Totals over earlier rows, and numbering, without pulling an order into one task.
 
 A window that is ordered over everything, or over a few big groups, runs in one task per group. Here
-the order is cut into slices by range, each slice gets its own total, the totals are carried forward
-over the few slices, and the window only ever sees one slice.
+the order is cut into slices at fixed bounds, each slice gets its own total, the totals are carried
+forward over the few slices, and the window only ever sees one slice.
+
+The bounds are taken from a sample of the order columns once and are constants of the plan from then
+on, so every reading of a row finds it in the same slice, also after a task is lost. There is one
+bound for each slice, and as many slices as the number of rows asks for.
 """
 
-from pyspark import StorageLevel
-from pyspark.sql import Window, functions as F
+import math
 
-from tallyline.session import written
+from pyspark.sql import Observation, Window, functions as F
 
 SLICE = "_slice"
-POSITION = "_position"
-SLICE_BITS = 33
 START = "_start"
 SIZE = "_size"
 
-# copies of one row that travel together; a row with more is cut into several chunks, which grow
-# only where there would be more than MAX_CHUNKS of them
+SLICE_ROWS = 1_000_000  # about so many rows make a slice, fewer only to use all tasks
+LEAST_ROWS = 5_000
+SAMPLED = 20  # sampled rows for each bound
+
+# copies of one row that travel together
 CHUNK = 10_000
-MAX_CHUNKS = 100_000
 
 
 def _long(number):
@@ -36,12 +39,15 @@ def count_copies(df, columns):
 
 
 def chunk_copies(df, copies):
-    size = F.greatest(_long(CHUNK), F.ceil(F.col(copies) / MAX_CHUNKS))
-    starts = F.sequence(_long(0), F.col(copies) - 1, size)
+    """Rows cut into chunks of CHUNK copies, in two steps, so that no array holds more than CHUNK numbers."""
+    wide = CHUNK * CHUNK
+    total = F.col(copies)
+    outer = df.withColumn("_outer", F.explode(F.sequence(_long(0), total - 1, _long(wide))))
+    inner = F.sequence(F.col("_outer"), F.least(F.col("_outer") + wide, total) - 1, _long(CHUNK))
     return (
-        df.withColumn(START, F.explode(F.when(F.col(copies) <= size, F.array(_long(0))).otherwise(starts)))
-        .withColumn(SIZE, F.least(size, F.col(copies) - F.col(START)))
-        .drop(copies)
+        outer.withColumn(START, F.explode(inner))
+        .withColumn(SIZE, F.least(_long(CHUNK), total - F.col(START)))
+        .drop(copies, "_outer")
     )
 
 
@@ -51,33 +57,55 @@ def spread_copies(chunks, position):
     return chunks.withColumn(position, F.explode(places)).drop(START, SIZE)
 
 
-def _write_ranged(df, order, mark, name):
-    """`df` cut into ranges of `order`, marked by `mark` and written to the shared folder.
-
-    Range bounds come from a sample and may differ between two runs of one plan, so every reader
-    must take the rows from there. While they are written they are also kept, as sampling reads
-    them once more; lost ones are computed again.
-    """
-    ours = not (df.storageLevel.useMemory or df.storageLevel.useDisk)
-    if ours:
-        df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return written(mark(df.repartitionByRange(*order)), name)
-    finally:
-        if ours:
-            df.unpersist()
-
-
-def cut_by_order(df, order):
+def _bounds(keys, order):
+    """Rows of the order columns that cut `keys` into slices of about equal size, in order."""
+    spark = keys.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    seen = Observation()
+    # a random choice, but made once: what it gives is part of the plan
+    marked = keys.select(*order, F.xxhash64(F.monotonically_increasing_id()).alias("_mark"))
+    counted = marked.observe(seen, F.count(F.lit(1)).alias("rows"))
+    sample = counted.orderBy("_mark").limit(SAMPLED * tasks).orderBy(*order).select(*order).collect()
+    rows = seen.get["rows"]
+    slices = max(math.ceil(rows / SLICE_ROWS), min(tasks, math.ceil(rows / LEAST_ROWS)))
+    if slices * SAMPLED > len(sample) and rows > len(sample):
+        marked = keys.select(*order, F.xxhash64(F.monotonically_increasing_id()).alias("_mark"))
+        sample = marked.orderBy("_mark").limit(SAMPLED * slices).orderBy(*order).select(*order).collect()
+    cuts = [sample[i * len(sample) // slices] for i in range(1, slices)] if sample else []
+    return [cut for i, cut in enumerate(cuts) if not i or cut != cuts[i - 1]]
+
+
+def _slice_of(df, order, bounds):
+    """How many bounds a row has reached, nulls first, found in two steps."""
+    if not bounds:
+        return F.lit(0)
+    kinds = {field.name: field.dataType for field in df.schema}
+    here = F.struct(*[F.col(c).alias(c) for c in order])
+
+    def fixed(cuts):
+        return F.array(*[
+            F.struct(*[F.lit(cut[c]).cast(kinds[c]).alias(c) for c in order]) for cut in cuts
+        ])
+
+    step = max(1, math.isqrt(len(bounds)))
+    passed = F.size(F.filter(fixed(bounds[step - 1::step]), lambda cut: cut <= here)) * step
+    return passed + F.size(F.filter(F.slice(fixed(bounds), passed + 1, F.lit(step)), lambda cut: cut <= here))
+
+
+def cut_by_order(df, order, bounds):
     """`df` with the number of its range slice."""
-    return _write_ranged(
-        df, order, lambda ranged: ranged.withColumn(SLICE, F.spark_partition_id()), "slices"
-    )
+    return df.withColumn(SLICE, _slice_of(df, order, bounds))
 
 
 def _before(df, by, order, value, name, aggregate, combine):
-    sliced = cut_by_order(df.withColumn("_value", value), [*by, *order])
+    valued = df.withColumn("_value", value)
+    bounds = _bounds(df, [*by, *order])
     earlier = (Window.unboundedPreceding, -1)
+    ascending = [F.col(c).asc_nulls_first() for c in order]
+    if not bounds:  # one slice
+        inside = aggregate("_value").over(Window.partitionBy(*by).orderBy(*ascending).rowsBetween(*earlier))
+        return valued.select(*df.columns, combine(F.lit(None), inside).alias(name))
+    sliced = cut_by_order(valued, [*by, *order], bounds)
 
     # at most one row per group and slice
     over_slices = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(*earlier)
@@ -87,7 +115,6 @@ def _before(df, by, order, value, name, aggregate, combine):
         .select(*[F.col(c).alias(f"_at_{c}") for c in [*by, SLICE]], "_carried")
     )
 
-    ascending = [F.col(c).asc_nulls_first() for c in order]
     in_slice = Window.partitionBy(SLICE, *by).orderBy(*ascending).rowsBetween(*earlier)
     same = [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in [*by, SLICE]]
     return (
@@ -110,23 +137,22 @@ def sum_before(df, order, value, name):
     )
 
 
-def number_rows(df, order, name, start=1):
+def number_rows(df, order, name, start=1, keys=None):
     """Consecutive BIGINT ids from `start` in `order`, as the first column.
 
-    Each sorted slice numbers its own rows; only the sizes of the slices are put together.
+    Each slice numbers its own rows; only the sizes of the slices are put together. `keys` may give the
+    order columns more cheaply than `df`.
     """
-    # the upper bits count the slices, the lower ones the rows of a slice
-    def mark(ranged):
-        rows = ranged.sortWithinPartitions(*order)
-        return rows.withColumn(POSITION, F.monotonically_increasing_id())
-
-    counted = _write_ranged(df, order, mark, "numbered")
-    slice_of = F.shiftright(POSITION, SLICE_BITS)
-    row_of = F.col(POSITION).bitwiseAND(F.lit((1 << SLICE_BITS) - 1))
-
-    sizes = counted.groupBy(slice_of.alias("_at")).agg(F.count(F.lit(1)).alias("_rows"))
+    bounds = _bounds(df if keys is None else keys, order)
+    if not bounds:  # one slice
+        row = F.row_number().over(Window.orderBy(*order)).cast("bigint")
+        return df.select((row + (start - 1)).alias(name), *df.columns)
+    sliced = cut_by_order(df, order, bounds)
+    sizes = sliced.groupBy(F.col(SLICE).alias("_at")).agg(F.count(F.lit(1)).alias("_rows"))
+    # one row for each slice
     earlier = Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_at", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
-    return counted.join(offsets, slice_of == F.col("_at")).select(
-        (F.col("_offset") + row_of + start).alias(name), *df.columns
+    inside = Window.partitionBy(SLICE).orderBy(*order)
+    return sliced.withColumn("_row", F.row_number().over(inside)).join(offsets, F.col(SLICE) == F.col("_at")).select(
+        (F.col("_offset") + F.col("_row") + (start - 1)).alias(name), *df.columns
     )

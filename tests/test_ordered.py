@@ -11,12 +11,17 @@ def chunk(request, monkeypatch):
     monkeypatch.setattr(ordered, "CHUNK", request.param)
 
 
+@pytest.fixture(autouse=True)
+def small_slices(monkeypatch):
+    monkeypatch.setattr(ordered, "LEAST_ROWS", 20)
+
+
 def test_max_before_carries_over_slices(spark, conf):
     conf(spark__sql__adaptive__enabled="false")
     draw = random.Random(1)
     rows = [(draw.choice("aab"), n, draw.choice([None, draw.randrange(100)])) for n in range(300)]
     df = spark.createDataFrame(rows, "g string, n int, v int")
-    sliced = ordered.cut_by_order(df, ["g", "n"])
+    sliced = ordered.cut_by_order(df, ["g", "n"], ordered._bounds(df, ["g", "n"]))
     assert sliced.select(ordered.SLICE).distinct().count() > 1
 
     found = ordered.max_before(df, ["g"], ["n"], F.col("v"), "m").collect()
@@ -41,22 +46,26 @@ def test_number_rows_has_no_gaps_and_follows_the_order(spark, conf):
     assert [r.v for r in found] == sorted(values)
 
 
-def test_what_the_caller_keeps_stays_kept(spark):
-    df = spark.createDataFrame([(v,) for v in range(20)], "v int")
-    ordered.number_rows(df, ["v"], "id").collect()
-    assert not df.storageLevel.useMemory
-    df.cache()
-    assert ordered.number_rows(df, ["v"], "id").count() == 20
-    assert df.storageLevel.useMemory
-    df.unpersist()
+def test_slices_are_fixed_and_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "SLICE_ROWS", 50)
+    df = spark.createDataFrame([(n % 7 if n % 7 else None, str(n)) for n in range(2000)], "k int, s string")
+    sliced = ordered.cut_by_order(df, ["k", "s"], ordered._bounds(df, ["k", "s"]))
+    first = {(r.k, r.s): r[ordered.SLICE] for r in sliced.collect()}
+    assert first == {(r.k, r.s): r[ordered.SLICE] for r in sliced.repartition(3).collect()}
+    assert 20 <= len(set(first.values())) <= 41
+    rows = sorted(first.items(), key=lambda kv: (kv[0][0] is not None, kv[0][0] or 0, kv[0][1]))
+    assert [s for _, s in rows] == sorted(s for _, s in rows)
+
+
+def test_an_empty_table_is_numbered(spark):
+    assert ordered.number_rows(spark.createDataFrame([], "v int"), ["v"], "id").collect() == []
 
 
-def test_chunks_grow_where_there_would_be_too_many(spark, monkeypatch):
+def test_chunks_stay_small(spark, monkeypatch):
     monkeypatch.setattr(ordered, "CHUNK", 2)
-    monkeypatch.setattr(ordered, "MAX_CHUNKS", 3)
-    chunks = ordered.count_copies(spark.createDataFrame([("a",)] * 20 + [("b",)] * 3, "k string"), ["k"])
+    chunks = ordered.count_copies(spark.createDataFrame([("a",)] * 11 + [("b",)] * 3, "k string"), ["k"])
     found = sorted((r.k, r[ordered.START], r[ordered.SIZE]) for r in chunks.collect())
-    assert found == [("a", 0, 7), ("a", 7, 7), ("a", 14, 6), ("b", 0, 2), ("b", 2, 1)]
+    assert found == [("a", n, min(2, 11 - n)) for n in range(0, 11, 2)] + [("b", 0, 2), ("b", 2, 1)]
 
 
 def test_copies_come_back_whole(spark, chunk):
