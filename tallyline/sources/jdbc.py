@@ -1,7 +1,5 @@
 """Tables of a database reached over JDBC. Connection options always come from the caller."""
 
-from pyspark.errors import AnalysisException
-
 CATALOG_CLASS = "org.apache.spark.sql.execution.datasources.v2.jdbc.JDBCTableCatalog"
 
 
@@ -20,42 +18,46 @@ class JdbcStore:
 
     `options` are Spark's JDBC options (url, driver, user, password, fetchsize, batchsize, ..).
     `ranges` names, for the tables many tasks shall read, a numeric, date or timestamp column and
-    the number of ranges to cut it into.
+    the number of ranges to cut it into. `writers` bounds the connections that write at a time.
     """
 
     remote = True
 
-    def __init__(self, spark, options, ranges=None, catalog="tallyline_jdbc"):
+    def __init__(self, spark, options, ranges=None, catalog="tallyline_jdbc", writers=None):
         self.spark = spark
         self.options = dict(options)
         self.ranges = dict(ranges or {})
         self.catalog = catalog
+        self.writers = writers
 
     def _reader(self, **more):
-        return self.spark.read.format("jdbc").options(**self.options, **more)
+        return self.spark.read.format("jdbc").options(**{**self.options, **more})
 
     def table(self, name):
         try:
-            return self._reader(dbtable=name, **self._ranges(name)).load()
-        except AnalysisException as e:
-            raise RuntimeError(f"Table {name} not found") from e
-
-    def _ranges(self, name):
-        if name not in self.ranges:
-            return {}
-        column, partitions = self.ranges[name]
-        bounds = f"SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {name}"
-        lower, upper = self.query(bounds).first()
-        return {} if lower is None else parallel_scan(column, lower, upper, partitions)
-
-    def query(self, sql):
-        """The result of a query the database runs."""
-        return self._reader(dbtable=f"({sql}) t").load()
+            return self._read(name, self.ranges.get(name))
+        except Exception as e:
+            raise RuntimeError(f"Table {name} not found or not readable") from e
+
+    def _read(self, relation, split):
+        """A table or a query in brackets, in ranges of a column if `split` names one and their number."""
+        if split is None:
+            return self._reader(dbtable=relation).load()
+        column, partitions = split
+        bounds = f"(SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {relation}) t"
+        lower, upper = self._reader(dbtable=bounds).load().first()
+        ranges = {} if lower is None else parallel_scan(column, lower, upper, partitions)
+        return self._reader(dbtable=relation, **ranges).load()
+
+    def query(self, sql, split=None):
+        """The result of a query the database runs; `split` is (column, number of ranges)."""
+        return self._read(f"({sql}) t", split)
 
     def write(self, df, name, mode="append"):
         """Append, or overwrite keeping the table's definition."""
+        writers = {} if self.writers is None else {"numPartitions": str(self.writers)}
         (
-            df.write.format("jdbc").options(**self.options)
+            df.write.format("jdbc").options(**{**self.options, **writers})
             .option("dbtable", name).option("truncate", True).mode(mode).save()
         )
 
@@ -74,5 +76,5 @@ class JdbcStore:
         """
         staged = f"{name}_temp"
         self.write(df, staged, "overwrite")
-        self.write(self.table(staged), name, "overwrite")
+        self.write(self._read(staged, self.ranges.get(name)), name, "overwrite")
         self.drop(staged)

@@ -1,7 +1,6 @@
 """The options given to Spark's JDBC source. No database is started for a test, so nothing connects."""
 
 import pytest
-from pyspark.errors import AnalysisException
 
 from tallyline.sources.jdbc import CATALOG_CLASS, JdbcStore
 
@@ -33,7 +32,7 @@ class Recorder:
 
     def load(self):
         if self.fail:
-            raise AnalysisException("no table")
+            raise OSError("no such table in the database")
         return self
 
     def save(self):
@@ -94,3 +93,27 @@ def test_append_keeps_the_definition():
     JdbcStore(spark, OPTIONS).write(spark, "t")
     assert spark.calls == [
         {"format": "jdbc", **OPTIONS, "dbtable": "t", "truncate": True, "mode": "append"}]
+
+
+def test_a_callers_partitions_bound_the_writers_and_not_the_ranges():
+    spark = Recorder(first=(3, 90))
+    store = JdbcStore(spark, {**OPTIONS, "numPartitions": "4"}, {"t": ("id", 12)}, writers=2)
+    store.table("t")
+    assert spark.calls[1]["numPartitions"] == "12"
+    store.write(spark, "t")
+    assert spark.calls[2]["numPartitions"] == "2"
+
+
+def test_a_query_is_read_in_ranges():
+    spark = Recorder(first=(1, 8))
+    JdbcStore(spark, OPTIONS).query("SELECT id FROM t", ("id", 3))
+    assert spark.calls[0]["dbtable"] == "(SELECT MIN(id) AS lo, MAX(id) AS hi FROM (SELECT id FROM t) t) t"
+    assert spark.calls[1]["dbtable"] == "(SELECT id FROM t) t"
+    assert (spark.calls[1]["partitionColumn"], spark.calls[1]["numPartitions"]) == ("id", "3")
+
+
+def test_a_staged_copy_is_read_in_the_ranges_of_its_table():
+    spark = Recorder(first=(3, 90))
+    JdbcStore(spark, OPTIONS, {"t": ("id", 12)}).replace(spark, "t")
+    reads = [c for c in spark.calls if c.get("dbtable") == "t_temp" and "mode" not in c]
+    assert [r["numPartitions"] for r in reads] == ["12"]
