@@ -19,11 +19,11 @@ from tallyline.session import scratch_path  # noqa: E402
 from tallyline.sources import files, xmldump  # noqa: E402
 from tallyline.sources.catalog import CatalogStore  # noqa: E402
 
-CREATED, USER = "20210923", "capture"
+CREATED, USER = "20240131", "capture"
 
 
 def _as_of():
-    return F.lit("2021-09-17 10:00:00").cast("timestamp_ntz")
+    return F.lit("2024-01-15 08:30:00").cast("timestamp_ntz")
 
 
 def _store(spark):
@@ -75,7 +75,7 @@ def capture_rejects(spark, sf_dir):
 def bulk_metrics(spark, sf_dir):
     return capture.bulk_metrics(
         fx.metric_pairs(spark, sf_dir), fx.source_definition(spark, sf_dir),
-        fx.metric_definition(spark, sf_dir), "20211028", 50, "20211028", "bulk",
+        fx.metric_definition(spark, sf_dir), "20240228", 35, "20240228", "bulk",
     )
 
 
@@ -105,7 +105,8 @@ def _by_batch(metric, on_missing="zero"):
 
 
 def recon_log(spark, sf_dir):
-    return reconcile.number_log(_by_batch("customer")(spark, sf_dir))
+    keys = reconcile.tracked_keys(fx.metric_batch_tracker(spark, sf_dir, "customer"))
+    return reconcile.number_log(_by_batch("customer")(spark, sf_dir), keys=keys)
 
 
 def comparisons_of(spark, sf_dir):
@@ -145,7 +146,7 @@ def insert_metric(spark, sf_dir):
     existing = fx.metric_data(spark, sf_dir, "customer")
     row = jobs.single_metric(
         fx.source_definition(spark, sf_dir), fx.metric_definition(spark, sf_dir),
-        "NATION_8", "URGENT", 200, "20210925", "20210918", "bulk",
+        "NATION_8", "URGENT", 120, "20240229", "20240301", "bulk",
     )
     return upsert.insert_absent_keys(existing, row, ["SourceId", "MetricId"])
 
@@ -160,27 +161,27 @@ def select_where(spark, sf_dir):
 def catalog_table_scan(spark, sf_dir):
     store = _store(spark)
     orders = fx.read(spark, sf_dir, "orders")
-    store.write(orders.select("o_orderkey", "o_orderstatus", "o_totalprice"), "orders", "overwrite")
+    store.write(orders, "orders", "overwrite")
     return store.table("orders")
 
 
 def catalog_sql_scan(spark, sf_dir):
     store = _store(spark)
     customers = fx.read(spark, sf_dir, "customer")
-    store.write(customers.select("c_custkey", "c_name", "c_acctbal"), "customer", "overwrite")
+    store.write(customers, "customer", "overwrite")
     return store.query(f"SELECT * FROM {store.database}.customer")
 
 
 def external_table(spark, sf_dir):
     store = _store(spark)
-    orders = fx.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    orders = fx.read(spark, sf_dir, "orders")
     files.publish_table(orders, f"{store.database}.orders", scratch_path(spark, "external"))
     return store.table("orders")
 
 
 def publish_parquet(spark, sf_dir):
     path = scratch_path(spark, "published")
-    lines = fx.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    lines = fx.read(spark, sf_dir, "lineitem")
     files.publish_parquet(lines, path)
     return spark.read.parquet(path)
 
@@ -218,6 +219,75 @@ def lookup_copy_rows(spark, sf_dir):
     return _lookup_copy(spark, sf_dir)[1].table("amounts")
 
 
+# jobs that write, on stores of the catalog; each reads back what it wrote
+
+def _recon_store(spark, sf_dir, metric):
+    store = _store(spark)
+    for name, rows in {
+        "metric_comparision_map": fx.metric_comparision_map(spark, sf_dir, metric),
+        "comparision_definition": fx.comparision_definition(spark),
+        "metric_batch_tracker": fx.metric_batch_tracker(spark, sf_dir, metric),
+        "metric_data": fx.metric_data(spark, sf_dir, metric),
+    }.items():
+        store.write(rows, name, "overwrite")
+    return store
+
+
+def job_compact_log(spark, sf_dir):
+    source, target = _store(spark), _store(spark)
+    source.write(fx.audit_log(spark, sf_dir), "audit_log", "overwrite")
+    jobs.compact_log(source, target)
+    return target.table("output_auditlog")
+
+
+def job_capture_metrics(spark, sf_dir):
+    source, target = _store(spark), _store(spark)
+    source.write(fx.savepoint(spark, sf_dir, "minute"), "etlaudit_savepoint", "overwrite")
+    source.write(fx.manifest(spark, sf_dir, "minute"), "manifest", "overwrite")
+    jobs.capture_metrics(source, target, fx.tasks(spark, sf_dir), CREATED, USER)
+    return target.table("metric_data")
+
+
+def job_reconcile_maps(spark, sf_dir):
+    store = _recon_store(spark, sf_dir, "priority")
+    jobs.reconcile_maps(store, store, "5,6,7,12")
+    return store.table("reconciliation_log")
+
+
+def job_reconcile_batches(spark, sf_dir):
+    store = _recon_store(spark, sf_dir, "customer")
+    jobs.reconcile_batches(store, store, None)
+    return store.table("reconciliation_log")
+
+
+def job_load_bulk_metrics(spark, sf_dir):
+    store = _store(spark)
+    store.write(fx.source_definition(spark, sf_dir), "source_definition", "overwrite")
+    store.write(fx.metric_definition(spark, sf_dir), "metric_definition", "overwrite")
+    jobs.load_bulk_metrics(store, fx.metric_pairs(spark, sf_dir), "20240228", 35, "20240228", "bulk")
+    return store.table("metric_data")
+
+
+def job_store_metadata(spark, sf_dir):
+    """Suppliers as jobs, and a placeholder of each, added by position to tables that have some."""
+    store = _store(spark)
+    rows, placeholders = _jobs(spark, sf_dir)
+    store.write(rows.limit(0), "jobmetadata", "overwrite")
+    store.write(placeholders.limit(0), "batch", "overwrite")
+    jobs.store_metadata(store, rows, placeholders, "jobmetadata", "batch")
+    kept = store.table("jobmetadata").withColumnRenamed("jobid", "id")
+    return kept.join(store.table("batch"), F.col("id") == F.col("JobId")).select(
+        "jobname", "cost", "BatchId", "Status"
+    )
+
+
+def job_publish_query(spark, sf_dir):
+    store, path = _store(spark), scratch_path(spark, "published")
+    store.write(fx.read(spark, sf_dir, "customer"), "customer", "overwrite")
+    jobs.publish_query(store, f"SELECT c_nationkey, c_name FROM {store.database}.customer WHERE c_acctbal > 0", path)
+    return spark.read.parquet(path)
+
+
 def _csv(df, spark, name):
     path = scratch_path(spark, name)
     df.write.option("header", True).csv(path)
@@ -261,13 +331,12 @@ def _part_dump(spark, sf_dir):
 
 
 def xml_dump_rows(spark, sf_dir):
-    return xmldump.dump_rows(spark, _part_dump(spark, sf_dir), ["p_partkey", "p_size"])
+    return xmldump.dump_rows(spark, _part_dump(spark, sf_dir), ["p_partkey", "p_size", "p_retailprice"])
 
 
 def xml_blob_json(spark, sf_dir):
     rows = xmldump.dump_rows(spark, _part_dump(spark, sf_dir), ["p_partkey", "blob_column"])
-    schema = "name string, brand string, type string"
-    return xmlblob.blob_to_json(rows, "blob_column", schema, "part").select("p_partkey", "json")
+    return xmlblob.blob_to_json(rows, "blob_column").select("p_partkey", "json")
 
 
 QUERIES = {
@@ -308,7 +377,15 @@ QUERIES = {
     "seed_definitions": seed_definitions,
     "xml_dump_rows": xml_dump_rows,
     "xml_blob_json": xml_blob_json,
+    "job_compact_log": job_compact_log,
+    "job_capture_metrics": job_capture_metrics,
+    "job_reconcile_maps": job_reconcile_maps,
+    "job_reconcile_batches": job_reconcile_batches,
+    "job_load_bulk_metrics": job_load_bulk_metrics,
+    "job_store_metadata": job_store_metadata,
+    "job_publish_query": job_publish_query,
 }
+CORE = dict(QUERIES)
 
 
 MORE_ORACLES = {}

@@ -15,10 +15,10 @@ audit_log AS (
 
 # every latest change side by side with the other latest changes of its id
 CHANGE_FLAGS = """
-kinds AS (SELECT * FROM (VALUES ('I', 1), ('U', 2)) t(code, kind)),
 changes AS (
-  SELECT coalesce(id_new, id_old) AS id, op_code, op_time, coalesce(kind, 3) AS kind
-  FROM audit_log LEFT JOIN kinds ON code = op_code),
+  SELECT coalesce(id_new, id_old) AS id, op_code, op_time,
+    CASE op_code WHEN 'I' THEN 1 WHEN 'U' THEN 2 ELSE 3 END AS kind
+  FROM audit_log),
 latest AS (
   SELECT id, op_code, op_time, kind FROM (
     SELECT *, row_number() OVER (PARTITION BY id, kind
@@ -51,10 +51,8 @@ def audit(grain):
     batch = BATCHES[grain]
     return f"""
 manifest AS (
-  SELECT "TaskId", "BatchId", SUM(c) OVER (PARTITION BY "TaskId" ORDER BY "BatchId"
-    ROWS UNBOUNDED PRECEDING) AS "RecordsReceived"
-  FROM (SELECT event_type AS "TaskId", {batch} AS "BatchId", COUNT(*) AS c
-        FROM events GROUP BY 1, 2) d),
+  SELECT event_type AS "TaskId", {batch} AS "BatchId", MAX(event_id) AS "RecordsReceived"
+  FROM events GROUP BY 1, 2),
 savepoint AS (
   SELECT event_type AS "TaskId", {batch} AS "BatchId",
     COUNT(CASE WHEN value > 5 THEN 1 END) AS "RecordsProcesssed",
@@ -65,7 +63,7 @@ tasks AS (
 savepoint_metrics AS (
   SELECT CAST("MetricId" AS INTEGER) AS "MetricId", 1 AS "SourceId", "BatchId",
     'V2' AS "MetricVersion", CAST("RecordsProcesssed" AS BIGINT) AS "MetricValue",
-    '20210923' AS "CreatedTimeSTamp", 'capture' AS "CreatedBy"
+    '20240131' AS "CreatedTimeSTamp", 'capture' AS "CreatedBy"
   FROM savepoint JOIN tasks USING ("TaskId")),
 lagged AS (
   SELECT m."TaskId", m."BatchId", m."RecordsReceived",
@@ -78,7 +76,7 @@ lagged AS (
 manifest_metrics AS (
   SELECT CAST("MetricId" AS INTEGER) AS "MetricId", 2 AS "SourceId", "BatchId",
     'V2' AS "MetricVersion", CAST("RecordsReceived" - coalesce(prior, 0) AS BIGINT) AS "MetricValue",
-    '20210923' AS "CreatedTimeSTamp", 'capture' AS "CreatedBy"
+    '20240131' AS "CreatedTimeSTamp", 'capture' AS "CreatedBy"
   FROM lagged JOIN tasks USING ("TaskId"))
 """
 
@@ -98,7 +96,7 @@ metric_data AS (
     COUNT(*) AS "MetricValue" FROM orders GROUP BY 1, 3
   UNION ALL
   SELECT {by}, 2, {MONTH}, 'V2', COUNT(DISTINCT o_orderkey)
-  FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber <= 3 GROUP BY 1, 3),
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 3),
 defs AS (SELECT * FROM (VALUES (1, 1, 2), (2, 2, 1), (3, 1, 1), (4, 1, 9))
          t("ComparisionId", "SourceId", "TargetId")),
 maps AS (
@@ -203,7 +201,7 @@ metrics AS (SELECT substr(o_orderpriority, 3) AS "MetricName",
 {select}"""
 
 
-MOMENT = "TIMESTAMP '2021-09-17 10:00:00'"
+MOMENT = "TIMESTAMP '2024-01-15 08:30:00'"
 
 ORACLES = {
     "change_flags": f"WITH {AUDIT_LOG}, {CHANGE_FLAGS} SELECT * FROM change_flags",
@@ -221,8 +219,8 @@ SELECT "TaskId", "BatchId", CAST("RecordsReceived" AS INTEGER) AS "RecordsReceiv
   'unknown task' AS "Reason" FROM manifest
 WHERE "TaskId" = 'purchase'""",
     "bulk_metrics": bulk("""SELECT row_number() OVER (ORDER BY "SourceName", "MetricName") AS "metricDataId",
-  "MetricId", "SourceId", '20211028' AS "BatchId", 'V2' AS "MetricVersion", CAST(50 AS BIGINT) AS "MetricValue",
-  '20211028' AS "CreatedTimeSTamp", 'bulk' AS "CreatedBy"
+  "MetricId", "SourceId", '20240228' AS "BatchId", 'V2' AS "MetricVersion", CAST(35 AS BIGINT) AS "MetricValue",
+  '20240228' AS "CreatedTimeSTamp", 'bulk' AS "CreatedBy"
 FROM pairs JOIN sources USING ("SourceName") JOIN metrics USING ("MetricName")"""),
     "latest_metric_rows": f"""WITH {recon_tables('customer')}
 SELECT "MetricId", "SourceId", "BatchId", "MetricVersion", "MetricValue" FROM (
@@ -254,17 +252,17 @@ SELECT "MetricId", "SourceId", "BatchId", "MetricVersion", "MetricValue" FROM (
   SELECT *, row_number() OVER (PARTITION BY "SourceId", "MetricId"
     ORDER BY origin, "BatchId", "MetricVersion", "MetricValue") AS n
   FROM (SELECT 0 AS origin, * FROM metric_data
-        UNION ALL SELECT 1, "MetricId", "SourceId", '20210925', '12', 200 FROM named) b) r
+        UNION ALL SELECT 1, "MetricId", "SourceId", '20240229', 'V2', 120 FROM named) b) r
 WHERE n = 1""".replace("{bulk_names}", """named AS (
   SELECT (SELECT MIN(CAST(substr(o_orderpriority, 1, 1) AS INTEGER)) FROM orders
           WHERE substr(o_orderpriority, 3) = 'URGENT') AS "MetricId",
          (SELECT n_nationkey + 1 FROM nation WHERE n_name = 'NATION_8') AS "SourceId")"""),
     "select_where": """SELECT l_orderkey, l_quantity FROM lineitem
 WHERE l_returnflag = 'R' AND l_quantity > 25""",
-    "catalog_table_scan": "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders",
-    "catalog_sql_scan": "SELECT c_custkey, c_name, c_acctbal FROM customer",
-    "external_table": "SELECT o_orderkey, o_custkey, o_orderpriority FROM orders",
-    "publish_parquet": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem",
+    "catalog_table_scan": "SELECT * FROM orders",
+    "catalog_sql_scan": "SELECT * FROM customer",
+    "external_table": "SELECT * FROM orders",
+    "publish_parquet": "SELECT * FROM lineitem",
     "staged_overwrite": f"""SELECT orderkey, status FROM ({LINES}) e
 UNION SELECT orderkey, status FROM ({HEADS}) i""",
     "lookup_copy": """SELECT 'amounts' AS target_table, COUNT(*) AS rows FROM orders
@@ -286,8 +284,20 @@ UNION ALL SELECT c_custkey, c_acctbal FROM customer""",
     "seed_definitions": """SELECT s_suppkey AS "SourceId", s_name AS "SourceName",
   'Supplier of nation ' || s_nationkey AS "SourceDescription" FROM supplier WHERE s_nationkey > 4""",
     "xml_dump_rows": """SELECT CAST(p_partkey AS VARCHAR) AS p_partkey,
-  CAST(p_size AS VARCHAR) AS p_size FROM part""",
+  CAST(p_size AS VARCHAR) AS p_size, CAST(p_retailprice AS VARCHAR) AS p_retailprice FROM part""",
     "xml_blob_json": """SELECT CAST(p_partkey AS VARCHAR) AS p_partkey,
-  '{"part":{"name":"' || p_name || '","brand":"' || p_brand || '","type":"' || p_type || '"}}' AS json
+  '{"part":{"brand":"' || p_brand || '","name":"' || p_name || '","type":"' || p_type || '"}}' AS json
 FROM part""",
 }
+
+ORACLES |= {
+    "job_compact_log": ORACLES["compact_changes"],
+    "job_capture_metrics": ORACLES["metric_feed"],
+    "job_reconcile_maps": ORACLES["recon_by_map_selected"].replace(
+        f"SELECT {LOG}", f'SELECT row_number() OVER (ORDER BY map, batch) AS "ReconLogId", {LOG}'),
+    "job_reconcile_batches": ORACLES["recon_log"],
+    "job_load_bulk_metrics": ORACLES["bulk_metrics"],
+    "job_store_metadata": """SELECT s_name AS jobname, s_acctbal AS cost,
+  '20210917' || s_suppkey AS "BatchId", 'Completed' AS "Status" FROM supplier""",
+    "job_publish_query": "SELECT c_nationkey, c_name FROM customer WHERE c_acctbal > 0",
+}

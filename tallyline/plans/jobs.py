@@ -5,6 +5,7 @@ A store is a CatalogStore or a JdbcStore. Rows go from the source to the target
 
 from pyspark.sql import Observation, functions as F
 
+from tallyline import codes
 from tallyline.operators import capture, changelog, metadata, reconcile, upsert
 from tallyline.operators.select import conform, select_where
 from tallyline.schemas import LOOKUP, RECONCILIATION_LOG
@@ -49,11 +50,13 @@ def reconcile_maps(source, target, map_ids):
 
 def reconcile_batches(source, target, map_ids, on_missing="zero"):
     """Replace the log by one reconciliation per map and new batch."""
+    tracker = source.table("metric_batch_tracker")
     log = reconcile.recon_by_batch(
         source.table("metric_comparision_map"), source.table("comparision_definition"),
-        source.table("metric_batch_tracker"), source.table("metric_data"), map_ids, on_missing,
+        tracker, source.table("metric_data"), map_ids, on_missing,
     )
-    numbered = conform(reconcile.number_log(log), RECONCILIATION_LOG)
+    numbered = reconcile.number_log(log, keys=reconcile.tracked_keys(tracker))
+    numbered = conform(numbered, RECONCILIATION_LOG)
     target.write(numbered, "reconciliation_log", "overwrite")
 
 
@@ -72,7 +75,7 @@ def append_if_absent(store, name, incoming, keys):
     store.write(upsert.rows_to_append(existing, incoming, keys), name)
 
 
-def insert_metric(store, source_name, metric_name, value, batch, created, user, version="12"):
+def insert_metric(store, source_name, metric_name, value, batch, created, user, version=codes.METRIC_VERSION):
     """Insert one metric by names unless its source and metric already have one."""
     row = single_metric(
         store.table("source_definition"), store.table("metric_definition"),
@@ -81,23 +84,25 @@ def insert_metric(store, source_name, metric_name, value, batch, created, user,
     insert_if_absent(store, "metric_data", row, ["SourceId", "MetricId"])
 
 
-def single_metric(sources, metrics, source_name, metric_name, value, batch, created, user, version="12"):
+def single_metric(sources, metrics, source_name, metric_name, value, batch, created, user, version=codes.METRIC_VERSION):
     """One metric row with its ids looked up by name."""
     spark = sources.sparkSession
     pair = spark.createDataFrame([(source_name, metric_name)], "SourceName string, MetricName string")
     return capture.named_metrics(pair, sources, metrics, batch, value, created, user, version)
 
 
-def lookup_copy(source, target, lookup):
+def lookup_copy(source, target, lookup, splits=None):
     """Run every lookup row's query and append its result to its target table.
 
-    The driver goes over the lookup rows, which are job definitions; the data stays in Spark.
+    The driver goes over the lookup rows, which are job definitions; the data stays in Spark. `splits`
+    names, for source tables whose queries many tasks shall read, a column and a number of ranges.
     Returns (target_table, rows) per lookup row.
     """
     done = []
     for job in conform(lookup, LOOKUP).toLocalIterator():
         seen = Observation()
-        counted = source.query(job.sql_query).observe(seen, F.count(F.lit(1)).alias("rows"))
+        rows = source.query(job.sql_query, (splits or {}).get(job.source_table))
+        counted = rows.observe(seen, F.count(F.lit(1)).alias("rows"))
         target.write(counted, job.target_table)
         done.append((job.target_table, seen.get["rows"]))
     return lookup.sparkSession.createDataFrame(done, "target_table string, rows bigint")

@@ -1,24 +1,14 @@
 """The folder all executors share, for checkpoints and staged tables."""
 
-import tempfile
 import uuid
 
 SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark):
-    """Folder named by ``spark.checkpoint.dir``; a local one is made only for a local master."""
-    folder = spark.conf.get(SETTING, None)
-    if folder:
-        return folder
-    context = spark.sparkContext
-    chosen = context.getCheckpointDir()
-    if chosen:
-        return chosen
-    if not context.master.startswith("local"):
-        raise ValueError(f"set {SETTING} to a folder that every executor can reach")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="tallyline-"))
-    return context.getCheckpointDir()
+    """Folder named by ``spark.checkpoint.dir``; without one, a folder in the warehouse, which is shared too."""
+    folder = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tallyline-staged"
 
 
 def scratch_path(spark, name):

@@ -29,21 +29,21 @@ def values(counted):
 
 
 def test_cumulative_manifests_give_what_each_batch_adds(spark):
-    found = adds(spark, policy([100, 120, 141, 142]), statuses(["Success"] * 4))
-    assert values(found) == [100, 20, 21, 1]
+    found = adds(spark, policy([30, 37, 90, 95]), statuses(["Success"] * 4))
+    assert values(found) == [30, 7, 53, 5]
 
 
 def test_a_failed_batch_delivers_nothing(spark):
-    found = adds(spark, policy([100, 120, 141]), statuses(["Success", "Failed", "Success"]))
-    assert values(found) == [100, 20, 41]
+    found = adds(spark, policy([30, 37, 90]), statuses(["Success", "Failed", "Success"]))
+    assert values(found) == [30, 7, 60]
 
 
 def test_a_batch_without_savepoint_delivers_nothing(spark):
-    assert values(adds(spark, policy([100, 120]), statuses([None, "Success"]))) == [100, 120]
+    assert values(adds(spark, policy([30, 37]), statuses([None, "Success"]))) == [30, 37]
 
 
 def test_tasks_do_not_mix(spark):
-    rows = policy([100, 120]) + [("PC_CLAIM", "b1", 30)]
+    rows = policy([50, 60]) + [("PC_CLAIM", "b1", 30)]
     done = statuses(["Success", "Success"]) + [("PC_CLAIM", "b1", 0, "Success")]
     assert adds(spark, rows, done)[("PC_CLAIM", "b1", 30)] == 1
 
