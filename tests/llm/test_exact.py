@@ -1,0 +1,75 @@
+"""Exact dedup against a plain grouping of the normalised texts."""
+
+import hashlib
+import random
+import re
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyline.llm import exact_dedup
+
+SCHEMA = "doc_id long, text string"
+
+
+def plain(rows):
+    """(id, keep_id, group_size, kept, sha) for every row, in order."""
+    norm = [re.sub(r"[\x20\x09-\x0D]", "", t or "") for _, t in rows]
+    groups = defaultdict(list)
+    for i, n in enumerate(norm):
+        groups[n].append(i)
+    out = []
+    for i, (k, _) in enumerate(rows):
+        best = min(groups[norm[i]], key=lambda j: (-len(rows[j][1] or ""), rows[j][0] is None, rows[j][0] or 0, j))
+        out.append((k, rows[best][0], len(groups[norm[i]]), hashlib.sha256(norm[i].encode()).hexdigest()))
+    return out
+
+
+def found(spark, rows, **options):
+    df = exact_dedup.exact_groups(spark.createDataFrame(rows, SCHEMA), **options)
+    return [tuple(r) for r in df.select("doc_id", "keep_id", "group_size", "text_sha256", "kept").collect()]
+
+
+def agree(spark, rows, **options):
+    got = found(spark, rows, **options)
+    assert sorted((g[:4] for g in got), key=str) == sorted(plain(rows), key=str)
+    # one row of each group stays
+    kept = defaultdict(int)
+    for row in got:
+        kept[row[3]] += row[4]
+    assert set(kept.values()) == {1} if rows else not kept
+
+
+@pytest.mark.parametrize("block", [1, 3, 4096])
+def test_random_texts(spark, block):
+    draw = random.Random(block)
+    texts = ["".join(draw.choice("ab \n\x0bé漢") for _ in range(draw.choice([0, 1, 2, 5, 9, 17]))) for _ in range(120)]
+    agree(spark, [(n, t) for n, t in enumerate(texts)], block_bytes=block)
+
+
+def test_contents_with_one_key_keep_their_own_names(spark):
+    draw = random.Random(2)
+    rows = [(n, "".join(draw.choice("xyz") for _ in range(draw.randrange(14)))) for n in range(80)]
+    agree(spark, rows, block_bytes=2, key=lambda block: F.octet_length(block).cast("long"))
+
+
+def test_nulls_ties_repeats_and_long_texts(spark):
+    rows = [(1, None), (2, ""), (3, " \t"), (3, " \t"), (None, "a"), (None, "a b"), (7, "ab"), (5, "ab"), (5, "ab"),
+            (9, "long " * 20_000), (8, "long" * 20_000), (10, "long" * 19_999 + "lonG")]
+    agree(spark, rows)
+
+
+def test_an_empty_table(spark):
+    agree(spark, [])
+    assert exact_dedup.keep_one(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_what_stays_has_all_its_columns(spark):
+    rows = [(1, "a b", 5, "x"), (2, "ab", 6, "y"), (3, "c", 7, None), (4, None, None, None), (3, "c", 8, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_id int, kept string")
+    got = exact_dedup.keep_one(docs)
+    assert got.columns == docs.columns
+    stayed = sorted((tuple(r) for r in got.collect()), key=str)
+    assert [r[0] for r in stayed] == [1, 3, 4]
+    assert set(stayed) <= set(rows)

@@ -1,0 +1,184 @@
+"""Toxicity, licences and mixing: held-out accuracy, exact sums, defined edge cases."""
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tallyline.llm import licences, mixing, toxicity
+
+SF_DIR = "/root/testdata/sf0.001"
+DOCS, LABELS = "doc_id long, text string", "doc_id long, quality int, toxic int"
+
+
+def labelled(n=1200):
+    """Texts of which a quarter hold bad words, a tenth odd marks, with their labels."""
+    draw = random.Random(11)
+    word = lambda: "".join(draw.choice("abcdefghijklm") for _ in range(draw.randrange(2, 7)))
+    docs, labels = [], []
+    for k in range(n):
+        words = [word() for _ in range(draw.choice([5, 40, 120]))]
+        toxic = int(draw.random() < 0.25)
+        junk = int(draw.random() < 0.15)
+        if toxic:
+            for _ in range(3):
+                words.insert(draw.randrange(len(words)), draw.choice(["vilest", "nastier", "grimy"]))
+        text = "&&& ".join(words) if junk else " ".join(words)
+        docs.append((k, text))
+        labels.append((k, 1 - junk, toxic))
+    return docs, labels
+
+
+def held(k):
+    return zlib.crc32(str(k).encode()) % 5 == 0
+
+
+def test_toxicity_on_rows_it_has_not_learned(spark):
+    docs, labels = labelled()
+    df, marks = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
+    got = {r.doc_id: r for r in toxicity.scored(df, marks).collect()}
+    truth = {k: t for k, _, t in labels}
+    mine = [k for k in got if held(k)]
+    assert all(got[k].held_out == held(k) for k in got)
+    assert sum(got[k].predicted == truth[k] for k in mine) >= 0.97 * len(mine)
+    assert all((r.score >= 0.5) == (r.predicted == 1) and 0 <= r.score <= 1 for r in got.values())
+    # labels of held-out rows are never looked at
+    turned = spark.createDataFrame([(k, q, 1 - t if held(k) else t) for k, q, t in labels], LABELS)
+    again = {r.doc_id: r.score for r in toxicity.scored(df, turned).collect()}
+    assert again == {k: r.score for k, r in got.items()}
+    kept = {r.doc_id for r in toxicity.keep_clean(df, marks).collect()}
+    assert kept == {k for k, r in got.items() if not r.predicted}
+
+
+def test_ftrl_by_hand():
+    draw = random.Random(12)
+    size = 20
+    model = toxicity.Ftrl(size)
+    z, n = [0.0] * (size + 1), [0.0] * (size + 1)
+
+    def weight(i):
+        if i != size and abs(z[i]) <= toxicity.L1:
+            return 0.0
+        cut = z[i] if i == size else z[i] - (1 if z[i] > 0 else -1) * toxicity.L1
+        return -cut / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(400):
+        places = sorted(draw.sample(range(size), 5)) + [size]
+        label = float(places[0] < 3)
+        chance = 1 / (1 + np.exp(-sum(weight(i) for i in places)))
+        for i in places:
+            slope = chance - label
+            rate = ((n[i] + slope * slope) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA
+            w = weight(i)
+            z[i] += slope - rate * w
+            n[i] += slope * slope
+        model.learn(np.array(places), label)
+    assert np.allclose(model.z, z) and np.allclose(model.n, n)
+    assert np.allclose(model.weights(np.arange(size + 1)), [weight(i) for i in range(size + 1)])
+
+
+def test_toxicity_edge_cases(spark):
+    docs, labels = labelled(200)
+    docs = [*docs, (None, None), (7, "repeated"), (7, "repeated"), (900, ""), (901, "vilest " * 30_000)]
+    marks = [*labels, (None, 1, 1), (3, None, None), (4, 1, 0), (4, 1, 1)]
+    df = spark.createDataFrame(docs, DOCS).selectExpr("*", "1 AS mark", "2 AS label", "3 AS score")
+    got = toxicity.scored(df, spark.createDataFrame(marks, LABELS)).collect()
+    assert len(got) == len(docs)
+    none = toxicity.scored(df, spark.createDataFrame([], LABELS))
+    assert {(r.score, r.predicted) for r in none.collect()} == {(0.5, 0)}
+    assert toxicity.scored(df.limit(0), spark.createDataFrame(labels, LABELS)).count() == 0
+    assert toxicity.keep_clean(df, spark.createDataFrame([], LABELS)).count() == len(docs)
+
+
+@pytest.fixture(scope="module")
+def licence_lines():
+    return {
+        "Licensed under the Apache License, Version 2.0.": "Apache", "Released under the MIT License.": "MIT",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL", "Licensed under CC BY-NC 4.0.": "CC BY-NC",
+        "NOTE: LICENSED UNDER THE APACHE LICENSE, VERSION 2.0.": "Apache", "Das Spiel mit dem Ball.": "", "He lost his driving license.": "",
+        "The public domain of the river, in the new version 2.0 of the map.": "", "": "", "Licensed to thrill under the bridge.": "",
+    }
+
+
+def test_licence_families(spark, licence_lines):
+    other = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").limit(100)
+    rows = [(10_000 + n, f"first words\n{line}\nlast words") for n, line in enumerate(licence_lines)]
+    rows += [(20_000, "\n".join(licence_lines)), (None, None), (20_001, "Released under the MIT License."), (20_001, "Released under the MIT License."),
+             (20_002, "plain words, many of them. " * 20_000 + "Released under the MIT License.")]
+    docs = other.unionByName(spark.createDataFrame(rows, DOCS)).selectExpr("*", "1 AS row_id", "2 AS family", "3 AS lines")
+    got = [(r.doc_id, r.licences, r.n_confirmed) for r in licences.licences(docs).collect() if r.doc_id is None or r.doc_id >= 10_000]
+    by_id = {k: (names, n) for k, names, n in got}
+    assert len(got) == len(rows)
+    for n, family in enumerate(licence_lines.values()):
+        assert by_id[10_000 + n][0] == family
+    assert by_id[20_000] == ("Apache,CC BY-NC,GPL,MIT", 5)
+    assert by_id[20_002][0] == by_id[20_001][0] == "MIT" and by_id[None] == ("", 0)
+
+
+def test_telling_words_leave_out_no_licence():
+    draw = random.Random(13)
+    for _ in range(30):
+        names = [f"w{n}" for n in range(9)]
+        weights = {" ".join(draw.sample(names, draw.choice([1, 1, 2]))): [draw.uniform(-1, 2) for _ in range(3)] for _ in range(14)}
+        intercepts, limit = [-1.0, -0.5, 1.0], 0.4
+        telling = set(licences.telling_words(["a", "b", licences.UNKNOWN], intercepts, weights, limit, {"w1": 5, "w2": 2}))
+        for _ in range(200):
+            grams = draw.sample(sorted(weights), draw.randrange(len(weights)))
+            if any(telling & set(g.split()) for g in grams):
+                continue
+            scores = np.exp([b + sum(weights[g][i] for g in grams) for i, b in enumerate(intercepts)])
+            assert max(scores[:2]) / scores.sum() < limit
+
+
+def test_no_licence_in_an_empty_table(spark):
+    assert licences.licences(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_mixing_reaches_its_targets(spark):
+    docs, labels = labelled()
+    df, marks = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
+    weights = {"clean": 0.8, "junk": 0.15, "toxic": 0.05}
+    rows = mixing.mixed_rates(df, marks, weights).collect()
+    assert len(rows) == len(docs)
+    tokens = np.array([r.tokens for r in rows], float)
+    posterior = np.array([r.posterior for r in rows])
+    rates = np.array([r.rate for r in rows])
+    reached = (rates * tokens) @ posterior
+    assert np.allclose(posterior.sum(axis=1), 1) and (rates >= 0).all()
+    assert np.allclose(reached, [weights[d] * tokens.sum() for d in mixing.DOMAINS], rtol=1e-4)
+    # the classifier, on rows it has not learned
+    truth = {k: 0 if t else 1 if not q else 2 for k, q, t in labels}
+    mine = [r for r in rows if held(r.doc_id)]
+    assert sum(int(np.argmax(r.posterior)) == truth[r.doc_id] for r in mine) >= 0.9 * len(mine)
+    assert all(abs(r.copies - r.rate) < 1 for r in rows)
+    copies = sum(r.copies * r.tokens for r in rows)
+    assert abs(copies / tokens.sum() - 1) < 0.1
+
+
+def test_mixing_that_keeps_every_document(spark):
+    docs, labels = labelled(400)
+    df = spark.createDataFrame(docs, DOCS).withColumn("copies_", F.lit("extra"))
+    got = mixing.mixed(df, spark.createDataFrame(labels, LABELS), {"clean": 0.9, "junk": 0.1}, least=1.0)
+    assert got.columns == df.columns
+    assert {r.doc_id for r in got.collect()} == {k for k, _ in docs}
+
+
+def test_rates_that_cannot_reach_their_targets_stay_bounded(spark):
+    table = spark.createDataFrame([(10, [1.0, 0.0]), (10, [1.0, 0.0])], "tokens long, posterior array<double>")
+    steps = mixing.fit_steps(table, [30.0, 50.0])
+    rates = mixing._rates(np.array([[1.0, 0.0]]), steps, 0.0)
+    assert np.allclose(rates, 1.5)
+    least = mixing._rates(np.array([[1.0, 0.0]]), mixing.fit_steps(table, [5.0, None], 1.0), 1.0)
+    assert np.allclose(least, 1.0)
+
+
+def test_mixing_edge_cases(spark):
+    docs, labels = labelled(100)
+    docs = [*docs, (None, None), (5, "twice"), (5, "twice"), (900, "")]
+    df = spark.createDataFrame(docs, DOCS).selectExpr("*", "1 AS tokens", "2 AS rate", "3 AS id")
+    got = mixing.mixed_rates(df, spark.createDataFrame([], LABELS), {"clean": 1.0})
+    assert got.count() == len(docs)
+    assert {tuple(round(p, 6) for p in r.posterior) for r in got.collect()} == {(0.333333,) * 3}
+    assert mixing.mixed(df.limit(0), spark.createDataFrame(labels, LABELS), {"clean": 1.0}).count() == 0

@@ -1,0 +1,60 @@
+"""The registered queries against their SQL, and the pipeline against plain Python on a small table."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from compare import spark_rows, sql_rows
+from tallyline.llm import near_dedup, toxicity
+from tallyline.llm.queries import ORACLES, QUERIES
+
+SF_DIR = "/root/testdata/sf0.001"
+
+
+def test_there_is_a_query_for_each_operator():
+    names = {re.match(r"op(\d+)_", name)[1] for name in QUERIES}
+    assert names == {str(n) for n in range(1, 11)}
+    assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_same_rows_as_sql(spark, name):
+    assert spark_rows(entry.queries()[name](spark, SF_DIR)) == sql_rows(entry.oracle_sql()[name], SF_DIR)
+
+
+def test_pipeline_stage_by_stage(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    columns, seen = docs.columns, {}
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = {r.doc_id: r.text for r in docs.collect()}
+        stage(spark, docs, SF_DIR).write.parquet(str(tmp_path / str(n)))
+        docs = spark.read.parquet(str(tmp_path / str(n)))
+        after = [r.doc_id for r in docs.collect()]
+        assert set(after) <= set(before)
+        seen[name] = (before, set(after), len(after))
+        if n + 1 < len(corpus_pipeline.STAGES):
+            assert docs.columns == columns
+    scores = toxicity.scored(spark.read.parquet(f"{SF_DIR}/documents.parquet"), spark.read.parquet(f"{SF_DIR}/labels.parquet"))
+    before, after, _ = seen["toxicity"]
+    assert after == {r.doc_id for r in scores.where("predicted = 0").collect()}
+    before, after, rows = seen["exact dedup"]
+    norm = {k: re.sub(r"[\x20\x09-\x0D]", "", t) for k, t in before.items()}
+    assert {norm[k] for k in after} == set(norm.values()) and rows == len(set(norm.values()))
+    before, after, rows = seen["MinHash near-dedup"]
+    classes = near_dedup.near_classes(spark.createDataFrame(list(before.items()), "doc_id long, text string")).collect()
+    assert after == {r.doc_id for r in classes if r.kept} and rows == len(after)
+    before, after, rows = seen["mixing"]
+    assert after == set(before) and rows >= len(before)
+    before, after, rows = seen["byte-level BPE"]
+    assert after == set(before)
+
+
+def test_the_pipeline_runs_as_a_query(spark):
+    got = entry.queries()["pipeline"](spark, SF_DIR)
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    texts = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("sha"))
+    assert got.join(texts, "doc_id").where("sha <> decoded_sha256").isEmpty()
+    assert got.count() > 100
