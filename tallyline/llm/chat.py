@@ -56,20 +56,23 @@ MAPPINGS = [
 ]
 
 
+def _holds(name):
+    return lambda element: element[name].isNotNull()
+
+
 def _filled_paths(kind, column, path):
     """(path, condition that it holds a value) for every leaf below a column."""
     if isinstance(kind, T.StructType):
         for field in kind:
             yield from _filled_paths(field.dataType, column[field.name], f"{path}.{field.name}" if path else field.name)
     elif isinstance(kind, T.ArrayType):
-        inside = list(_filled_paths(kind.elementType, None, "")) if not isinstance(kind.elementType, T.StructType) else None
-        if inside is not None:
-            yield f"{path}[]", F.exists(column, lambda x: x.isNotNull())
+        if not isinstance(kind.elementType, T.StructType):
+            yield f"{path}[]", F.exists(column, lambda element: element.isNotNull())
             return
         for field in kind.elementType:
-            yield f"{path}[].{field.name}", F.exists(column, lambda x, n=field.name: x[n].isNotNull())
+            yield f"{path}[].{field.name}", F.exists(column, _holds(field.name))
     else:
-        yield path, column.isNotNull() if column is not None else F.lit(True)
+        yield path, column.isNotNull()
 
 
 def _hash(paths):

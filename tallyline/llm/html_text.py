@@ -157,7 +157,7 @@ def block_features(blocks):
         words = block.text.count(" ") + 1
         stops = sum(map(block.text.count, ".,;!?"))
         rows[i] = (
-            1, np.log1p(words), block.linked, block.tag in ("li", "td", "dd", "dt"), block.tag == "p",
+            1, np.log1p(words), block.linked, block.tag in ("li", "td", "dd", "dt"), block.tag in ("p", ""),
             block.tag in ("h1", "h2", "h3", "h4"), min(1.0, 5 * stops / words), words < 4, "©" in block.text,
         )
     return rows

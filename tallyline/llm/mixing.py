@@ -138,23 +138,21 @@ def fit_steps(table, targets, least=0.0, tolerance=TOLERANCE):
     # the scaled gradient step: overlap inverse times what is missing, for the bound domains
     inverse = np.zeros((size, size))
     inverse[np.ix_(bound, bound)] = np.linalg.pinv(overlap[np.ix_(bound, bound)] + 1e-9 * scale * np.eye(bound.sum()))
-    steps, best, pace = [], None, 1.0
+    steps, pace, best, kept, missing_at_best = [], 1.0, np.inf, [], None
     for _ in range(STEPS):
         reached = summed(lambda n, p: (n * _rates(p, steps, least)) @ p, size)
         missing = np.where(bound, reached - wanted, 0.0)
-        error = np.abs(missing).max() / max(wanted.max(), 1.0)
-        if best is None or error < best[0]:
-            best = error, list(steps)
+        error = np.sqrt((missing ** 2).sum()) / max(wanted.sum(), 1.0)
+        if error < best:
+            gain, best, kept, missing_at_best = best - error, error, list(steps), missing
+            if best <= tolerance or gain < tolerance:
+                break
         else:  # the last step went too far
-            steps, pace = list(best[1]), pace / 2
+            pace /= 2
             if pace < 0.05:
                 break
-            missing = best_missing
-        if best[0] <= tolerance:
-            break
-        best_missing = missing
-        steps.append(pace * inverse @ missing)
-    return best[1]
+        steps = [*kept, pace * inverse @ missing_at_best]
+    return kept
 
 
 def totals(table):
@@ -196,6 +194,10 @@ def mixed(docs, labels, weights, domains=None, least=0.0, id_col="doc_id", text_
     """The rows of `docs`, each as often as its copies say."""
     rates = written(mixed_rates(docs, labels, weights, domains, least, id_col, text_col, max_rows), "rates")
     plan = rates.groupBy(F.col(id_col).alias("id_"), F.col("text_key").alias("key_")).agg(F.max("copies").alias("copies_"))
-    joined = docs.join(plan, F.col(id_col).eqNullSafe(F.col("id_")) & (F.xxhash64(filled(text_col)) == F.col("key_")))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), F.col(id_col).alias("own_id_"),
+        F.xxhash64(filled(text_col)).alias("own_key_"),
+    )
+    joined = rows.join(plan, F.col("own_id_").eqNullSafe(F.col("id_")) & (F.col("own_key_") == F.col("key_")))
     times = F.sequence(F.lit(1).cast("long"), F.col("copies_"))
-    return joined.where("copies_ > 0").withColumn("time_", F.explode(times)).select(*[docs[c] for c in docs.columns])
+    return joined.where("copies_ > 0").select("row_", F.explode(times)).select("row_.*")
