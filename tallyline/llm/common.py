@@ -10,6 +10,7 @@ import tallyline
 from tallyline.session import written
 
 _shipped = set()
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def table(spark, sf_dir, name):
@@ -32,7 +33,12 @@ def numbered(df, columns, label):
 
 
 def ship_package(spark):
-    """Give the executors this package, once for each application."""
+    """Give the executors this package, once for each application, and keep their batches small.
+
+    Texts may be long, so a batch of Arrow's default number of rows could take a worker's memory.
+    """
+    if int(spark.conf.get(BATCH)) > BATCH_ROWS:
+        spark.conf.set(BATCH, BATCH_ROWS)
     if spark.sparkContext.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.abspath(tallyline.__file__))
@@ -74,12 +80,13 @@ def components(pairs, label):
 
 def staying(docs, groups, id_col, text_col):
     """The rows of `docs` that `groups` (id_col, text_key, kept) keeps, with all their columns."""
-    key = F.xxhash64(filled(text_col))
-    kept = groups.where("kept").select(F.col(id_col).alias("kept_id_"), F.col("text_key").alias("kept_key_"))
-    stay = docs.join(kept, F.col(id_col).eqNullSafe(F.col("kept_id_")) & (key == F.col("kept_key_")), "left_semi")
-    if groups.groupBy(id_col, "text_key").count().where("count > 1").isEmpty():
-        return stay
-    # rows that repeat both id and text: one of them stays
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    once = stay.groupBy(F.col(id_col).alias("id_"), key.alias("key_")).agg(F.first(row).alias("row_"))
-    return once.select("row_.*")
+    kept = groups.where("kept").select(F.col(id_col).alias("id_"), F.col("text_key").alias("key_"))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), F.col(id_col).alias("own_id_"),
+        F.xxhash64(filled(text_col)).alias("own_key_"),
+    )
+    stay = rows.join(kept, F.col("own_id_").eqNullSafe(F.col("id_")) & (F.col("own_key_") == F.col("key_")), "left_semi")
+    if not groups.groupBy(id_col, "text_key").count().where("count > 1").isEmpty():
+        # rows that repeat both id and text: one of them stays
+        stay = stay.groupBy("own_id_", "own_key_").agg(F.first("row_").alias("row_"))
+    return stay.select("row_.*")

@@ -35,7 +35,7 @@ BANDS, ROWS = 14, 4
 SAMPLES = BANDS * ROWS
 AGREE = 32
 COMMON, FLOOR = 0.01, 0.75
-FLUSHED = 1 << 22  # shingles that are counted together
+FLUSHED = 1 << 21  # shingles that are counted together
 BLOCK_TEXTS, BLOCK_SHINGLES = 1500, 1_500_000
 LEVELS = 1 << 16
 
