@@ -272,7 +272,8 @@ def near_classes(docs, id_col="doc_id", text_col="text"):
         _sketches(shared), f"row_id long, id {kind}, text_key long, set_key string, bands array<long>, "
         "signature binary, hashes binary, weights binary, size int",
     ), "sketches")
-    equal = sketches.groupBy("set_key").agg(F.min("row_id").alias("rep"))
+    # written, so that the join shuffles both sides and Spark can split a set that many rows have
+    equal = written(sketches.groupBy("set_key").agg(F.min("row_id").alias("rep")), "equal-sets")
     rows = written(sketches.select("row_id", "id", "text_key", "set_key").join(equal, "set_key").drop("set_key"), "rows")
     reps = rows.where("row_id = rep").select("row_id")
 
