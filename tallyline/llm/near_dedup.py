@@ -34,7 +34,7 @@ SHINGLE_WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 14, 4
 SAMPLES = BANDS * ROWS
 AGREE = 32
-COMMON, FLOOR = 0.01, 0.75
+COMMON, FLOOR = 0.01, 0.85
 FLUSHED = 1 << 21  # shingles that are counted together
 BLOCK_TEXTS, BLOCK_SHINGLES = 1500, 1_500_000
 LEVELS = 1 << 16
