@@ -24,7 +24,7 @@ from tallyline.llm.common import filled, ship_package
 
 WORD_BITS = 256
 SHORT = 64
-CACHED, CACHED_BYTES = 300_000, 48  # matches in each half of the cache, and their length
+CACHED, CACHED_BYTES = 450_000, 48  # matches in each half of the cache, and their length
 
 
 def read_ranks(path):
