@@ -8,11 +8,12 @@ counts as confirmed if the paragraph holds at least CONFIRMED of the n-grams of
 templates. Paragraphs whose prediction is not confirmed are counted as unknown; those below the limit
 are no licences.
 
-Only paragraphs with one of the words that raise a family's score are scored; any other has no n-gram
-with a positive weight, so that the unknown class wins. Null and empty texts have no paragraphs. Rows
+Only paragraphs with one of the model's telling words are scored. They are chosen from the weights so
+that the n-grams without any of them can't raise a family to the limit, all taken together. Null and empty texts have no paragraphs. Rows
 that repeat a doc_id get a row each.
 """
 
+import math
 import re
 from functools import reduce
 
@@ -75,19 +76,22 @@ ALIKE = [
 ]
 
 
-def _words(text):
-    return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), 1)
+def _grams(text):
+    """All different runs of one to N_GRAMS words of a text that are not of common words alone."""
+    said = "(?:" + "|".join(COMMON) + ")"
 
+    def runs_of(words, n):
+        at = F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0)))
+        runs = F.transform(at, lambda i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(n)]))
+        return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<string>"))
 
-def _grams(words):
-    """All different runs of one to N_GRAMS words that are not of common words alone."""
-    runs = [words]
-    for n in range(2, N_GRAMS + 1):
-        at = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
-        run = F.transform(at, lambda i, n=n: F.array_join(F.slice(words, i, n), " "))
-        runs.append(F.when(F.size(words) >= n, run).otherwise(F.array().cast("array<string>")))
-    said = "(?:" + "|".join(COMMON) + ")"
-    return F.filter(F.array_distinct(F.concat(*runs)), lambda g: ~F.rlike(g, F.lit(f"^{said}(?: {said})*$")))
+    def runs(words):
+        out = [words, *[runs_of(words, n) for n in range(2, N_GRAMS + 1)]]
+        return F.filter(F.array_distinct(F.concat(*out)), lambda g: ~F.rlike(g, F.lit(f"^{said}(?: {said})*$")))
+
+    # bound to a name, so that a text is cut into words once
+    words = F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"), 1)
+    return F.element_at(F.transform(F.array(words), runs), 1)
 
 
 def _examples(spark, lines):
@@ -103,8 +107,8 @@ def _examples(spark, lines):
 
 
 def fit(spark, lines):
-    """(families, intercepts, {n-gram: weights by family}, limit) learned from templates and other lines."""
-    rows = written(_examples(spark, lines).select("family", _grams(_words(F.col("text"))).alias("grams"), F.xxhash64("text").alias("mark")), "licence-examples")
+    """(families, intercepts, {n-gram: weights by family}, limit, telling words), learned from templates and other lines."""
+    rows = written(_examples(spark, lines).select("family", _grams(F.col("text")).alias("grams"), F.xxhash64("text").alias("mark")), "licence-examples")
     families = sorted({family for family, _ in TEMPLATES}) + [UNKNOWN]
     label = F.array_position(F.array(*map(F.lit, families)), F.col("family")) - 1
     rows = rows.withColumns({"label": label.cast("double"), "weight": F.when(F.col("family") == UNKNOWN, 0.3).otherwise(1.0)})
@@ -122,7 +126,26 @@ def fit(spark, lines):
         F.percentile(F.when(F.col("family") == F.col("best"), F.col("chance")), 0.05).alias("high"),
     ).first()
     limit = min(0.9, max(0.3, ((ends["low"] or 0.0) + (ends["high"] or 1.0)) / 2))
-    return families, intercepts, weights, limit
+    seen = {r["word"]: r["n"] for r in rows.where(F.col("family") == UNKNOWN).select(F.explode("grams").alias("word")).where(
+        ~F.col("word").contains(" ")).groupBy("word").agg(F.count("*").alias("n")).collect()}
+    return families, intercepts, weights, limit, telling_words(families, intercepts, weights, limit, seen)
+
+
+def telling_words(families, intercepts, weights, limit, seen):
+    """Words without which no paragraph reaches the limit; words that `seen` counts often are left out first."""
+    gains = {
+        gram: [max(0.0, w - by[-1]) for w in by[:-1]] for gram, by in weights.items() if max(by[:-1]) > by[-1]
+    }
+    needed = math.log(limit / (1 - limit))
+    words = sorted({w for gram in gains for w in gram.split()}, key=lambda w: (w not in COMMON, -seen.get(w, 0), len(w), w))
+    kept = set(words)
+    for word in words:
+        fewer = kept - {word}
+        without = [by for gram, by in gains.items() if fewer.isdisjoint(gram.split())]
+        reach = [sum(by[i] for by in without) + intercepts[i] - intercepts[-1] for i in range(len(families) - 1)]
+        if max(reach) < needed:
+            kept = fewer
+    return sorted(kept)
 
 
 def _probabilities(spark, rows, families, intercepts, weights):
@@ -142,21 +165,20 @@ def licences(docs, id_col="doc_id", text_col="text"):
     spark = docs.sparkSession
     first_lines = docs.select(F.substring_index(filled(text_col), "\n", 1).alias("text"))
     others = first_lines.where((F.length("text") < 400) & ~F.lower("text").rlike(SPEAKING))
-    families, intercepts, weights, limit = fit(spark, others)
-    raising = sorted({w for gram, by in weights.items() if max(by[:-1]) > max(by[-1], 0) for w in gram.split()} - set(COMMON))
-    anchor = "(?i)(?<![a-z0-9])(?:" + "|".join(map(re.escape, raising)) + ")(?![a-z0-9])"
+    families, intercepts, weights, limit, telling = fit(spark, others)
+    anchor = "(?<![a-z0-9])(?:" + "|".join(map(re.escape, telling)) + ")(?![a-z0-9])"
     text = filled(text_col)
-    speaking = F.filter(F.split(text, "\n"), lambda line: F.rlike(line, F.lit(anchor)))
+    speaking = F.filter(F.split(text, "\n"), lambda line: F.rlike(F.lower(line), F.lit(anchor)))
     rows = written(docs.select(
         F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias(id_col),
-        F.when(F.rlike(text, F.lit(anchor)), speaking).alias("lines"),
+        F.when(F.rlike(F.lower(text), F.lit(anchor)), speaking).alias("lines"),
     ), "licence-lines")
     paragraphs = rows.select("row_id", F.posexplode("lines").alias("pos", "line")).select(
-        F.struct("row_id", "pos").alias("key"), F.lit("").alias("family"), _grams(_words(F.col("line"))).alias("grams")
+        F.struct("row_id", "pos").alias("key"), F.lit("").alias("family"), _grams(F.col("line")).alias("grams")
     )
     judged = written(_probabilities(spark, paragraphs, families, intercepts, weights), "licence-lines-judged")
     templates = spark.createDataFrame(list(enumerate(TEMPLATES)), "template int, t struct<best:string,text:string>").select(
-        "template", "t.best", _grams(_words(F.col("t.text"))).alias("all")
+        "template", "t.best", _grams(F.col("t.text")).alias("all")
     ).select("template", "best", F.size("all").alias("size"), F.explode("all").alias("gram"))
     likely = judged.where(F.col("chance") >= limit).select("key", "best", F.explode("grams").alias("gram"))
     held = likely.join(F.broadcast(templates), ["best", "gram"]).groupBy("key", "template").agg(
