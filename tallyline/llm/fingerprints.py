@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Window, functions as F
 
 from tallyline.llm.common import filled, ship_package
+from tallyline.llm.words import distinct
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1597334677)
@@ -100,21 +101,24 @@ def fingerprint(prefixes):
     whole = "%08x%08x" % prefixes.span(0, size)
     if not size:
         return f"0.{whole}."
-    # span hashes of short alphabets are even enough only after another stir
+    # stirred again, as spans that differ little have hashes in line
     found = prefixes.spans(min(SPAN, size)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    found = np.unique((found ^ (found >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32))
-    return f"{size:x}.{whole}." + found[:KEPT].astype(">u4").tobytes().hex()
+    found = (found ^ (found >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)
+    least = distinct(np.partition(found, 4 * KEPT)[:4 * KEPT] if len(found) > 4 * KEPT else found)
+    if len(least) < KEPT:  # many repeats
+        least = distinct(found)
+    return f"{size:x}.{whole}." + least[:KEPT].astype(">u4").tobytes().hex()
 
 
 def likeness(a, b):
     """Share of common spans that two fingerprints show, from 0 to 1."""
     if a == b:
         return 1.0
-    one, other = (np.frombuffer(bytes.fromhex(f.rsplit(".", 1)[1]), ">u4") for f in (a, b))
-    if not len(one) or not len(other):
+    one, other = ({f[i:i + 8] for i in range(f.rindex(".") + 1, len(f), 8)} for f in (a, b))
+    if not one or not other:
         return 0.0
-    low = np.union1d(one, other)[:KEPT]
-    return float(np.isin(low, one).dot(np.isin(low, other).astype(np.int64))) / len(low)
+    low = sorted(one | other)[:KEPT]
+    return sum(x in one and x in other for x in low) / len(low)
 
 
 def fingerprint_column(text):
@@ -162,7 +166,7 @@ def with_next(rows, id_col, text_col, columns):
     first = {r["part"]: r["first"] for r in ids.groupBy(part.alias("part")).agg(
         F.max(F.struct("id", F.bitwise_not("mark").alias("mark"))).alias("first")).collect()}
     order = sorted(first, reverse=True)
-    before = dict(zip(order, [order[-1], *order[:-1]]))
+    before = dict(zip(order, order[-1:] + order[:-1]))
     heads = spark.createDataFrame(
         [(first[p]["id"], ~first[p]["mark"], before[p]) for p in order], f"head_id {dict(rows.dtypes)[id_col]}, head_mark long, goes_to int"
     )
