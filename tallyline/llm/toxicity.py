@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tallyline.llm.common import filled, ship_package
-from tallyline.llm.words import mixed, words_of
+from tallyline.llm.words import distinct, mixed, words_of
 
 BITS = 20
 STEM_BYTES = 5
@@ -89,7 +89,7 @@ def fit(docs, labels, id_col="doc_id", text_col="text", label_col="toxic", max_r
         for batch in batches:
             yield pd.DataFrame({
                 "mark": batch["mark"], "label": batch["label"],
-                "places": [np.unique(p).tobytes() for p in features(batch["text"])],
+                "places": [distinct(p).tobytes() for p in features(batch["text"])],
             })
 
     texts = docs.select(F.col(id_col).alias("label_id"), filled(text_col).alias("text"), mark.alias("mark"))
@@ -113,7 +113,7 @@ def score_column(spark, text, weights):
         table[places] = values
         sums = np.empty(len(batches))
         for i, found in enumerate(features(batches)):
-            sums[i] = table[np.unique(found[table[found] != 0])].sum(dtype=np.float64)
+            sums[i] = table[distinct(found[table[found] != 0])].sum(dtype=np.float64)
         return pd.Series(1 / (1 + np.exp(-np.clip(sums + bias, -35, 35))))
 
     return score(text)
