@@ -4,8 +4,11 @@ A softmax regression learns the domains from the labels and gives every document
 Documents get rates, how often each is to be seen; projected gradient steps on the rates bring the
 expected token totals of the domains, the sum of rate * tokens * posterior, to the targets in the least
 squares sense, with every rate at least `least`. The gradient is scaled by the small matrix of the
-domains' overlaps and summed over all documents in each step; a document's rate follows from its
-posterior and the steps so far, so no state is kept between them.
+domains' overlaps over the documents whose rate is above `least`; a pass sums totals and overlaps over
+all documents for some lengths of the step and for plain gradient steps, and the best is taken. Steps
+end when the targets are met; a warning tells what is missing if no step, or PATIENCE of them, bring
+the totals nearer. A document's rate follows from its posterior and the steps so far, so no state is
+kept between them.
 
 The classifier is fitted on at most `max_rows` labelled rows, chosen by a hash of their id, in one task;
 posteriors, totals and rates cover every document. The features are byte shares and hashed words of the
@@ -14,6 +17,8 @@ the rest. Null and empty texts have no tokens and rates like others of their pos
 left out; rows that repeat an id are mixed each. Without labels all domains are equally likely.
 """
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -26,7 +31,9 @@ BITS = 15
 BYTES = 256
 MAX_ROWS = 6000
 EPOCHS, RATE, DECAY = 4, 0.3, 1e-4
-STEPS, TOLERANCE = 40, 1e-7
+TOLERANCE = 1e-7
+PACES, LONG = (1.0, 0.5, 0.2, 0.05), 16.0  # lengths of steps that a pass tries
+PATIENCE, FALL = 30, 0.98  # targets are out of reach if so many steps leave more than this share of the error
 
 #: The domains that the table of labels tells apart, as SQL conditions in order.
 DOMAINS = {"toxic": "toxic = 1", "junk": "quality = 0", "clean": "quality = 1"}
@@ -131,28 +138,52 @@ def fit_steps(table, targets, least=0.0, tolerance=TOLERANCE):
         parts = table.select("tokens", "posterior").mapInPandas(sums, "sums array<double>")
         return np.sum([row["sums"] for row in parts.collect()] or [np.zeros(width)], axis=0)
 
-    overlap = summed(lambda n, p: (p * n[:, None]).T.dot(p).ravel(), size * size).reshape(size, size)
-    scale = max(np.trace(overlap), 1e-9)
+    whole = summed(lambda n, p: (p * n[:, None]).T.dot(p).ravel(), size * size).reshape(size, size)
+    # a plain gradient step of this length never raises the error
+    slowest = max(np.linalg.eigvalsh(whole).max(), 1e-9)
     bound = np.array([t is not None for t in targets])
     wanted = np.array([t or 0.0 for t in targets])
-    # the scaled gradient step: overlap inverse times what is missing, for the bound domains
-    inverse = np.zeros((size, size))
-    inverse[np.ix_(bound, bound)] = np.linalg.pinv(overlap[np.ix_(bound, bound)] + 1e-9 * scale * np.eye(bound.sum()))
-    steps, pace, best, kept, missing_at_best = [], 1.0, np.inf, [], None
-    for _ in range(STEPS):
-        reached = summed(lambda n, p: (n * _rates(p, steps, least)) @ p, size)
-        missing = np.where(bound, reached - wanted, 0.0)
-        error = np.sqrt((missing ** 2).sum()) / max(wanted.sum(), 1.0)
-        if error < best:
-            gain, best, kept, missing_at_best = best - error, error, list(steps), missing
-            if best <= tolerance or gain < tolerance:
-                break
-        else:  # the last step went too far
-            pace /= 2
-            if pace < 0.05:
-                break
-        steps = [*kept, pace * inverse @ missing_at_best]
-    return kept
+
+    def scaled(overlap, missing):
+        """The scaled gradient step: overlap inverse times what is missing, for the bound domains."""
+        inverse = np.zeros((size, size))
+        eye = max(np.trace(overlap), 1e-9) * np.eye(bound.sum())
+        inverse[np.ix_(bound, bound)] = np.linalg.pinv(overlap[np.ix_(bound, bound)] + 1e-9 * eye)
+        return inverse @ missing
+
+    def tried(steps, options):
+        """(error, missing, overlap of the rows above `least`, option) of the option with the least error."""
+        def what(n, p):
+            before, out = _rates(p, steps, least), []
+            for option in options:
+                rates = before if option is None else np.maximum(before - p @ option, least)
+                free = (n * (rates > least))[:, None]
+                out.append(np.concatenate(((n * rates) @ p, (p * free).T.dot(p).ravel())))
+            return np.concatenate(out)
+
+        width, found = size + size * size, []
+        for option, sums in zip(options, summed(what, width * len(options)).reshape(-1, width)):
+            missing = np.where(bound, sums[:size] - wanted, 0.0)
+            error = np.sqrt((missing ** 2).sum()) / max(wanted.sum(), 1.0)
+            found.append((error, missing, sums[size:].reshape(size, size), option))
+        return min(found, key=lambda f: f[0])
+
+    steps = []
+    error, missing, overlap, _ = tried(steps, [None])
+    errors = [error]
+    while error > tolerance:
+        options = [pace * scaled(overlap, missing) for pace in PACES]
+        options += [scaled(whole, missing), missing / slowest, LONG * missing / slowest]
+        error, missing, overlap, step = tried(steps, options)
+        if error >= errors[-1]:
+            break
+        steps.append(step)
+        errors.append(error)
+        if len(errors) > PATIENCE and error > FALL * errors[-1 - PATIENCE]:
+            break
+    if errors[-1] > tolerance:
+        warnings.warn(f"the rates miss the target totals by {errors[-1]:.2g} of the tokens", stacklevel=2)
+    return steps
 
 
 def totals(table):

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyline.llm import licences, mixing, toxicity
+from tallyline.llm.queries import MIX
 
 SF_DIR = "/root/testdata/sf0.001"
 DOCS, LABELS = "doc_id long, text string", "doc_id long, quality int, toxic int"
@@ -174,6 +175,32 @@ def test_rates_that_cannot_reach_their_targets_stay_bounded(spark):
     assert np.allclose(least, 1.0)
 
 
+@pytest.mark.parametrize("lead, spread", [(8.0, 1.0), (3.5, 1.0), (2.0, 1.0)])
+def test_mixing_of_soft_posteriors_meets_its_targets(spark, lead, spread):
+    draw = np.random.default_rng(14)
+    scores = draw.normal(0, spread, (1500, 3))
+    scores[np.arange(1500), draw.choice(3, 1500, p=[0.11, 0.12, 0.77])] += lead
+    posterior = np.exp(scores) / np.exp(scores).sum(axis=1, keepdims=True)
+    tokens = draw.lognormal(5, 1, 1500).astype(int) + 1
+    wanted = np.array([MIX[d] for d in mixing.DOMAINS]) * tokens.sum()
+    rows = [(int(n), p.tolist()) for n, p in zip(tokens, posterior)]
+    steps = mixing.fit_steps(spark.createDataFrame(rows, "tokens long, posterior array<double>"), wanted.tolist())
+    reached = (tokens * mixing._rates(posterior, steps, 0.0)) @ posterior
+    assert np.allclose(reached, wanted, rtol=1e-4)
+    # no farther from the targets than a long plain projected gradient
+    rates, slowest = np.ones(1500), np.linalg.eigvalsh((posterior * tokens[:, None]).T @ posterior).max()
+    for _ in range(5000):
+        rates = np.maximum(rates - posterior @ ((tokens * rates) @ posterior - wanted) / slowest, 0)
+    plain = (tokens * rates) @ posterior
+    assert np.abs(reached - wanted).max() <= np.abs(plain - wanted).max() + 1e-6 * tokens.sum()
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    table = spark.createDataFrame([(10, [0.5, 0.5]), (10, [0.9, 0.1])], "tokens long, posterior array<double>")
+    with pytest.warns(UserWarning, match="miss the target"):
+        mixing.fit_steps(table, [1.0, 19.0])
+
+
 def test_mixing_edge_cases(spark):
     docs, labels = labelled(100)
     docs = [*docs, (None, None), (5, "twice"), (5, "twice"), (900, "")]
