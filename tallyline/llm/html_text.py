@@ -5,7 +5,9 @@ and of being boilerplate; these are the capacities of its edges to source and si
 blocks, and successive blocks of one parent, are joined by edges whose capacity grows with the depth of
 the DOM they share. The maximum flow's cut separates content from boilerplate at the least total cost.
 Elements that say what they are (article, nav, footer, class names such as ad or cookie) add to the
-costs.
+costs. Class names and ids weigh less than elements, so that a block's costs and its neighbours may
+outvote them, and ids that may be anchors weigh least. What a wrapper's class, id or form says ends at
+a main in it, and at an article unless the page has one that no such wrapper holds.
 
 The regression learns from pages whose elements say what they are, on at most `max_pages` pages
 chosen by a hash of their html; every page is extracted whole. Without such pages only the elements
@@ -24,6 +26,7 @@ from tallyline.llm.common import filled, ship_package
 MAX_PAGES = 2000
 FEATURES = 9
 SAID, NEAR, SAME_PARENT = 6.0, 0.4, 0.8  # weights of named elements, of neighbours and of siblings
+NAMED, ANCHOR = 3.2 / SAID, 2.0 / SAID  # parts of SAID that class names and ids say, and other ids inside content
 
 #: Element and class names of the HTML standard and of common usage.
 SKIPPED = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "head", "select", "textarea", "button"}
@@ -42,46 +45,70 @@ BOILERPLATE_NAMES = {
     "pagination", "popup", "promo", "promotion", "related", "search", "share", "sharing", "sidebar", "signup", "social",
     "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+#: Class names with one of these words tell what an element is not, or what is in it.
+MODIFIERS = {"has", "have", "hide", "no", "non", "not", "overflow", "with", "without"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+WRAPPERS = {"form", "fieldset"}  # may hold a whole page
 BOILERPLATE_ROLES = {"alert", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "navigation", "search"}
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S
 )
-NAMES = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+STATING = {"class", "id", "role", "hidden", "aria-hidden"}
 SPLIT = re.compile(r"[^a-z0-9]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 def _says(tag, attributes, inside_content):
-    """1 if an element calls itself content, -1 if boilerplate, else 0."""
+    """What an element says of itself, from 1 for content to -1 for boilerplate, and whether a wrapper may say it."""
     if tag in BOILERPLATE or tag == "header" and not inside_content:
-        return -1
-    found = set()
+        return -1.0, tag in WRAPPERS
+    good, bad, anchored = False, False, False
     if attributes and tag not in ("html", "body"):
-        for name, a, b, c in NAMES.findall(attributes):
-            value = a or b or c
+        for name, a, b, c in ATTRIBUTE.findall(attributes):
             name = name.lower()
-            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in BOILERPLATE_ROLES:
-                return -1
-            if name in ("class", "id"):
-                found.update(SPLIT.split(CAMEL.sub(" ", value).lower()))
-    if found & BOILERPLATE_NAMES:
-        return -1
-    return 1 if tag in CONTENT or found & CONTENT_NAMES else 0
+            if name not in STATING:
+                continue
+            value = a or b or c
+            if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+                return -1.0, False
+            if name == "role":
+                if value.lower() in BOILERPLATE_ROLES:
+                    return -1.0, value.lower() in WRAPPERS
+                continue
+            if name == "id" and (tag in HEADINGS or tag == "section" and inside_content):  # an anchor made of a heading's words
+                continue
+            for one in value.split():
+                words = set(SPLIT.split(CAMEL.sub(" ", one).lower()))
+                if words & MODIFIERS:
+                    continue
+                if words & BOILERPLATE_NAMES:
+                    bad, anchored = bad or name == "class", anchored or name == "id"
+                elif words & CONTENT_NAMES:
+                    good = True
+    if tag == "main" or tag in CONTENT and (good or not bad and not anchored):
+        return 1.0, False
+    if good:  # names of both kinds are no statement
+        return (0.0 if bad or anchored else NAMED), False
+    if bad or anchored:
+        return (-NAMED if bad or not inside_content else -ANCHOR), True
+    return 0.0, False
 
 
 class Block:
-    __slots__ = ("text", "path", "tag", "said", "linked")
+    __slots__ = ("text", "path", "tag", "said", "linked", "wrapped")
 
-    def __init__(self, text, path, tag, said, linked):
-        self.text, self.path, self.tag, self.said, self.linked = text, path, tag, said, linked
+    def __init__(self, text, path, tag, said, linked, wrapped):
+        self.text, self.path, self.tag, self.said, self.linked, self.wrapped = text, path, tag, said, linked, wrapped
 
 
 def blocks_of(page):
     """The text blocks of a page in order."""
     out, held, linked = [], [], 0
-    stack = []  # (tag, number, what the nearest named element says)
+    # (tag, number, what the nearest named element says, whether a wrapper says it, what a wrapper says of the article)
+    stack = []
     numbers, at, links = 0, 0, 0
 
     def close():
@@ -91,7 +118,8 @@ def blocks_of(page):
             if text:
                 blocked = [s for s in stack if s[0] not in INLINE]
                 path = tuple(s[1] for s in blocked)
-                out.append(Block(text, path, blocked[-1][0] if blocked else "", stack[-1][2] if stack else 0, min(1.0, linked / len(text))))
+                said, wrapped = (stack[-1][2], stack[-1][4]) if stack else (0.0, 0.0)
+                out.append(Block(text, path, blocked[-1][0] if blocked else "", said, min(1.0, linked / len(text)), wrapped))
         held, linked = [], 0
 
     def add(part):
@@ -139,14 +167,21 @@ def blocks_of(page):
             ended = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
             while stack and (stack[-1][0] in INLINE or stack[-1][0] == "p" or stack[-1][0] in ended.get(tag, ())):
                 links -= stack.pop()[0] == "a"
-        above = stack[-1][2] if stack else 0
-        said = _says(tag, token[3] or token[6], above > 0) if tag not in INLINE else 0
-        if above < 0 or said == 0:
-            said = above
+        above, by_wrapper, wrapped = stack[-1][2:] if stack else (0.0, False, 0.0)
+        said, wrapper = _says(tag, token[3] or token[6], above > 0) if tag not in INLINE else (0.0, False)
+        if said == 0 or above < 0 and not (by_wrapper and said == 1.0) and not (by_wrapper and said <= above):
+            said, wrapper = above, by_wrapper
+        elif above < 0 and said > 0:
+            wrapped = 0.0 if tag == "main" else above
+        elif said < 0:
+            wrapped = 0.0
         numbers += 1
-        stack.append((tag, numbers, said))
+        stack.append((tag, numbers, said, wrapper, wrapped))
         links += tag == "a"
     close()
+    if any(b.said == 1.0 and not b.wrapped for b in out):
+        for block in out:
+            block.said = block.wrapped or block.said
     return out
 
 

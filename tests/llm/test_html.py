@@ -50,6 +50,32 @@ def test_broken_markup():
     assert text("plain text, without any markup at all, but of some length.") == "plain text, without any markup at all, but of some length."
 
 
+def test_only_class_and_id_tokens_are_statements():
+    for wrapper in (
+        '<div style="overflow:hidden">', '<div data-id="search">', '<div data-role="menu" title="class=ad hidden">', '<div class="layout with-sidebar">',
+        '<main class="content no-sidebar">', '<div class="post has-social-share">', '<div class="overflow-hidden">', '<div class="layout sidebar-left">',
+        '<form id="page">', "<div data-x='a>b' data-hidden>",
+    ):
+        page = f"<body><nav>Menu</nav>{wrapper}{ARTICLE}</{wrapper[1:].split()[0]}><footer>End</footer></body>"
+        assert text(page) == TEXT, wrapper
+    assert text(f"<body>{ARTICLE}<div class='related'><article><p>Teaser of another text, in few words.</p></article></div></body>") == TEXT
+    assert text(f"<body><aside><article><p>Teaser of another text.</p></article></aside>{ARTICLE}</body>") == TEXT
+    assert text(f"<body><div class='post hidden' aria-hidden='TRUE'>x y, z.</div>{ARTICLE}</body>") == TEXT
+
+
+def test_anchors_inside_an_article_keep_their_text():
+    for anchor in ('<h2 id="related-work">', '<h2 id="search">'):
+        assert text(ARTICLE.replace("<p>Second", f"{anchor}Related work</h2><p>Second")) == TEXT.replace("\nSecond", "\nRelated work\nSecond")
+    part = '<section id="related-work"><h2>Related work</h2><p>Others have said the same, but at greater length.</p></section></article>'
+    assert text(ARTICLE.replace("</article>", part)) == TEXT + "\nRelated work\nOthers have said the same, but at greater length."
+
+
+def test_names_can_be_outvoted():
+    long = "<p>" + "A paragraph of many words, which tells a story, and goes on. " * 3 + "</p>"
+    page = f"<body><div class='share'><p>Share, all.</p></div><div class='box form'>{long}{long}{long}</div></body>"
+    assert text(page).count("\n") == 2
+
+
 def test_minimum_cut_is_the_cheapest_labelling():
     draw = random.Random(2)
     for _ in range(150):
