@@ -11,7 +11,10 @@ a main in it, and at an article unless the page has one that no such wrapper hol
 
 The regression learns from pages whose elements say what they are, on at most `max_pages` pages
 chosen by a hash of their html; every page is extracted whole. Without such pages only the elements
-count. Null and empty html give an empty text; markup that is cut off is left out.
+count. Null and empty html give an empty text; markup that is cut off is left out. Scripts, styles,
+frames and text areas end at their own end tag only. Drawings, controls, templates and what is shown
+in place of an object, canvas or script are left out; one without an end tag of its own ends with the
+element around it, or at the next block in it. Formulas are text.
 """
 
 import html
@@ -29,11 +32,23 @@ SAID, NEAR, SAME_PARENT = 6.0, 0.4, 0.8  # weights of named elements, of neighbo
 NAMED, ANCHOR = 3.2 / SAID, 2.0 / SAID  # parts of SAID that class names and ids say, and other ids inside content
 
 #: Element and class names of the HTML standard and of common usage.
-SKIPPED = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "head", "select", "textarea", "button"}
+RAW = {"script", "style", "iframe", "textarea"}  # hold no markup
+DROPPED = {"noscript", "template", "svg", "object", "canvas", "select", "button", "annotation", "annotation-xml"}
+SKIPPED = RAW | {"head"}
+FOREIGN, BACK = {"svg", "math"}, {"foreignobject", "desc", "title", "annotation-xml", "mtext"}  # HTML begins again in BACK
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins",
     "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup",
     "time", "tt", "u", "var", "wbr", "br",
+    "math", "semantics", "mrow", "mi", "mn", "mo", "ms", "mtext", "mspace", "msup", "msub", "msubsup", "mfrac", "msqrt", "mroot",
+    "mover", "munder", "munderover", "mstyle", "merror", "mpadded", "mphantom", "mfenced", "menclose", "mmultiscripts",
+    "mprescripts", "none", "mtable", "mtr", "mlabeledtr", "mtd", "maction",
+}
+#: Start tags that end an element of DROPPED or FOREIGN without an end tag of its own.
+BREAKOUT = {
+    "address", "article", "aside", "blockquote", "body", "center", "dd", "div", "dl", "dt", "fieldset", "figure", "footer", "form",
+    "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "tbody",
+    "td", "th", "tr", "ul",
 }
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BOILERPLATE = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset", "address"}
@@ -104,12 +119,93 @@ class Block:
         self.text, self.path, self.tag, self.said, self.linked, self.wrapped = text, path, tag, said, linked, wrapped
 
 
+def _tokens(page):
+    """Text and tags of a page as (text, "", "", False) or (None, tag, attributes, ends), without comments and SKIPPED elements."""
+    out, at, size = [], 0, len(page)
+    while at < size:
+        token = TOKEN.search(page, at)
+        if token is None:
+            out.append((page[at:], "", "", False))
+            break
+        if token.start() > at:
+            out.append((page[at:token.start()], "", "", False))
+        at = token.end()
+        tag = (token[2] or token[5] or "").lower()
+        if not tag:
+            continue
+        ends = bool(token[1] or token[4])
+        if not ends and tag in SKIPPED:
+            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
+            if stop:
+                at = stop.end()
+            elif tag != "head":
+                break
+            continue
+        out.append((None, tag, token[3] or token[6] or "", ends))
+    return out
+
+
+def _closed(tokens):
+    """The place of the end tag of each DROPPED element that has its own, by the place of its start tag."""
+    found, stack = {}, []  # stack: (tag, place)
+    for at, (part, tag, attributes, ends) in enumerate(tokens):
+        if part is not None or tag in VOID:
+            continue
+        if ends:
+            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            if depth is None or tag in INLINE and any(s[0] not in INLINE for s in stack[depth:]):
+                continue
+            if tag in DROPPED:
+                found[stack[depth][1]] = at
+            del stack[depth:]
+            continue
+        if tag in BREAKOUT:
+            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in FOREIGN or stack[i][0] in BACK), None)
+            if depth is not None and stack[depth][0] in FOREIGN:
+                del stack[depth:]
+        if not attributes.endswith("/") or tag not in DROPPED and tag not in FOREIGN and not any(s[0] in FOREIGN for s in stack):
+            stack.append((tag, at))
+    return found
+
+
+def _shown(page):
+    """The tokens of a page without DROPPED elements."""
+    tokens = _tokens(page)
+    if not any(tag in DROPPED or tag in FOREIGN for _, tag, _, _ in tokens):
+        return tokens
+    out, at, within, closed = [], 0, None, _closed(tokens)
+    while at < len(tokens):
+        part, tag, attributes, ends = tokens[at]
+        if part is None and not ends and (tag in DROPPED or tag in FOREIGN):
+            if attributes.endswith("/"):
+                at += 1
+                continue
+            if tag in DROPPED:
+                if at in closed:
+                    at = closed[at]
+                elif within is None:
+                    within = []  # what was opened in an element that is not closed
+                at += 1
+                continue
+        if within is not None and part is None:
+            if ends and tag in within:
+                del within[len(within) - 1 - within[::-1].index(tag):]
+            elif ends and tag not in DROPPED or not ends and tag in BREAKOUT:
+                within = None
+            elif not ends and tag not in VOID and not attributes.endswith("/"):
+                within.append(tag)
+        if within is None and not (ends and tag in DROPPED):
+            out.append(tokens[at])
+        at += 1
+    return out
+
+
 def blocks_of(page):
     """The text blocks of a page in order."""
     out, held, linked = [], [], 0
     # (tag, number, what the nearest named element says, whether a wrapper says it, what a wrapper says of the article)
     stack = []
-    numbers, at, links = 0, 0, 0
+    numbers, links = 0, 0
 
     def close():
         nonlocal held, linked
@@ -128,27 +224,9 @@ def blocks_of(page):
         if links:
             linked += len(part)
 
-    size = len(page)
-    while at < size:
-        token = TOKEN.search(page, at)
-        if token is None:
-            add(page[at:])
-            break
-        if token.start() > at:
-            add(page[at:token.start()])
-        at = token.end()
-        tag = (token[2] or token[5] or "").lower()
-        if not tag:
-            continue
-        ends = token[1] or token[4]
-        if not ends and tag in SKIPPED:
-            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
-            if stop:
-                at = stop.end()
-            elif tag == "head":
-                continue
-            else:
-                break
+    for part, tag, attributes, ends in _shown(page):
+        if part is not None:
+            add(part)
             continue
         if tag == "br":
             held.append(" ")
@@ -168,7 +246,7 @@ def blocks_of(page):
             while stack and (stack[-1][0] in INLINE or stack[-1][0] == "p" or stack[-1][0] in ended.get(tag, ())):
                 links -= stack.pop()[0] == "a"
         above, by_wrapper, wrapped = stack[-1][2:] if stack else (0.0, False, 0.0)
-        said, wrapper = _says(tag, token[3] or token[6], above > 0) if tag not in INLINE else (0.0, False)
+        said, wrapper = _says(tag, attributes, above > 0) if tag not in INLINE else (0.0, False)
         if said == 0 or above < 0 and not (by_wrapper and said == 1.0) and not (by_wrapper and said <= above):
             said, wrapper = above, by_wrapper
         elif above < 0 and said > 0:
