@@ -1,9 +1,13 @@
 """Words and word shingles as 64-bit hashes, computed on arrays.
 
-A word is a run of letters, digits and underscores of the lower-cased text; every byte outside ASCII
-counts as part of a word. The work is done on pieces of about a megabyte, whatever the text's length.
+A word is a run of letters, marks, digits and underscores of the lower-cased text, by the Unicode class
+of the characters; in scripts without spaces each letter with its marks is a word. The work is done on
+pieces of about a megabyte, whatever the text's length.
 """
 
+import re
+import unicodedata
+
 import numpy as np
 
 PIECE = 1 << 20
@@ -16,6 +20,54 @@ VALUES[~WORD_BYTE] = 0
 _powers = {}
 
 
+#: Invisible characters inside words, and ranges of the scripts without spaces.
+JOINERS = {0xAD, 0x200C, 0x200D, 0x2060}
+SPACELESS = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x3005, 0x3007), (0x3021, 0x3029),
+    (0x3031, 0x3035), (0x3038, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xA9E0, 0xA9FF),
+    (0xAA60, 0xAA7F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x16F00, 0x18D8F), (0x1AFF0, 0x1B16F),
+)
+
+
+def _set_of(points):
+    """The inside of a regular expression's set of characters."""
+    runs = []
+    for p in points:
+        if runs and p == runs[-1][1] + 1:
+            runs[-1][1] = p
+        else:
+            runs.append([p, p])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
+
+
+def _patterns():
+    """Patterns of separators, of letters that are words, and of either; for texts up to U+FFFF and for all."""
+    out = []
+    spaceless = {p for a, b in SPACELESS for p in range(a, b + 1) if unicodedata.category(chr(p)) in ("Lo", "Lm", "Nl")}
+    kinds = {p: unicodedata.category(chr(p)) for p in range(0x80, 0x20000)}
+    for end in (0x10000, 0x20000):
+        known = [p for p in kinds if p < end]
+        breaks = _set_of(p for p in known if p not in JOINERS and (kinds[p][0] in "ZPS" or kinds[p] in ("Cc", "Cf", "Me") or 0xFE00 <= p <= 0xFE0F))
+        alone = _set_of(sorted(p for p in spaceless if p < end)) + ("\\U00020000-\\U0003ffff" if end > 0x10000 else "")
+        marks = _set_of(p for p in known if kinds[p] in ("Mn", "Mc") and not 0xFE00 <= p <= 0xFE0F)
+        out.append((re.compile(f"[{breaks}]+"), re.compile(f"([{alone}][{marks}]*)"), re.compile(f"[{breaks}{alone}]")))
+    return out
+
+
+NEAR, ALL = _patterns()
+BEYOND = re.compile("[\U00010000-\U0010ffff]")
+
+
+def separated(text):
+    """A text with spaces for the separators outside ASCII, and around the words of scripts without spaces."""
+    if text.isascii():
+        return text
+    breaks, alone, odd = ALL if BEYOND.search(text) else NEAR
+    if not odd.search(text):
+        return text
+    return alone.sub(r" \1 ", breaks.sub(" ", text))
+
+
 def distinct(x):
     """The different values of an array, sorted."""
     ordered = np.sort(x)
@@ -63,7 +115,7 @@ def _pieces(texts):
     """Bytes of a megabyte or so, cut where no word is, each with (text, first byte) of its texts."""
     held, marks, size = [], [], 0
     for i, text in enumerate(texts):
-        data = (text or "").lower().encode("utf-8", "replace") + b"\n"
+        data = separated((text or "").lower()).encode("utf-8", "replace") + b"\n"
         at = 0
         while at < len(data):
             end = len(data)
