@@ -1,12 +1,14 @@
 """Licence scan by a trained paragraph classifier, in DataFrame functions and Spark's own logistic regression.
 
-Paragraphs are lines. A sparse logistic regression over word n-grams tells licence families and an
+Paragraphs are lines, sentences of lines, and runs of up to WINDOW lines without an empty one between
+them, as notices are wrapped; a long line gives EDGE of its characters to a run. A sparse logistic regression over word n-grams tells licence families and an
 unknown class apart; it learns from the templates, from parts of them, from fixed sentences that only
 sound alike, and from at most MAX_OTHERS first lines of the corpus, chosen by a hash. A family is predicted where its
-probability is the highest and above a limit calibrated on examples that were not fitted; a prediction
-counts as confirmed if the paragraph holds at least CONFIRMED of the n-grams of one of the family's
-templates. Paragraphs whose prediction is not confirmed are counted as unknown; those below the limit
-are no licences.
+probability is the highest and above a limit calibrated on examples that were not fitted. In a
+paragraph whose families together reach the limit, each is confirmed of which it holds at least
+CONFIRMED of the n-grams of a template, and OWN of those that no other family's templates have. A
+family counts once for each place: its shortest paragraphs that do not overlap. Predicted lines
+that no confirmed paragraph covers are counted as unknown; those below the limit are no licences.
 
 Only paragraphs with one of the model's telling words are scored. They are chosen from the weights so
 that the n-grams without any of them can't raise a family to the limit, all taken together. Null and empty texts have no paragraphs. Rows
@@ -27,7 +29,9 @@ from tallyline.session import written
 
 WORD = r"[a-z0-9][a-z0-9.+-]*[a-z0-9]|[a-z0-9]"
 N_GRAMS = 3
-CONFIRMED = 0.6
+CONFIRMED, OWN = 0.6, 0.5
+WINDOW, EDGE = 6, 300
+SENTENCE = r"(?<=[.!?;])\s+"
 MAX_OTHERS = 400
 MAX_FEATURES = 20_000
 UNKNOWN = "unknown"
@@ -51,6 +55,8 @@ TEMPLATES = [
     ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation."),
     ("GPL", "SPDX-License-Identifier: GPL-3.0-or-later"),
     ("LGPL", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation."),
+    ("AGPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation."),
     ("AGPL", "Licensed under the GNU Affero General Public License, version 3."),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
     ("BSD", "Distributed under the BSD 3-Clause License."),
@@ -157,7 +163,59 @@ def _probabilities(spark, rows, families, intercepts, weights):
     scores = [F.exp(F.coalesce(F.col(f"s{i}"), F.lit(0.0)) + intercepts[i]) for i in range(len(families))]
     total = reduce(lambda a, b: a + b, scores)
     ranked = F.array_max(F.array(*[F.struct((s / total).alias("chance"), F.lit(f).alias("best")) for f, s in zip(families, scores) if f != UNKNOWN]))
-    return joined.select("key", "family", "grams", ranked.alias("top")).select("key", "family", "grams", "top.best", "top.chance")
+    some = reduce(lambda a, b: a + b, [s for f, s in zip(families, scores) if f != UNKNOWN]) / total
+    return joined.select("key", "family", "grams", ranked.alias("top"), some.alias("some")).select("key", "family", "grams", "top.best", "top.chance", "some")
+
+
+def _contexts(text, anchor):
+    """Of each line with a telling word: its place, and the lines around it, of which it is number `at`."""
+    def of(lines):
+        hot = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.rlike(F.lower(F.get(lines, i)), F.lit(anchor)))
+
+        def around(i):
+            first = F.greatest(i - (WINDOW - 1), F.lit(0))
+            whole = F.transform(
+                F.slice(lines, first + 1, i - first + WINDOW),
+                lambda line, k: F.when((k + first == i) | (F.length(line) <= 2 * EDGE), line).otherwise(
+                    F.concat(F.left(line, F.lit(EDGE)), F.lit("\n"), F.right(line, F.lit(EDGE)))),
+            )
+            return F.struct(i.alias("line"), (i - first).alias("at"), whole.alias("lines"))
+
+        return F.transform(hot, around)
+
+    # bound to a name, so that a text is cut into lines once
+    return F.element_at(F.transform(F.array(F.split(text, "\n")), of), 1)
+
+
+def _units(anchor):
+    """Paragraphs of a context, each (first line, last line, text); of several contexts the first has a run of lines."""
+    at, lines = F.col("c.at"), F.col("c.lines")
+    speaks = lambda line: F.rlike(F.lower(line), F.lit(anchor))
+    unit = lambda first, last, text: F.struct((F.col("c.line") + first).alias("first"), (F.col("c.line") + last).alias("last"), text.alias("text"))
+    own = F.get(lines, at)
+    sentences = F.split(own, SENTENCE)
+    parts = F.transform(F.filter(sentences, speaks), lambda part: unit(0, 0, part))
+    runs = [unit(0, 0, own)]
+    for back in range(WINDOW):
+        for on in range(WINDOW - back):
+            if back + on == 0:
+                continue
+            held = F.slice(lines, F.greatest(at - back, F.lit(0)) + 1, back + on + 1)
+            fits = (at >= back) & (F.size(lines) > at + on) & ~F.exists(held, lambda line: F.trim(line).rlike(r"^\s*$"))
+            if back:
+                fits &= ~F.exists(F.slice(lines, F.greatest(at - back, F.lit(0)) + 1, back), speaks)
+            text = F.concat_ws(" ", F.transform(held, lambda line, k: F.when(F.length(line) <= EDGE, line).when(
+                k == 0, F.right(line, F.lit(EDGE))).otherwise(F.left(line, F.lit(EDGE)))))
+            runs.append(F.when(fits, unit(-back, on, text)))
+    runs = F.filter(F.array(*runs), lambda u: u.isNotNull())
+    return F.when(F.size(sentences) > 1, F.concat(runs, parts)).otherwise(runs)
+
+
+def _shortest(spans):
+    """The spans (last, first) of one family that count: of those that overlap the earliest to end."""
+    start = F.array().cast("array<struct<last:int,first:int>>")
+    return F.aggregate(F.array_sort(spans), start, lambda found, s: F.when(
+        (F.size(found) == 0) | (s["first"] > F.element_at(found, -1)["last"]), F.concat(found, F.array(s))).otherwise(found))
 
 
 def licences(docs, id_col="doc_id", text_col="text"):
@@ -168,28 +226,36 @@ def licences(docs, id_col="doc_id", text_col="text"):
     families, intercepts, weights, limit, telling = fit(spark, others)
     anchor = "(?<![a-z0-9])(?:" + "|".join(map(re.escape, telling)) + ")(?![a-z0-9])"
     text = filled(text_col)
-    speaking = F.filter(F.split(text, "\n"), lambda line: F.rlike(F.lower(line), F.lit(anchor)))
     rows = written(docs.select(
         F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias(id_col),
-        F.when(F.rlike(F.lower(text), F.lit(anchor)), speaking).alias("lines"),
+        F.when(F.rlike(F.lower(text), F.lit(anchor)), _contexts(text, anchor)).alias("contexts"),
     ), "licence-lines")
-    paragraphs = rows.select("row_id", F.posexplode("lines").alias("pos", "line")).select(
-        F.struct("row_id", "pos").alias("key"), F.lit("").alias("family"), _grams(F.col("line")).alias("grams")
-    )
-    judged = written(_probabilities(spark, paragraphs, families, intercepts, weights), "licence-lines-judged")
-    templates = spark.createDataFrame(list(enumerate(TEMPLATES)), "template int, t struct<best:string,text:string>").select(
-        "template", "t.best", _grams(F.col("t.text")).alias("all")
-    ).select("template", "best", F.size("all").alias("size"), F.explode("all").alias("gram"))
-    likely = judged.where(F.col("chance") >= limit).select("key", "best", F.explode("grams").alias("gram"))
-    held = likely.join(F.broadcast(templates), ["best", "gram"]).groupBy("key", "template").agg(
-        F.first("best").alias("found"), (F.count("*") / F.first("size")).alias("share")
-    ).where(F.col("share") >= CONFIRMED).groupBy("key").agg(F.first("found").alias("found"))
-    lines = judged.where(F.col("chance") >= limit).select("key").join(held, "key", "left")
-    by_row = lines.groupBy(F.col("key.row_id").alias("row_id")).agg(
-        F.sort_array(F.collect_set("found")).alias("licences"), F.count("found").alias("n_confirmed"),
-        F.count(F.when(F.col("found").isNull(), 1)).alias("n_unknown"),
+    units = rows.select("row_id", F.explode("contexts").alias("c")).select("row_id", F.posexplode(_units(anchor)).alias("pos", "u"))
+    paragraphs = units.select(
+        F.struct("row_id", F.col("u.first").alias("first"), F.col("u.last").alias("last"), "pos").alias("key"),
+        F.lit("").alias("family"), _grams(F.col("u.text")).alias("grams"),
     )
+    judged = written(_probabilities(spark, paragraphs, families, intercepts, weights).where(F.greatest("chance", "some") >= limit), "licence-lines-judged")
+    grams = spark.createDataFrame(list(enumerate(TEMPLATES)), "template int, t struct<best:string,text:string>").select(
+        "template", "t.best", F.explode(_grams(F.col("t.text"))).alias("gram"))
+    own = grams.groupBy("gram").agg((F.count_distinct("best") == 1).cast("int").alias("own"))
+    grams = grams.join(own, "gram")
+    sizes = grams.groupBy("template").agg(F.count("*").alias("size"), F.sum("own").alias("own_size"))
+    templates = grams.join(sizes, "template")
+    held = judged.select("key", F.explode("grams").alias("gram")).join(F.broadcast(templates), "gram").groupBy("key", "template").agg(
+        F.first("best").alias("found"), (F.count("*") / F.first("size")).alias("share"), (F.sum("own") / F.first("own_size")).alias("own_share")
+    ).where((F.col("share") >= CONFIRMED) & (F.col("own_share") >= OWN))
+    spans = held.groupBy(F.col("key.row_id").alias("row_id"), "found").agg(
+        F.collect_set(F.struct(F.col("key.last").alias("last"), (F.col("key.first")).alias("first"))).alias("spans"))
+    confirmed = spans.groupBy("row_id").agg(
+        F.sort_array(F.collect_set("found")).alias("licences"), F.sum(F.size(_shortest("spans"))).alias("n_confirmed"),
+        F.flatten(F.collect_list("spans")).alias("covered"))
+    likely = judged.where((F.col("chance") >= limit) & (F.col("key.pos") == 0)).groupBy(F.col("key.row_id").alias("row_id")).agg(
+        F.collect_set("key.first").alias("likely"))
+    unknown = F.filter("likely", lambda line: ~F.exists(F.coalesce("covered", F.array().cast("array<struct<last:int,first:int>>")),
+                                                        lambda s: line.between(s["first"], s["last"])))
+    by_row = likely.join(confirmed, "row_id", "full").select("row_id", "licences", "n_confirmed", F.size(unknown).alias("n_unknown"))
     return rows.join(by_row, "row_id", "left").select(
         id_col, F.concat_ws(",", "licences").alias("licences"), F.coalesce("n_confirmed", F.lit(0)).cast("long").alias("n_confirmed"),
-        F.coalesce("n_unknown", F.lit(0)).cast("long").alias("n_unknown"),
+        F.greatest(F.coalesce("n_unknown", F.lit(0)), F.lit(0)).cast("long").alias("n_unknown"),
     )

@@ -1,6 +1,7 @@
 """Toxicity, licences and mixing: held-out accuracy, exact sums, defined edge cases."""
 
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -118,6 +119,29 @@ def test_licence_families(spark, licence_lines):
     assert by_id[20_002][0] == by_id[20_001][0] == "MIT" and by_id[None] == ("", 0)
 
 
+def test_wrapped_notices_and_lines_of_two_licences(spark):
+    other = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").limit(100)
+    cases = []
+    for family, text in licences.TEMPLATES:
+        for width in (75, 45):
+            if len(text) > width:
+                cases.append((textwrap.fill(text, width), family, 1))
+                cases.append(("Some words before it.\n\n# " + textwrap.fill(text, width).replace("\n", "\n# ") + "\n#\n# and others after it", family, 1))
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    cases += [
+        (f"{mit} {apache}", "Apache,MIT", 2), (f"Some parts: {apache} Others are free. {mit} " + "More words. " * 50, "Apache,MIT", 2),
+        (f"{mit[:-1]} or {apache}", "Apache,MIT", 2), (f"{mit}\n{mit}", "MIT", 2),
+        (mit + "\n" + textwrap.fill(next(t for f, t in licences.TEMPLATES if f == "BSD"), 75), "BSD,MIT", 2),
+        ("Licensed under CC BY-SA 4.0.", "", 0), ("Licensed under CC BY-ND 4.0.", "", 0), ("Licensed under\nCC BY 4.0.", "CC BY", 1),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "", 0),
+        ("This work is licensed under a Creative\nCommons Attribution-NoDerivatives 4.0 International License.", "", 0),
+    ]
+    docs = other.unionByName(spark.createDataFrame([(10_000 + n, text) for n, (text, _, _) in enumerate(cases)], DOCS))
+    got = {r.doc_id: (r.licences, r.n_confirmed) for r in licences.licences(docs).collect()}
+    wrong = [(text, got[10_000 + n]) for n, (text, names, count) in enumerate(cases) if got[10_000 + n] != (names, count)]
+    assert not wrong
+
+
 def test_telling_words_leave_out_no_licence():
     draw = random.Random(13)
     for _ in range(30):
