@@ -8,8 +8,10 @@ ROOT = r"(?s)^\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*<([^\s/>]+)"
 def blob_to_json(rows, column, schema=None, root=None, name="json", strict=True):
     """Add `name`, the XML text of `column` as ``{"<root>": {...}}``.
 
-    Without a schema everything in the text is kept: attributes as ``_name``, repeated elements as
-    arrays, empty ones as null, numbers as numbers. With one only its fields are. Text that is not XML, or has another
+    Without a schema all elements and attributes are kept: attributes as ``_name``, repeated elements as
+    arrays, empty ones as null, numbers as numbers; their leading and trailing zeros and exponents are
+    lost. With a schema only its fields are kept, and fields of type string keep them. Spaces at the ends of texts go
+    both ways. Text that is not XML, or has another
     root than `root` where that is given, fails the job, or gives null when not strict.
     """
     text = F.col(column)

@@ -131,3 +131,12 @@ def test_a_foreign_root_is_not_taken_for_another(spark):
         blob_to_json(rows, "x", "to string", "note").collect()
     found = blob_to_json(rows, "x", "to string", "note", strict=False).orderBy("id").collect()
     assert [r.json for r in found] == [None, '{"note":{"to":"b"}}']
+
+
+def test_a_string_schema_keeps_what_numbers_lose(spark):
+    rows = spark.createDataFrame([("<r><a>00123</a><b>1.10</b><c>1e5</c></r>",)], "blob string")
+    whole, kept = (blob_to_json(rows, "blob", schema).first().json for schema in (None, "a string, b string, c string"))
+    assert json.loads(whole) == {"r": {"a": 123, "b": 1.1, "c": 100000}}
+    assert json.loads(kept) == {"r": {"a": "00123", "b": "1.10", "c": "1e5"}}
+    for lost in ("leading and trailing zeros", "exponents", "type string"):
+        assert lost in blob_to_json.__doc__
