@@ -4,7 +4,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from tallyline.llm import (
-    bpe, chat, exact_dedup, fingerprints, html_text, licences, mixing, near_dedup, toxicity, url_filter,
+    alignment, bpe, chat, decontamination, exact_dedup, fingerprints, html_text, licences, mixing, near_dedup, search, toxicity,
+    url_filter,
 )
 from tallyline.llm.common import table
 
@@ -73,6 +74,24 @@ def op10_html_text(spark, sf_dir):
     return html_text.extracted(table(spark, sf_dir, "pages"))
 
 
+def op11_alignment(spark, sf_dir):
+    files = str(public_tokenizers.path("byte_bpe_50k.json")), public_tokenizers.PATTERN, str(public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.alignment(table(spark, sf_dir, "documents"), files)
+
+
+def op12_search(spark, sf_dir):
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_decontamination(spark, sf_dir):
+    found = decontamination.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = decontamination.n_hit()
+    return found.select(
+        "doc_id", "hits.n_words", n_hit.alias("n_hit"), F.size("hits.items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "hits.items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_chat_format": op2_chat_format,
@@ -84,6 +103,9 @@ QUERIES = {
     "op8_licences": op8_licences,
     "op9_mixing": op9_mixing,
     "op10_html_text": op10_html_text,
+    "op11_alignment": op11_alignment,
+    "op12_search": op12_search,
+    "op13_decontamination": op13_decontamination,
 }
 
 ORACLES = {
@@ -120,4 +142,67 @@ ORACLES = {
             sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
         FROM chats
     """,
+    "op12_search": r"""
+        WITH words AS (
+            SELECT doc_id, row_number() OVER () AS row, len(w) AS n, w FROM (
+                SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+                FROM documents
+            ) WHERE len(w) > 0
+        ), asked AS (
+            SELECT item_id, row_number() OVER () AS item, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark
+        ), wanted AS (
+            SELECT item, item_id, term, count(*) AS c FROM asked GROUP BY ALL
+        ), corpus AS (
+            SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM words
+        ), counted AS (
+            SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, n, unnest(w) AS term FROM words)
+            WHERE term IN (SELECT term FROM wanted) GROUP BY ALL
+        ), weights AS (
+            SELECT term, CAST(floor(1000 * ln((2.0 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+            FROM (SELECT term, count(*) AS df FROM counted GROUP BY term), corpus
+        ), scored AS (
+            SELECT item, item_id, row, doc_id,
+                CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+            FROM wanted JOIN counted USING (term) JOIN weights USING (term), corpus
+            GROUP BY ALL
+        )
+        SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id, row) AS place FROM scored WHERE score > 0
+        ) WHERE place <= 20
+    """,
+    "op13_decontamination": r"""
+        WITH items AS (
+            SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+            FROM benchmark
+        ), windows AS (
+            SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS win FROM (
+                SELECT item, w, least(len(w), 10) AS k, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM items WHERE len(w) > 0
+            )
+        ), words AS (
+            SELECT doc_id, row_number() OVER () AS row, coalesce(w, []) AS w FROM (
+                SELECT doc_id, regexp_extract_all(
+                    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+                FROM documents
+            )
+        ), found AS (
+            SELECT row, item, k, i FROM (
+                SELECT row, k, i, array_to_string(w[i:i + k - 1], ' ') AS win FROM (
+                    SELECT row, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT DISTINCT k FROM windows)
+                )
+            ) JOIN windows USING (k, win)
+        ), places AS (
+            SELECT row, count(DISTINCT place) AS n_hit FROM (SELECT row, unnest(range(i, i + k)) AS place FROM found) GROUP BY row
+        ), named AS (
+            SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+            FROM (SELECT DISTINCT row, item FROM found) GROUP BY row
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+            sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM words LEFT JOIN places USING (row) LEFT JOIN named USING (row)
+    """,
 }

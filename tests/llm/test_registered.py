@@ -16,7 +16,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 def test_there_is_a_query_for_each_operator():
     names = {re.match(r"op(\d+)_", name)[1] for name in QUERIES}
-    assert names == {str(n) for n in range(1, 11)}
+    assert names == {str(n) for n in range(1, 14)}
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
 
 

@@ -1,0 +1,112 @@
+"""Ranked search against plain scores of all documents."""
+
+import math
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from tallyline.llm import search
+from test_decontamination import plain_words
+
+
+def plain(docs, items, top):
+    """Rows (item number, rank, doc id, score) as a Counter."""
+    counts = [Counter(plain_words(t)) for _, t in docs]
+    many, total = sum(1 for c in counts if c), sum(sum(c.values()) for c in counts)
+    df = Counter(t for c in counts for t in c)
+    out = Counter()
+    for number, (_, text) in enumerate(items):
+        scores = []
+        for (doc, _), c in zip(docs, counts):
+            m = 75 + 25 * sum(c.values()) * many // total if total else 75
+            score = sum(
+                math.floor(1000 * math.log((2 * many + 2) / (2 * df[t] + 1))) * (1_000_000_000 * c[t] // (1000 * c[t] + 12 * m))
+                for t in plain_words(text) if c[t]
+            )
+            if score > 0:
+                scores.append((-score, doc is None, doc, score))
+        for rank, (_, _, doc, score) in enumerate(sorted(scores, key=lambda s: (s[0], s[1], () if s[2] is None else (s[2],)))[:top]):
+            out[number, rank + 1, doc, score] += 1
+    return out
+
+
+def made(seed, n_docs=300):
+    draw = random.Random(seed)
+    text = lambda n: " ".join(f"w{int(draw.paretovariate(0.6)) % 60}" for _ in range(n))
+    docs = [(n, text(draw.choice([0, 3, 3, 20]))) for n in range(n_docs)]
+    docs += [(1000 + n, "w1 w2 w3") for n in range(60)] + [(None, "w1 w2 w3"), (5, None), (6, "..."), (7, "W1 w5"), (7, "W1 w5")]
+    draw.shuffle(docs)
+    items = [(n, text(draw.choice([1, 4, 12]))) for n in range(12)] + [(3, "w1 w1 w1 w2"), (90, "nothing"), (91, ""), (92, None), (93, "w1")]
+    return docs, items
+
+
+def found_rows(spark, docs, items, top, id_type="long"):
+    rows = spark.createDataFrame(docs, f"doc_id {id_type}, text string").selectExpr("*", "1 AS rank", "2 AS score", "3 AS item_").repartition(3)
+    table = spark.createDataFrame([(n, t) for n, (_, t) in enumerate(items)], "item_id long, text string").selectExpr("*", "1 AS doc_id")
+    found = search.ranked(rows, table, top)
+    assert found.columns == ["item_id", "rank", "doc_id", "score"]
+    return Counter(tuple(r) for r in found.collect())
+
+
+@pytest.mark.parametrize("pairs, seed", [(250_000, 1), (9, 2)])
+def test_ranks_are_those_of_plain_scores(spark, monkeypatch, pairs, seed):
+    """In one block of items, and in several."""
+    monkeypatch.setattr(search, "PAIRS", pairs)
+    docs, items = made(seed)
+    assert found_rows(spark, docs, items, 7) == plain(docs, items, 7)
+
+
+def test_ids_are_compared_as_they_are(spark):
+    docs, items = made(3, 80)
+    named = [(None if n is None else f"d{n}", t) for n, t in docs]
+    big = [(None if n is None else (1 << 62) + n, t) for n, t in docs]
+
+    assert found_rows(spark, big, items, 20) == plain(big, items, 20)
+    assert found_rows(spark, named, items, 20, "string") == plain(named, items, 20)
+
+
+def test_small_tiles_give_the_same(monkeypatch):
+    """Tiles of few documents, terms and items, and weights too large for one sum."""
+    draw = np.random.default_rng(4)
+    many, terms, items = 40, 30, 11
+
+    class Row:
+        def __init__(self, n):
+            self.item_ = n
+            chosen = draw.choice(terms, draw.integers(1, 20), replace=False)
+            self.terms = [b"t%02d" % t for t in chosen]
+            self.counts = draw.integers(1, 4, len(chosen)).tolist()
+
+    rows = [Row(n) for n in range(items)]
+    rows[0].counts[0] = 5_000_000
+    block = search.Block(rows)
+    df = np.concatenate(([0], draw.integers(0, many, len(block.vocabulary) - 1)))
+    doc, term = np.nonzero(draw.random((many, len(df))) < 0.3)
+    doc, term = doc[term > 0], term[term > 0]
+    value = draw.integers(1, search.HIGHEST, len(doc))
+    expected = np.zeros((many, items), object)
+    for d, t, v in zip(doc, term, value):
+        for i, c in zip(block.item[block.term == t], block.count[block.term == t]):
+            expected[d, i] += int(c) * search.weight(many, int(df[t])) * int(v)
+    for limits in ({}, {"TERMS": 3, "ITEMS": 4}):
+        for name, n in limits.items():
+            monkeypatch.setattr(search, name, n)
+        tiles = block.weigh(many, df)
+        got = np.zeros((many, items), np.int64)
+        for tile in tiles:
+            assert len(tile[2]) <= search.TERMS
+            sums = np.zeros(tile[1], np.int64)
+            np.add.at(sums, tile[3][1], tile[3][2])
+            assert sums.max() * search.HIGHEST <= 1 << 53
+            got[:, tile[0]:tile[0] + tile[1]] += search._multiplied(many, (doc, term, value), [tile])
+        assert (got == expected).all()
+
+
+def test_a_long_text_and_empty_tables(spark):
+    docs = [(1, "w1 w2 " * 300_000), (2, "w1"), (3, "w3")]
+    items = [(0, "w1 w2"), (1, "W3 w3")]
+    assert found_rows(spark, docs, items, 20) == plain(docs, items, 20)
+    for d, i in (([], items), (docs, []), ([(1, None)], items)):
+        assert found_rows(spark, d, i, 20) == Counter()
