@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tallyline.functions.columns import required
 
 SALT = "_salt"
-SALTS = 4
+SALTS = 2
 
 
 def latest_per_key(df, keys):

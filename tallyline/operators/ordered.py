@@ -1,25 +1,23 @@
 """Totals over earlier rows, and numbering, without pulling an order into one task.
 
 A window that is ordered over everything, or over a few big groups, runs in one task per group. Here
-the order is cut into slices at fixed bounds, each slice gets its own total, the totals are carried
-forward over the few slices, and the window only ever sees one slice.
-
-The bounds are taken from a sample of the order columns once and are constants of the plan from then
-on, so every reading of a row finds it in the same slice, also after a task is lost. There is one
-bound for each slice, and as many slices as the number of rows asks for.
+the input is written once, and Spark's range partitioning cuts the order into as many slices as there
+are shuffle partitions. What each slice says of its own rows is written with the number of the slice, and
+a table of one total per slice is summed up from it. Totals are carried over slices in two levels, inside
+groups of GROUP slices and over the groups, so that no window sees more than GROUP slices, or as many
+groups. A row keeps its slice from then on, also after a task is lost.
 """
 
-import math
+from pyspark.sql import Window, functions as F
 
-from pyspark.sql import Observation, Window, functions as F
+from tallyline.session import written
 
 SLICE = "_slice"
 START = "_start"
 SIZE = "_size"
 
-SLICE_ROWS = 1_000_000  # about so many rows make a slice, fewer only to use all tasks
-LEAST_ROWS = 5_000
-SAMPLED = 20  # sampled rows for each bound
+GROUP = 1000  # slices whose totals meet in one window
+PLACES = 33  # bits of a row's place in its slice
 
 # copies of one row that travel together
 CHUNK = 10_000
@@ -57,70 +55,43 @@ def spread_copies(chunks, position):
     return chunks.withColumn(position, F.explode(places)).drop(START, SIZE)
 
 
-def _bounds(keys, order):
-    """Rows of the order columns that cut `keys` into slices of about equal size, in order."""
-    spark = keys.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    seen = Observation()
-    # a random choice, but made once: what it gives is part of the plan
-    marked = keys.select(*order, F.xxhash64(F.monotonically_increasing_id()).alias("_mark"))
-    counted = marked.observe(seen, F.count(F.lit(1)).alias("rows"))
-    sample = counted.orderBy("_mark").limit(SAMPLED * tasks).orderBy(*order).select(*order).collect()
-    rows = seen.get["rows"]
-    slices = max(math.ceil(rows / SLICE_ROWS), min(tasks, math.ceil(rows / LEAST_ROWS)))
-    if slices * SAMPLED > len(sample) and rows > len(sample):
-        marked = keys.select(*order, F.xxhash64(F.monotonically_increasing_id()).alias("_mark"))
-        sample = marked.orderBy("_mark").limit(SAMPLED * slices).orderBy(*order).select(*order).collect()
-    cuts = [sample[i * len(sample) // slices] for i in range(1, slices)] if sample else []
-    return [cut for i, cut in enumerate(cuts) if not i or cut != cuts[i - 1]]
-
-
-def _slice_of(df, order, bounds):
-    """How many bounds a row has reached, nulls first, found in two steps."""
-    if not bounds:
-        return F.lit(0)
-    kinds = {field.name: field.dataType for field in df.schema}
-    here = F.struct(*[F.col(c).alias(c) for c in order])
-
-    def fixed(cuts):
-        return F.array(*[
-            F.struct(*[F.lit(cut[c]).cast(kinds[c]).alias(c) for c in order]) for cut in cuts
-        ])
+def _ascending(columns):
+    return [F.col(c).asc_nulls_first() for c in columns]
 
-    step = max(1, math.isqrt(len(bounds)))
-    passed = F.size(F.filter(fixed(bounds[step - 1::step]), lambda cut: cut <= here)) * step
-    return passed + F.size(F.filter(F.slice(fixed(bounds), passed + 1, F.lit(step)), lambda cut: cut <= here))
 
+def _ranged(df, order):
+    """Rows dealt to ordered slices of about equal size.
 
-def cut_by_order(df, order, bounds):
-    """`df` with the number of its range slice."""
-    return df.withColumn(SLICE, _slice_of(df, order, bounds))
+    Spark looks at the rows once for the bounds and once to deal them, so they are written first.
+    """
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df, "unordered").repartitionByRange(slices, *_ascending(order))
 
 
-def _before(df, by, order, value, name, aggregate, combine):
-    valued = df.withColumn("_value", value)
-    bounds = _bounds(df, [*by, *order])
+def _carried(totals, by, aggregate, combine):
+    """From (by, SLICE, `_total`) the total of all earlier slices as `_carried`, in two levels."""
     earlier = (Window.unboundedPreceding, -1)
-    ascending = [F.col(c).asc_nulls_first() for c in order]
-    if not bounds:  # one slice
-        inside = aggregate("_value").over(Window.partitionBy(*by).orderBy(*ascending).rowsBetween(*earlier))
-        return valued.select(*df.columns, combine(F.lit(None), inside).alias(name))
-    sliced = cut_by_order(valued, [*by, *order], bounds)
-
-    # at most one row per group and slice
-    over_slices = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(*earlier)
-    carried = (
-        sliced.groupBy(*by, SLICE).agg(aggregate("_value").alias("_total"))
-        .withColumn("_carried", aggregate("_total").over(over_slices))
-        .select(*[F.col(c).alias(f"_at_{c}") for c in [*by, SLICE]], "_carried")
+    grouped = totals.withColumn("_group", F.floor(F.col(SLICE) / GROUP))
+    inside = Window.partitionBy(*by, "_group").orderBy(SLICE).rowsBetween(*earlier)
+    near = grouped.withColumn("_near", aggregate("_total").over(inside))
+    over_groups = Window.partitionBy(*by).orderBy("_group").rowsBetween(*earlier)
+    far = grouped.groupBy(*by, "_group").agg(aggregate("_total").alias("_total")).select(
+        *[F.col(c).alias(f"_of_{c}") for c in [*by, "_group"]], aggregate("_total").over(over_groups).alias("_far")
+    )
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*by, "_group"]]
+    return near.join(far, same).select(
+        *[F.col(c).alias(f"_at_{c}") for c in [*by, SLICE]], combine(F.col("_far"), F.col("_near")).alias("_carried")
     )
 
-    in_slice = Window.partitionBy(SLICE, *by).orderBy(*ascending).rowsBetween(*earlier)
+
+def _before(df, by, order, value, name, aggregate, combine):
+    sliced = _ranged(df.withColumn("_value", value), [*by, *order]).withColumn(SLICE, F.spark_partition_id())
+    in_slice = Window.partitionBy(SLICE, *by).orderBy(*_ascending(order)).rowsBetween(Window.unboundedPreceding, -1)
+    sliced = written(sliced.withColumn("_inside", aggregate("_value").over(in_slice)), "slices")
+    totals = sliced.groupBy(*by, SLICE).agg(aggregate("_value").alias("_total"))
     same = [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in [*by, SLICE]]
-    return (
-        sliced.withColumn("_inside", aggregate("_value").over(in_slice))
-        .join(carried, same, "left")
-        .select(*df.columns, combine(F.col("_carried"), F.col("_inside")).alias(name))
+    return sliced.join(_carried(totals, by, aggregate, combine), same, "left").select(
+        *df.columns, combine(F.col("_carried"), F.col("_inside")).alias(name)
     )
 
 
@@ -129,30 +100,27 @@ def max_before(df, by, order, value, name):
     return _before(df, by, order, value, name, F.max, lambda a, b: F.greatest(a, b))
 
 
+def _added(a, b):
+    return F.coalesce(a, _long(0)) + F.coalesce(b, _long(0))
+
+
 def sum_before(df, order, value, name):
     """Sum of `value` over all rows that come earlier in `order`."""
-    return _before(
-        df, [], order, value, name, F.sum,
-        lambda a, b: F.coalesce(a, _long(0)) + F.coalesce(b, _long(0)),
-    )
+    return _before(df, [], order, value, name, F.sum, _added)
 
 
-def number_rows(df, order, name, start=1, keys=None):
+def number_rows(df, order, name, start=1):
     """Consecutive BIGINT ids from `start` in `order`, as the first column.
 
-    Each slice numbers its own rows; only the sizes of the slices are put together. `keys` may give the
-    order columns more cheaply than `df`.
+    Each sorted slice numbers its own rows as it is written; the sizes of the slices are then read from
+    the one column of these numbers.
     """
-    bounds = _bounds(df if keys is None else keys, order)
-    if not bounds:  # one slice
-        row = F.row_number().over(Window.orderBy(*order)).cast("bigint")
-        return df.select((row + (start - 1)).alias(name), *df.columns)
-    sliced = cut_by_order(df, order, bounds)
-    sizes = sliced.groupBy(F.col(SLICE).alias("_at")).agg(F.count(F.lit(1)).alias("_rows"))
-    # one row for each slice
-    earlier = Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_at", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(SLICE).orderBy(*order)
-    return sliced.withColumn("_row", F.row_number().over(inside)).join(offsets, F.col(SLICE) == F.col("_at")).select(
-        (F.col("_offset") + F.col("_row") + (start - 1)).alias(name), *df.columns
+    placed = _ranged(df, order).sortWithinPartitions(*_ascending(order)).withColumn("_at", F.monotonically_increasing_id())
+    placed = written(placed, "numbered")
+    of_slice = F.shiftright("_at", PLACES).cast("int")
+    sizes = placed.groupBy(of_slice.alias(SLICE)).agg(F.count(F.lit(1)).alias("_total"))
+    offsets = _carried(sizes, [], F.sum, _added)
+    place = F.col("_at").bitwiseAND(_long((1 << PLACES) - 1))
+    return placed.join(offsets, of_slice == F.col(f"_at_{SLICE}")).select(
+        (F.col("_carried") + place + start).alias(name), *df.columns
     )

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyline.operators import ordered
+from tallyline.session import written
 
 
 @pytest.fixture(params=[10_000, 3])
@@ -11,34 +12,85 @@ def chunk(request, monkeypatch):
     monkeypatch.setattr(ordered, "CHUNK", request.param)
 
 
-@pytest.fixture(autouse=True)
-def small_slices(monkeypatch):
-    monkeypatch.setattr(ordered, "LEAST_ROWS", 20)
+@pytest.fixture(params=[1000, 2])
+def group(request, monkeypatch):
+    """One group of slices, and several."""
+    monkeypatch.setattr(ordered, "GROUP", request.param)
 
 
-def test_max_before_carries_over_slices(spark, conf):
-    conf(spark__sql__adaptive__enabled="false")
+@pytest.fixture
+def staged(monkeypatch):
+    """The tables the operators write, by name."""
+    tables = {}
+
+    def keep(df, name):
+        tables[name] = written(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(ordered, "written", keep)
+    return tables
+
+
+def test_max_before_carries_over_slices(spark, group, staged):
     draw = random.Random(1)
     rows = [(draw.choice("aab"), n, draw.choice([None, draw.randrange(100)])) for n in range(300)]
     df = spark.createDataFrame(rows, "g string, n int, v int")
-    sliced = ordered.cut_by_order(df, ["g", "n"], ordered._bounds(df, ["g", "n"]))
-    assert sliced.select(ordered.SLICE).distinct().count() > 1
-
     found = ordered.max_before(df, ["g"], ["n"], F.col("v"), "m").collect()
+    assert staged["slices"].select(ordered.SLICE).distinct().count() > 4
     assert len(found) == len(rows)
     for row in found:
         earlier = [v for g, n, v in rows if g == row.g and n < row.n and v is not None]
         assert row.m == (max(earlier) if earlier else None)
 
 
+def test_sum_before_carries_over_slices(spark, group):
+    rows = [(n if n % 9 else None, n % 5) for n in range(400)]
+    df = spark.createDataFrame(rows, "n int, v int").where("n IS NOT NULL OR v = 1")
+    kept = sorted((r.n is not None, r.n or 0, r.v) for r in df.collect())
+    found = ordered.sum_before(df.withColumn("id", F.coalesce("n", F.lit(-1))), ["n", "id"], F.col("v"), "s").collect()
+    totals, total = {}, 0
+    for _, n, v in kept:
+        totals.setdefault(n, set()).add(total)
+        total += v
+    assert all(r.s in totals[r.n or 0] for r in found) and len(found) == len(kept)
+
+
+def test_one_hot_group_is_spread_over_slices(spark, staged):
+    """One task of the audit tables may hold all rows; no slice may."""
+    df = spark.range(20_000).select(F.lit("hot").alias("g"), "id")
+    found = ordered.max_before(df, ["g"], ["id"], F.col("id"), "m")
+    assert found.where("m <> id - 1 OR (m IS NULL) <> (id = 0)").isEmpty()
+    sizes = [r["count"] for r in staged["slices"].groupBy(ordered.SLICE).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 20_000 / 8
+
+
+def test_the_input_is_computed_once_and_plans_do_not_grow(spark, conf):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for row in rows:
+            seen.add(1)
+            yield row
+
+    df = spark.createDataFrame(spark.range(500).rdd.mapPartitions(count), "id long")
+    plans = []
+    for n in ("8", "64"):
+        conf(spark__sql__shuffle__partitions=n)
+        before = seen.value
+        for found in (ordered.max_before(df, [], ["id"], F.col("id"), "m"), ordered.number_rows(df, ["id"], "n")):
+            assert found.count() == 500
+            plans.append(len(found._jdf.queryExecution().optimizedPlan().toString()))
+        assert seen.value - before == 2 * 500
+    assert abs(plans[0] - plans[2]) < 500 and abs(plans[1] - plans[3]) < 500
+
+
 def test_null_groups_are_a_group(spark):
     df = spark.createDataFrame([(None, 1, 5), (None, 2, 6), ("a", 1, 9)], "g string, n int, v int")
     found = {(r.g, r.n): r.m for r in ordered.max_before(df, ["g"], ["n"], F.col("v"), "m").collect()}
     assert found == {(None, 1): None, (None, 2): 5, ("a", 1): None}
 
 
-def test_number_rows_has_no_gaps_and_follows_the_order(spark, conf):
-    conf(spark__sql__adaptive__enabled="false")
+def test_number_rows_has_no_gaps_and_follows_the_order(spark, group):
     values = random.Random(2).sample(range(10_000), 500)
     df = spark.createDataFrame([(v,) for v in values], "v int")
     found = ordered.number_rows(df, ["v"], "id", start=7).orderBy("id").collect()
@@ -46,15 +98,12 @@ def test_number_rows_has_no_gaps_and_follows_the_order(spark, conf):
     assert [r.v for r in found] == sorted(values)
 
 
-def test_slices_are_fixed_and_follow_the_rows(spark, monkeypatch):
-    monkeypatch.setattr(ordered, "SLICE_ROWS", 50)
-    df = spark.createDataFrame([(n % 7 if n % 7 else None, str(n)) for n in range(2000)], "k int, s string")
-    sliced = ordered.cut_by_order(df, ["k", "s"], ordered._bounds(df, ["k", "s"]))
-    first = {(r.k, r.s): r[ordered.SLICE] for r in sliced.collect()}
-    assert first == {(r.k, r.s): r[ordered.SLICE] for r in sliced.repartition(3).collect()}
-    assert 20 <= len(set(first.values())) <= 41
-    rows = sorted(first.items(), key=lambda kv: (kv[0][0] is not None, kv[0][0] or 0, kv[0][1]))
-    assert [s for _, s in rows] == sorted(s for _, s in rows)
+def test_numbers_are_the_same_at_every_reading(spark):
+    """Ids of rows that tie depend on nothing that a lost task computes anew."""
+    df = spark.range(3000).select((F.col("id") % 3).alias("k"), F.rand().alias("r"))
+    numbered = ordered.number_rows(df, ["k"], "n")
+    first = {(r.n, r.r) for r in numbered.collect()}
+    assert first == {(r.n, r.r) for r in numbered.repartition(3).collect()} and len({n for n, _ in first}) == 3000
 
 
 def test_an_empty_table_is_numbered(spark):
