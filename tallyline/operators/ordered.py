@@ -59,29 +59,36 @@ def _ascending(columns):
     return [F.col(c).asc_nulls_first() for c in columns]
 
 
+def _slices(df):
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _ranged(df, order):
     """Rows dealt to ordered slices of about equal size.
 
     Spark looks at the rows once for the bounds and once to deal them, so they are written first.
     """
-    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return written(df, "unordered").repartitionByRange(slices, *_ascending(order))
+    return written(df, "unordered").repartitionByRange(_slices(df), *_ascending(order))
 
 
 def _carried(totals, by, aggregate, combine):
-    """From (by, SLICE, `_total`) the total of all earlier slices as `_carried`, in two levels."""
-    earlier = (Window.unboundedPreceding, -1)
+    """From (by, SLICE, `_total`) the total of all earlier slices as `_carried`, in two levels.
+
+    It is written, so that Spark knows its size and shuffles no rows to join it where it is small.
+    """
+    keys = [F.col(c).alias(f"_at_{c}") for c in [*by, SLICE]]
+
+    def earlier(within, order):
+        return aggregate("_total").over(Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+
+    if _slices(totals) <= GROUP:
+        return written(totals.select(*keys, combine(F.lit(None), earlier(by, SLICE)).alias("_carried")), "carried")
     grouped = totals.withColumn("_group", F.floor(F.col(SLICE) / GROUP))
-    inside = Window.partitionBy(*by, "_group").orderBy(SLICE).rowsBetween(*earlier)
-    near = grouped.withColumn("_near", aggregate("_total").over(inside))
-    over_groups = Window.partitionBy(*by).orderBy("_group").rowsBetween(*earlier)
-    far = grouped.groupBy(*by, "_group").agg(aggregate("_total").alias("_total")).select(
-        *[F.col(c).alias(f"_of_{c}") for c in [*by, "_group"]], aggregate("_total").over(over_groups).alias("_far")
-    )
+    near = grouped.withColumn("_near", earlier([*by, "_group"], SLICE))
+    of_groups = grouped.groupBy(*by, "_group").agg(aggregate("_total").alias("_total"))
+    far = of_groups.select(*[F.col(c).alias(f"_of_{c}") for c in [*by, "_group"]], earlier(by, "_group").alias("_far"))
     same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*by, "_group"]]
-    return near.join(far, same).select(
-        *[F.col(c).alias(f"_at_{c}") for c in [*by, SLICE]], combine(F.col("_far"), F.col("_near")).alias("_carried")
-    )
+    return written(near.join(far, same).select(*keys, combine(F.col("_far"), F.col("_near")).alias("_carried")), "carried")
 
 
 def _before(df, by, order, value, name, aggregate, combine):
