@@ -1,6 +1,14 @@
 """Tables of the session catalog."""
 
-WHOLE = "tallyline.whole"  # marks staged content that may be copied over
+import uuid
+
+from pyspark.sql import functions as F
+
+from tallyline.sources.files import remove
+
+TRACKED = "spark.sql.hive.manageFilesourcePartitions"
+PREVIOUS = "tallyline.previous"  # the folder of the version before, kept for readers that have begun
+VERSIONS = ".versions"
 
 
 def _quoted(text):
@@ -24,15 +32,16 @@ class CatalogStore:
 
     def _settle(self, name):
         """Finish or undo a replacement of a table that was lost half way."""
-        staged, old = f"{name}_temp", f"{name}_old"
+        old = f"{name}_old"
+        if not self._has(old):
+            return
         if not self._has(name):
-            if self._has(old):
-                self._rename(old, name)
-        elif self._has(old):
-            # the new content has its name, so the old one is no longer needed
-            self.drop(old)
-        if self._has(name) and self._has(staged) and self._properties(staged).get(WHOLE) == "true":
-            self._copy_over(staged, name)
+            self._rename(old, name)
+            self._resync(name)
+            return
+        # the new content has its name, so the old one is no longer needed
+        self._resync(name)
+        self.drop(old)
 
     def exists(self, name):
         self._settle(name)
@@ -59,42 +68,80 @@ class CatalogStore:
         self.spark.sql(f"DROP TABLE IF EXISTS {self._full(name)}")
 
     def replace(self, df, name):
-        """Overwrite a table that `df` may be read from; it keeps its partitioning, properties and place.
-
-        The new content is written beside the old table first. A managed table is then swapped by
-        renaming: the data is written once, and the old table is dropped last. An external table's
-        folder has other readers, and the catalog renames no partitions, so there the staged content,
-        marked as whole, is copied over. Any later use of the table finishes or undoes what a lost
-        job left.
+        """Overwrite a table that `df` may be read from; it keeps its columns, partitioning, properties and type.
+
+        The new content is written once, beside the old one, and readers find either of them whole. A
+        managed table is swapped by renaming. An external table is a pointer to a folder of files: the
+        new version gets a folder of its own and the pointer is set to it, by one change of the table's
+        location, or, as partitions have locations of their own, by renaming a definition that was
+        made on the new folder. The folder before is kept until the next replacement, for readers that
+        have begun. Any later use of the table finishes or undoes what a lost job left.
         """
         self._settle(name)
-        staged, old = f"{name}_temp", f"{name}_old"
+        staged = f"{name}_temp"
         self.drop(staged)
         if not self._has(name):
-            self._stage(df, staged, {})
+            df.write.mode("overwrite").format("parquet").saveAsTable(self._full(staged))
             self._rename(staged, name)
             return
-        partitions = self._partitions(name)
-        self._stage(df, staged, self._properties(name))
-        if partitions or self._is_external(name):
-            self.spark.sql(f"ALTER TABLE {self._full(staged)} SET TBLPROPERTIES ('{WHOLE}' = 'true')")
-            self._copy_over(staged, name)
-            return
-        self._rename(name, old)
+        columns = self.spark.table(self._full(name)).schema
+        rows = df.select(*[F.col(f"`{c.name}`").cast(c.dataType).alias(c.name) for c in columns])
+        if self._is_external(name):
+            self._repoint(rows, name, staged)
+        else:
+            self._stage(rows, staged, self._properties(name), self._partitions(name))
+            self._swap(name, staged)
+
+    def _stage(self, df, staged, properties, partitions):
+        """A managed table of the content; its partitions are those of its folder, which a rename moves."""
+        tracked = self.spark.conf.get(TRACKED)
+        self.spark.conf.set(TRACKED, "false")
+        try:
+            df.write.mode("overwrite").format("parquet").partitionBy(*partitions).saveAsTable(self._full(staged))
+        finally:
+            self.spark.conf.set(TRACKED, tracked)
+        self._set_properties(staged, properties)
+
+    def _swap(self, name, staged):
+        self._rename(name, f"{name}_old")
+        self._resync(f"{name}_old")  # else dropping it would drop the folders its partitions had
         self._rename(staged, name)
-        self.drop(old)
-
-    def _stage(self, df, staged, properties):
-        df.write.mode("overwrite").format("parquet").saveAsTable(self._full(staged))
+        self._resync(name)
+        self.drop(f"{name}_old")
+
+    def _repoint(self, df, name, staged):
+        """Write a new version of an external table and point the table to it."""
+        partitions, properties, here = self._partitions(name), self._properties(name), self._location(name)
+        if properties.get(PREVIOUS):
+            remove(self.spark, properties[PREVIOUS])
+        parent = here.rpartition("/")[0]
+        versions = parent if parent.endswith(VERSIONS) else here + VERSIONS
+        version = f"{versions}/{uuid.uuid4().hex}"
+        df.write.partitionBy(*partitions).parquet(version)
+        if not partitions:
+            self.spark.sql(f"ALTER TABLE {self._full(name)} SET LOCATION {_quoted(version)}")
+            self._set_properties(name, {PREVIOUS: here})
+            return
+        fields = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in df.schema)
+        by = ", ".join(f"`{c}`" for c in partitions)
+        self.spark.sql(f"CREATE TABLE {self._full(staged)} ({fields}) USING parquet PARTITIONED BY ({by}) LOCATION {_quoted(version)}")
+        self._resync(staged)
+        self._set_properties(staged, properties | {PREVIOUS: here})
+        self._swap(name, staged)
+
+    def _resync(self, name):
+        """Make the partitions the catalog knows those of the table's folder, which a rename may have moved."""
+        if self._partitions(name):
+            self.spark.sql(f"MSCK REPAIR TABLE {self._full(name)} SYNC PARTITIONS")
+
+    def _set_properties(self, name, properties):
         if properties:
             pairs = ", ".join(f"{_quoted(k)} = {_quoted(v)}" for k, v in properties.items())
-            self.spark.sql(f"ALTER TABLE {self._full(staged)} SET TBLPROPERTIES ({pairs})")
+            self.spark.sql(f"ALTER TABLE {self._full(name)} SET TBLPROPERTIES ({pairs})")
 
-    def _copy_over(self, staged, name):
-        """Put staged content into a table's own folder; it stays until it is there."""
-        columns = ", ".join(f"`{c}`" for c in self.spark.table(self._full(name)).columns)
-        self.spark.sql(f"INSERT OVERWRITE TABLE {self._full(name)} SELECT {columns} FROM {self._full(staged)}")
-        self.drop(staged)
+    def _location(self, name):
+        rows = self.spark.sql(f"DESCRIBE EXTENDED {self._full(name)}").collect()
+        return next(r["data_type"] for r in reversed(rows) if r["col_name"] == "Location").rstrip("/")
 
     def _partitions(self, name):
         return [c.name for c in self.spark.catalog.listColumns(self._full(name)) if c.isPartition]

@@ -1,4 +1,10 @@
-"""CSV input, and parquet and catalog output."""
+"""CSV input, and parquet and catalog output.
+
+A published folder is replaced by renaming: the new files are written to a folder beside it, and when
+they are whole a record says so. Then the old folder is set aside and the new one takes its name. What a
+lost job left is finished, or dropped, by the next publication or by `published`. A rename must be one
+step for readers to see nothing half done, as on HDFS; an object store copies file by file.
+"""
 
 from tallyline.operators.select import conform
 
@@ -9,13 +15,88 @@ def read_csv(spark, path, schema=None):
     return rows if schema is None else conform(rows, schema)
 
 
+def _hadoop(spark, path):
+    """A path and its file system."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove(spark, path):
+    """Delete a folder, if it is there."""
+    found, fs = _hadoop(spark, path)
+    fs.delete(found, True)
+
+
+class Publication:
+    """A published folder, and what stands beside it while it is replaced."""
+
+    def __init__(self, spark, destination):
+        self.spark, self.destination = spark, destination.rstrip("/")
+        folder, _, name = self.destination.rpartition("/")
+        self.staged, self.old, self.record = (f"{folder}/_{name}.{kind}" for kind in ("staged", "old", "ready"))
+
+    def _has(self, path):
+        found, fs = _hadoop(self.spark, path)
+        return fs.exists(found)
+
+    def _rename(self, path, new):
+        source, fs = _hadoop(self.spark, path)
+        target, _ = _hadoop(self.spark, new)
+        if not fs.rename(source, target):
+            raise OSError(f"{path} could not be renamed to {new}")
+
+    def _write_record(self):
+        found, fs = _hadoop(self.spark, self.record)
+        fs.create(found, True).close()
+
+    def _remove(self, path):
+        remove(self.spark, path)
+
+    def settle(self):
+        """Finish a replacement whose files are whole."""
+        if not self._has(self.record):
+            return
+        if self._has(self.staged):
+            if self._has(self.destination):
+                self._remove(self.old)
+                self._rename(self.destination, self.old)
+            self._rename(self.staged, self.destination)
+        self._remove(self.record)
+
+    def replace(self, df):
+        """Write `df`, which may be read from the folder itself, and put it in the folder's place.
+
+        The files before are kept beside it until the next replacement, for readers that have begun.
+        """
+        self.settle()
+        df.write.mode("overwrite").parquet(self.staged)
+        self._write_record()
+        self.settle()
+
+
 def publish_parquet(df, destination, single_file=False):
     """Replace a parquet folder, wherever its URI lies; one file only when asked for."""
     if single_file:
         df = df.coalesce(1)
-    df.write.mode("overwrite").parquet(destination)
+    Publication(df.sparkSession, destination).replace(df)
+
+
+def published(spark, destination):
+    """The rows of a published folder: old or new ones, whole, whatever a lost job left."""
+    Publication(spark, destination).settle()
+    return spark.read.parquet(destination)
 
 
 def publish_table(df, name, path):
-    """Replace an external parquet table kept at `path`."""
-    df.write.mode("overwrite").format("parquet").option("path", path).saveAsTable(name)
+    """Replace an external parquet table kept at `path`: the folder is replaced, the table stays, unless its columns change."""
+    spark = df.sparkSession
+    publish_parquet(df, path)
+    if spark.catalog.tableExists(name):
+        here = spark.sql(f"DESCRIBE EXTENDED {name}").where("col_name = 'Location'").first()["data_type"]
+        same_place = _hadoop(spark, here)[0].toUri().getPath() == _hadoop(spark, path)[0].toUri().getPath()
+        known = [(c.name, c.dataType) for c in spark.table(name).schema]
+        if same_place and known == [(c.name, c.dataType) for c in df.schema]:
+            spark.catalog.refreshTable(name)
+            return
+        spark.sql(f"DROP TABLE {name}")
+    spark.catalog.createTable(name, path, "parquet")

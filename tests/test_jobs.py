@@ -6,7 +6,7 @@ from tallyline import schemas
 from tallyline.plans import jobs
 from tallyline.session import shared_folder
 from tallyline.sources.catalog import CatalogStore
-from tallyline.sources.files import publish_parquet, publish_table, read_csv
+from tallyline.sources.files import Publication, publish_parquet, publish_table, published, read_csv
 
 
 def rows(df):
@@ -174,7 +174,7 @@ class Lost(Exception):
 
 
 def failing(store, monkeypatch, step):
-    """Make the store's n-th rename, copy or drop of a replacement fail once."""
+    """Make the n-th step of a store's replacement fail once."""
     count = [0]
 
     def wrap(name):
@@ -188,15 +188,15 @@ def failing(store, monkeypatch, step):
 
         monkeypatch.setattr(store, name, call)
 
-    for name in ("_rename", "_copy_over", "drop"):
+    for name in ("_rename", "_repoint", "_resync", "_set_properties", "drop"):
         wrap(name)
 
 
-@pytest.mark.parametrize("step", range(1, 6))
-@pytest.mark.parametrize("external", [False, True])
-def test_a_replacement_lost_at_any_step_loses_no_row(spark, store, monkeypatch, tmp_path, step, external):
+@pytest.mark.parametrize("step", range(1, 9))
+@pytest.mark.parametrize("external, partitions", [(False, ["p"]), (True, ["p"]), (True, []), (False, [])])
+def test_a_replacement_lost_at_any_step_loses_no_row(spark, store, monkeypatch, tmp_path, step, external, partitions):
     old = spark.createDataFrame([(n, n % 3) for n in range(100)], "k int, p int")
-    writer = old.write.format("parquet").partitionBy("p")
+    writer = old.write.format("parquet").partitionBy(*partitions)
     if external:
         writer = writer.option("path", str(tmp_path / "t"))
     writer.saveAsTable(f"{store.database}.t")
@@ -207,6 +207,7 @@ def test_a_replacement_lost_at_any_step_loses_no_row(spark, store, monkeypatch,
             store.replace(new, "t")
         except Lost:
             pass
+    assert {r.k for r in store.table("t").collect()} in (set(range(100)), set(range(110)))
     jobs.append_if_absent(store, "t", spark.createDataFrame([(1000, 0), (5, 2)], "k int, p int"), ["k"])
     jobs.insert_if_absent(store, "t", spark.createDataFrame([(1001, 1)], "k int, p int"), ["k"])
     keys = {r.k for r in store.table("t").collect()}
@@ -215,17 +216,84 @@ def test_a_replacement_lost_at_any_step_loses_no_row(spark, store, monkeypatch,
     assert not store.exists("t_old") and not store.exists("t_temp")
 
 
-def test_a_replaced_table_keeps_its_kind(spark, store, tmp_path):
-    path = str(tmp_path / "ext")
-    spark.createDataFrame([(n, n % 2) for n in range(10)], "k int, p int").write.partitionBy("p").option(
-        "path", path).saveAsTable(f"{store.database}.e")
-    spark.sql(f"ALTER TABLE {store.database}.e SET TBLPROPERTIES ('owner_team' = 'it''s us')")
-    store.replace(store.table("e").where("k < 4"), "e")
-    assert spark.catalog.getTable(f"{store.database}.e").tableType == "EXTERNAL"
-    assert [c.name for c in spark.catalog.listColumns(f"{store.database}.e") if c.isPartition] == ["p"]
-    assert spark.read.parquet(path).count() == store.table("e").count() == 4
-    store.write(spark.createDataFrame([(1, 1)], "k int, p int"), "m")
+@pytest.mark.parametrize("partitions", [["p"], []])
+def test_an_external_table_is_pointed_to_its_new_version(spark, store, tmp_path, partitions):
+    """Written once; a reader that has begun finds the files it has listed, or the new ones, whole."""
+    path, name = str(tmp_path / "ext"), f"{store.database}.e"
+    spark.createDataFrame([(n, n % 2) for n in range(10)], "k int, p int").write.partitionBy(*partitions).option("path", path).saveAsTable(name)
+    spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('owner_team' = 'it''s us')")
+    for most in (4, 2, 3):
+        begun, before = spark.table(name), spark.table(name).count()
+        here = store._location("e")
+        store.replace(spark.range(most).selectExpr("CAST(id % 2 AS INT) AS p", "id AS k"), "e")
+        assert begun.count() in (before, most)
+        assert store._location("e") != here and store.table("e").count() == most
+    assert len(list((tmp_path / "ext.versions").iterdir())) == 2
+    assert not (tmp_path / "ext").exists()
+    assert spark.catalog.getTable(name).tableType == "EXTERNAL"
+    assert [c.name for c in spark.catalog.listColumns(name) if c.isPartition] == partitions
+    assert spark.table(name).schema.simpleString() == "struct<k:int,p:int>"
+    assert store._properties("e")["owner_team"] == "it's us"
+
+
+@pytest.mark.parametrize("partitions", [["p"], []])
+def test_a_replaced_managed_table_keeps_its_kind(spark, store, partitions):
+    store.spark.createDataFrame([(1, 1), (5, 3)], "k int, p int").write.partitionBy(*partitions).saveAsTable(f"{store.database}.m")
     spark.sql(f"ALTER TABLE {store.database}.m SET TBLPROPERTIES ('owner_team' = 'it''s us')")
-    store.replace(spark.createDataFrame([(2, 1)], "k int, p int"), "m")
+    store.replace(spark.createDataFrame([(2, 1), (3, 7)], "k int, p int"), "m")
     assert store._properties("m")["owner_team"] == "it's us"
-    assert rows(store.table("m")) == Counter({(2, 1): 1})
+    assert spark.catalog.getTable(f"{store.database}.m").tableType == "MANAGED"
+    assert [c.name for c in spark.catalog.listColumns(f"{store.database}.m") if c.isPartition] == partitions
+    assert rows(store.table("m")) == Counter({(2, 1): 1, (3, 7): 1})
+    if partitions:
+        assert {r.partition for r in spark.sql(f"SHOW PARTITIONS {store.database}.m").collect()} == {"p=1", "p=7"}
+    store.write(spark.createDataFrame([(9, 7)], "k int, p int"), "m")
+    assert store.table("m").count() == 3
+
+
+@pytest.mark.parametrize("first", [False, True])
+@pytest.mark.parametrize("step", range(1, 7))
+def test_a_publication_lost_at_any_step_is_old_or_new(spark, monkeypatch, tmp_path, step, first):
+    target = str(tmp_path / "out")
+    if not first:
+        publish_parquet(spark.range(5), target)
+        publish_parquet(spark.range(6), target)
+    count = [0]
+    with monkeypatch.context() as patched:
+        for name in ("_rename", "_remove", "_write_record"):
+            def call(self, *args, own=getattr(Publication, name)):
+                count[0] += 1
+                if count[0] == step:
+                    raise Lost(step)
+                return own(self, *args)
+            patched.setattr(Publication, name, call)
+        try:
+            publish_parquet(published(spark, target).union(spark.range(6, 8)) if not first else spark.range(8), target)
+        except Lost:
+            pass
+    if first and step == 1:
+        with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+            published(spark, target)
+    else:
+        assert sorted(r.id for r in published(spark, target).collect()) in ([*range(6)], [*range(8)])
+    publish_parquet(spark.range(3), target)
+    assert sorted(r.id for r in spark.read.parquet(target).collect()) == [0, 1, 2]
+
+
+def test_a_failed_publication_keeps_the_folder(spark, tmp_path):
+    target = str(tmp_path / "out")
+    publish_parquet(spark.range(4), target)
+    begun = spark.read.parquet(target)
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        publish_parquet(spark.createDataFrame([("x",)], "k string").selectExpr("CAST(k AS INT) AS k"), target)
+    assert spark.read.parquet(target).count() == 4
+    publish_parquet(begun.where("id > 1"), target)
+    assert published(spark, target).count() == 2 and begun.where("id > 1").count() == 2
+
+
+def test_a_published_table_may_change_its_columns(spark, store, tmp_path):
+    name, path = f"{store.database}.p", str(tmp_path / "p")
+    for df in (spark.range(3), spark.range(5), spark.range(2).selectExpr("id", "'x' AS v")):
+        publish_table(df, name, path)
+        assert rows(spark.table(name)) == rows(df) == rows(spark.read.parquet(path))
+    assert spark.catalog.getTable(name).tableType == "EXTERNAL"
