@@ -3,7 +3,8 @@
 A published folder is replaced by renaming: the new files are written to a folder beside it, and when
 they are whole a record says so. Then the old folder is set aside and the new one takes its name. What a
 lost job left is finished, or dropped, by the next publication or by `published`. A rename must be one
-step for readers to see nothing half done, as on HDFS; an object store copies file by file.
+step for readers to see nothing half done, as on HDFS; an object store copies file by file. A reader that
+listed the old files has to list the folder again.
 """
 
 from tallyline.operators.select import conform
@@ -61,13 +62,11 @@ class Publication:
                 self._remove(self.old)
                 self._rename(self.destination, self.old)
             self._rename(self.staged, self.destination)
+        self._remove(self.old)
         self._remove(self.record)
 
     def replace(self, df):
-        """Write `df`, which may be read from the folder itself, and put it in the folder's place.
-
-        The files before are kept beside it until the next replacement, for readers that have begun.
-        """
+        """Write `df`, which may be read from the folder itself, and put it in the folder's place."""
         self.settle()
         df.write.mode("overwrite").parquet(self.staged)
         self._write_record()
