@@ -1,8 +1,10 @@
 import json
+import random
 
 import pytest
 
 from tallyline.operators.xmlblob import blob_to_json
+from tallyline.sources import xmldump
 from tallyline.sources.xmldump import dump_rows, write_dump
 
 ENTRY = "&lt;entry kind=&quot;{}&quot;&gt;&lt;item&gt;salt &amp;amp; oil&lt;/item&gt;&lt;item&gt;bread&lt;/item&gt;&lt;/entry&gt;"
@@ -58,14 +60,43 @@ def test_a_big_file_is_read_by_many_tasks(spark, dump, conf):
     assert sorted(int(r.id) for r in rows.collect()) == list(range(2000))
 
 
-def test_tags_inside_cdata(spark, dump):
+@pytest.mark.parametrize("splittable", [True, False])
+def test_tags_inside_cdata(spark, dump, splittable):
     path = dump(row(id=1, name="<![CDATA[a </table> b]]>"), row(id=2, name="<![CDATA[c]]>"))
-    with pytest.raises(Exception, match="splittable=False"):
-        dump_rows(spark, path, ["id", "name"]).collect()
-    found = dump_rows(spark, path, ["id", "name"], splittable=False).collect()
+    found = dump_rows(spark, path, ["id", "name"], splittable=splittable).collect()
     assert sorted(found) == [("1", "a </table> b"), ("2", "c")]
 
 
+@pytest.mark.parametrize("run", [256, 3])
+def test_sections_over_many_splits(spark, dump, conf, monkeypatch, run):
+    """Rows whose sections hold closing tags, openings of the other kind, and more than a split."""
+    monkeypatch.setattr(xmldump, "RUN", run)
+    draw, rows, expected = random.Random(run), [], []
+    for n in range(400):
+        text = "".join(draw.choice(["x" * 30, "</table>", "<!--", "-->", '<table name="t">', "]]", "<![CDATA["]) for _ in range(draw.choice([1, 5, 200])))
+        kind = draw.randrange(4)
+        if kind == 0:
+            rows.append(row(id=n, name=f"<![CDATA[{text}]]>"))
+            expected.append((str(n), text))
+        elif kind == 1:
+            rows.append(row(id=n, name="y"))
+            expected.append((str(n), "y"))
+        elif kind == 2:
+            rows.append(f"<!-- {text.replace('-->', '').replace('--', '')} -->")
+        else:
+            rows.append("<!--" + row(id=n, name="z") * 3 + "-->")
+    conf(spark__sql__files__maxPartitionBytes="10k", spark__sql__files__openCostInBytes="1k")
+    found = dump_rows(spark, dump(*rows), ["id", "name"])
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+
+
+def test_files_of_one_folder_are_apart(spark, tmp_path):
+    """A section that one file leaves open says nothing about the next."""
+    for n in range(3):
+        (tmp_path / f"d{n}.xml").write_text(HEAD + row(id=n, name="<![CDATA[</table>]]>") + "</database>\n<!-- end </table>")
+    assert sorted(r.id for r in dump_rows(spark, str(tmp_path), ["id"]).collect()) == ["0", "1", "2"]
+
+
 def test_complete_cdata_is_fine(spark, dump):
     path = dump(row(id=1, name="<![CDATA[a < b]]>"), row(id=2, name="c"))
     assert sorted(dump_rows(spark, path, ["id", "name"]).collect()) == [("1", "a < b"), ("2", "c")]
@@ -93,11 +124,10 @@ def test_round_trip(spark, tmp_path):
 COMMENTED = '  <!-- <table name="t"><column name="id">99</column></table> -->\n'
 
 
-def test_commented_rows_are_no_rows(spark, dump):
+@pytest.mark.parametrize("splittable", [True, False])
+def test_commented_rows_are_no_rows(spark, dump, splittable):
     path = dump(row(id=1), COMMENTED, row(id=2))
-    assert sorted(dump_rows(spark, path, ["id"], splittable=False).collect()) == [("1",), ("2",)]
-    with pytest.raises(Exception, match="splittable=False"):
-        dump_rows(spark, path, ["id"]).collect()
+    assert sorted(dump_rows(spark, path, ["id"], splittable=splittable).collect()) == [("1",), ("2",)]
 
 
 @pytest.mark.parametrize("splittable", [True, False])
