@@ -202,9 +202,12 @@ def supplier_accounts(spark, sf_dir):
 
 
 def part_notes(spark, sf_dir):
-    """Parts with a nested XML text column."""
+    """Parts with a nested XML text column, some of whose texts read like numbers."""
+    size = F.col("p_size").cast("string")
     note = F.struct(
-        F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("type")
+        F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_type").alias("type"),
+        F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("code"), F.concat(size, F.lit(".10")).alias("rate"),
+        F.concat(size, F.lit("e5")).alias("limit"),
     )
     return read(spark, sf_dir, "part").select(
         "p_partkey", "p_size", "p_retailprice", F.to_xml(note, {"rowTag": "part"}).alias("blob_column")

@@ -286,7 +286,8 @@ UNION ALL SELECT c_custkey, c_acctbal FROM customer""",
     "xml_dump_rows": """SELECT CAST(p_partkey AS VARCHAR) AS p_partkey,
   CAST(p_size AS VARCHAR) AS p_size, CAST(p_retailprice AS VARCHAR) AS p_retailprice FROM part""",
     "xml_blob_json": """SELECT CAST(p_partkey AS VARCHAR) AS p_partkey,
-  '{"part":{"brand":"' || p_brand || '","name":"' || p_name || '","type":"' || p_type || '"}}' AS json
+  '{"part":{"brand":"' || p_brand || '","code":"' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') || '","limit":"' || p_size
+  || 'e5","name":"' || p_name || '","rate":"' || p_size || '.10","type":"' || p_type || '"}}' AS json
 FROM part""",
 }
 

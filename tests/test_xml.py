@@ -150,8 +150,8 @@ def test_everything_in_a_blob_is_kept(spark):
     ]
     rows = spark.createDataFrame(blobs, "id int, x string")
     found = [r.json for r in blob_to_json(rows, "x").orderBy("id").collect()]
-    assert json.loads(found[0]) == {"note": {"_lang": "en", "to": "a", "cc": ["x", "y"], "empty": None}}
-    assert json.loads(found[1]) == {"memo": {"n": 12}}
+    assert json.loads(found[0]) == {"note": {"_lang": "en", "to": "a", "cc": ["x", "y"], "empty": ""}}
+    assert json.loads(found[1]) == {"memo": {"n": "12"}}
     assert found[2] is None
 
 
@@ -163,10 +163,27 @@ def test_a_foreign_root_is_not_taken_for_another(spark):
     assert [r.json for r in found] == [None, '{"note":{"to":"b"}}']
 
 
-def test_a_string_schema_keeps_what_numbers_lose(spark):
-    rows = spark.createDataFrame([("<r><a>00123</a><b>1.10</b><c>1e5</c></r>",)], "blob string")
-    whole, kept = (blob_to_json(rows, "blob", schema).first().json for schema in (None, "a string, b string, c string"))
-    assert json.loads(whole) == {"r": {"a": 123, "b": 1.1, "c": 100000}}
-    assert json.loads(kept) == {"r": {"a": "00123", "b": "1.10", "c": "1e5"}}
-    for lost in ("leading and trailing zeros", "exponents", "type string"):
-        assert lost in blob_to_json.__doc__
+def test_values_stay_as_they_are_written(spark):
+    blobs = [
+        "<r><a>00123</a><b>1.10</b><c>1e5</c></r>", "<r><a>true</a><b>007</b><b>+1</b><d><e k='0.50'>2024-01-05</e></d></r>",
+        '<s><d><e>NaN</e></d><a/></s>', None,
+    ]
+    rows = spark.createDataFrame([(n, b) for n, b in enumerate(blobs)], "id int, blob string").repartition(3)
+    found = [r.json and json.loads(r.json) for r in blob_to_json(rows, "blob").orderBy("id").collect()]
+    assert found == [
+        {"r": {"a": "00123", "b": ["1.10"], "c": "1e5"}},
+        {"r": {"a": "true", "b": ["007", "+1"], "d": {"e": {"_k": "0.50", "_VALUE": "2024-01-05"}}}},
+        {"s": {"a": "", "d": {"e": {"_VALUE": "NaN"}}}}, None,
+    ]
+    typed = blob_to_json(rows.where("id = 0"), "blob", "a int, b double").first().json
+    assert json.loads(typed) == {"r": {"a": 123, "b": 1.1}}
+
+
+def test_broken_texts_add_nothing_to_the_schema(spark):
+    rows = spark.createDataFrame([(1, "<r><a>1</a></r>"), (2, "<r><b>"), (3, "no xml")], "id int, x string")
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        blob_to_json(rows, "x").collect()
+    assert [r.json for r in blob_to_json(rows, "x", strict=False).orderBy("id").collect()] == ['{"r":{"a":"1"}}', None, None]
+    assert blob_to_json(rows.limit(0), "x").collect() == []
+    empty = blob_to_json(spark.createDataFrame([("<r/>",), (None,)], "x string"), "x", strict=False).collect()
+    assert sorted((r.json for r in empty), key=str) == [None, '{"r":{}}']
