@@ -1,8 +1,13 @@
 """Whole jobs: read from a store, apply an operator, write to a store.
 
-A store is a CatalogStore or a JdbcStore. Rows go from the source to the target in one write.
+A store is a CatalogStore or a JdbcStore. Rows go from the source to the target in one write. Jobs that
+append take a `token`: a CatalogStore appends the rows of one token once, so a lost job is repeated with
+the same token. Ids go on from the highest one of the target.
 """
 
+import hashlib
+from collections import Counter
+
 from pyspark.sql import Observation, functions as F
 
 from tallyline import codes
@@ -18,34 +23,47 @@ def _read_once(store, name):
     return written(store.table(name), name) if store.remote else store.table(name)
 
 
-def compact_log(source, target, log="audit_log", output="output_auditlog"):
+def _append(store, rows, name, token):
+    if token is None:
+        store.write(rows, name)
+    else:
+        store.append_once(rows, name, token)
+
+
+def _next_id(store, name, column):
+    return (store.last_id(name, column) or 0) + 1
+
+
+def compact_log(source, target, log="audit_log", output="output_auditlog", token=None):
     """Append the net changes of an audit log."""
-    target.write(changelog.compact_changes(_read_once(source, log)), output)
+    _append(target, changelog.compact_changes(_read_once(source, log)), output, token)
 
 
-def capture_metrics(source, target, tasks, created, user, output="metric_data", **options):
+def capture_metrics(source, target, tasks, created, user, output="metric_data", token=None, **options):
     """Append savepoint and manifest metrics."""
     savepoint = _read_once(source, "etlaudit_savepoint")
     feed = capture.metric_feed(savepoint, source.table("manifest"), tasks, created, user, **options)
-    target.write(feed, output)
+    _append(target, feed, output, token)
 
 
-def load_bulk_metrics(store, pairs, batch, value, created, user, **options):
+def load_bulk_metrics(store, pairs, batch, value, created, user, token=None, **options):
     """Append one numbered metric row per (SourceName, MetricName) pair."""
+    options.setdefault("start", _next_id(store, "metric_data", "metricDataId"))
     rows = capture.bulk_metrics(
         pairs, store.table("source_definition"), store.table("metric_definition"),
         batch, value, created, user, **options,
     )
-    store.write(rows, "metric_data")
+    _append(store, rows, "metric_data", token)
 
 
-def reconcile_maps(source, target, map_ids):
+def reconcile_maps(source, target, map_ids, token=None):
     """Append one reconciliation per map."""
     log = reconcile.recon_by_map(
         source.table("metric_comparision_map"), source.table("comparision_definition"),
         source.table("metric_data"), map_ids,
     )
-    target.write(conform(reconcile.number_log(log), RECONCILIATION_LOG), "reconciliation_log")
+    numbered = reconcile.number_log(log, start=_next_id(target, "reconciliation_log", "ReconLogId"))
+    _append(target, conform(numbered, RECONCILIATION_LOG), "reconciliation_log", token)
 
 
 def reconcile_batches(source, target, map_ids, on_missing="zero"):
@@ -90,20 +108,25 @@ def single_metric(sources, metrics, source_name, metric_name, value, batch, crea
     return capture.named_metrics(pair, sources, metrics, batch, value, created, user, version)
 
 
-def lookup_copy(source, target, lookup, splits=None):
+def lookup_copy(source, target, lookup, splits=None, run=None):
     """Run every lookup row's query and append its result to its target table.
 
     The driver goes over the lookup rows, which are job definitions; the data stays in Spark. `splits`
-    names, for source tables whose queries many tasks shall read, a column and a number of ranges.
-    Returns (target_table, rows) per lookup row.
+    names, for source tables whose queries many tasks shall read, a column and a number of ranges. With
+    a `run`, a name, every copy of it is appended once, by a token of the run and the lookup row, and a
+    lost run is repeated under its name. Returns (target_table, rows) per lookup row.
     """
-    done = []
+    done, before = [], Counter()
     for job in conform(lookup, LOOKUP).toLocalIterator():
-        seen = Observation()
         rows = source.query(job.sql_query, (splits or {}).get(job.source_table))
-        counted = rows.observe(seen, F.count(F.lit(1)).alias("rows"))
-        target.write(counted, job.target_table)
-        done.append((job.target_table, seen.get["rows"]))
+        if run is None:
+            seen = Observation()
+            target.write(rows.observe(seen, F.count(F.lit(1)).alias("rows")), job.target_table)
+            done.append((job.target_table, seen.get["rows"]))
+            continue
+        before[job] += 1  # equal lookup rows are copies of their own
+        copy = hashlib.sha256(repr((*job, before[job])).encode()).hexdigest()[:16]
+        done.append((job.target_table, target.append_once(rows, job.target_table, f"{run}-{copy}")))
     return lookup.sparkSession.createDataFrame(done, "target_table string, rows bigint")
 
 
@@ -119,10 +142,10 @@ def load_task_metadata(spark, path, schema=None, as_of=None, **options):
     return tasks, metadata.savepoint_placeholders(tasks, as_of=as_of, **options)
 
 
-def store_metadata(store, rows, placeholders, rows_table, placeholders_table):
+def store_metadata(store, rows, placeholders, rows_table, placeholders_table, token=None):
     """Append metadata and placeholders to existing catalog tables, by position."""
-    store.insert_by_position(rows, rows_table)
-    store.insert_by_position(placeholders, placeholders_table)
+    for kind, df, name in (("rows", rows, rows_table), ("placeholders", placeholders, placeholders_table)):
+        store.insert_by_position(df, name, token and f"{token}-{kind}")
 
 
 def publish_query(store, sql, destination, single_file=False):
@@ -130,7 +153,7 @@ def publish_query(store, sql, destination, single_file=False):
     publish_parquet(store.query(sql), destination, single_file)
 
 
-def seed_definition(store, rows, columns, name="source_definition"):
+def seed_definition(store, rows, columns, name="source_definition", token=None):
     """Append definition rows and read back some columns of the table."""
-    store.write(rows, name)
+    _append(store, rows, name, token)
     return select_where(store.table(name), columns)

@@ -4,10 +4,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tallyline.sources.files import remove
+from tallyline.sources.files import Addition, remove
 
 TRACKED = "spark.sql.hive.manageFilesourcePartitions"
 PREVIOUS = "tallyline.previous"  # the folder of the version before, kept for readers that have begun
+APPENDED = "tallyline.appended"  # with a token: the number of rows that it has added
 VERSIONS = ".versions"
 
 
@@ -60,9 +61,38 @@ class CatalogStore:
         partitions = self._partitions(name) if self._has(name) else []
         df.write.mode(mode).format("parquet").partitionBy(*partitions).saveAsTable(self._full(name))
 
-    def insert_by_position(self, df, name):
+    def append_once(self, df, name, token):
+        """Append `df` by column name, unless this token has been appended already; the number of its rows.
+
+        The table keeps the token. A job lost at any step may be repeated: what it had staged whole is
+        added, and nothing twice.
+        """
+        self._settle(name)
+        if not self._has(name):
+            self.write(df.limit(0), name)
+        key, partitions = f"{APPENDED}.{token}", self._partitions(name)
+        known = self._properties(name).get(key)
+        addition = Addition(self.spark, self._location(name), token)
+        if known is None:
+            columns = self.spark.table(self._full(name)).schema
+            rows = df.select(*[F.col(f"`{c.name}`").cast(c.dataType).alias(c.name) for c in columns])
+            known = addition.add(rows, partitions)
+            self._resync(name)
+            self._set_properties(name, {key: str(known)})
+            self.spark.catalog.refreshTable(self._full(name))
+        addition.forget()
+        return int(known)
+
+    def insert_by_position(self, df, name, token=None):
         self._settle(name)
-        df.write.insertInto(self._full(name))
+        if token is None:
+            df.write.insertInto(self._full(name))
+        else:
+            self.append_once(df.toDF(*self.spark.table(self._full(name)).columns), name, token)
+
+    def last_id(self, name, column):
+        """The highest id of a table; null where there is none."""
+        return self.table(name).agg(F.max(column)).first()[0] if self.exists(name) else None
 
     def drop(self, name):
         self.spark.sql(f"DROP TABLE IF EXISTS {self._full(name)}")

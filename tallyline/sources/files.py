@@ -7,6 +7,10 @@ step for readers to see nothing half done, as on HDFS; an object store copies fi
 listed the old files has to list the folder again.
 """
 
+import hashlib
+
+from pyspark.sql import Observation, functions as F
+
 from tallyline.operators.select import conform
 
 
@@ -73,6 +77,64 @@ class Publication:
         self.settle()
 
 
+class Addition:
+    """Parquet files that are added to a folder once, by a token, however often the job is repeated.
+
+    They are written to a folder beside it; when they are whole a record holds their number of rows.
+    Then they are moved one by one, under names that carry the token.
+    """
+
+    def __init__(self, spark, folder, token):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.mark = hashlib.sha256(token.encode()).hexdigest()[:32]
+        parent, _, name = self.folder.rpartition("/")
+        self.staged, self.record = f"{parent}/_{name}.{self.mark}", f"{parent}/_{name}.{self.mark}.ready"
+
+    def add(self, df, partitions=()):
+        """Add the rows of `df`, or what a lost job has staged of them; the number of rows."""
+        record, fs = _hadoop(self.spark, self.record)
+        if not fs.exists(record):
+            seen = Observation()
+            rows = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+            rows.write.mode("overwrite").partitionBy(*partitions).parquet(self.staged)
+            self._write_record(seen.get["rows"])
+        said = fs.open(record)
+        count = int(said.readLine())
+        said.close()
+        self._move()
+        return count
+
+    def _write_record(self, count):
+        found, fs = _hadoop(self.spark, f"{self.record}.begun")
+        out = fs.create(found, True)
+        out.writeBytes(f"{count}\n")
+        out.close()
+        self._rename(fs, found, _hadoop(self.spark, self.record)[0])
+
+    def _move(self):
+        staged, fs = _hadoop(self.spark, self.staged)
+        if not fs.exists(staged):
+            return
+        base, files = fs.getFileStatus(staged).getPath().toString(), fs.listFiles(staged, True)
+        while files.hasNext():
+            file = files.next().getPath()
+            inside, _, name = file.toString()[len(base) + 1:].rpartition("/")
+            if name.startswith(("_", ".")):
+                continue
+            target, _ = _hadoop(self.spark, f"{self.folder}/{inside}".rstrip("/"))
+            fs.mkdirs(target)
+            self._rename(fs, file, _hadoop(self.spark, f"{target.toString()}/{self.mark}-{name}")[0])
+
+    def _rename(self, fs, file, target):
+        if not fs.rename(file, target):
+            raise OSError(f"{file.toString()} could not be moved to {target.toString()}")
+
+    def forget(self):
+        """Remove what is left beside the folder."""
+        remove(self.spark, self.staged)
+        remove(self.spark, self.record)
+
+
 def publish_parquet(df, destination, single_file=False):
     """Replace a parquet folder, wherever its URI lies; one file only when asked for."""
     if single_file:

@@ -53,6 +53,10 @@ class JdbcStore:
         """The result of a query the database runs; `split` is (column, number of ranges)."""
         return self._read(f"({sql}) t", split)
 
+    def last_id(self, name, column):
+        """The highest id of a table that is there; null where it is empty."""
+        return self._reader(dbtable=f"(SELECT MAX({column}) AS last FROM {name}) t").load().first()[0]
+
     def write(self, df, name, mode="append"):
         """Append, or overwrite keeping the table's definition."""
         writers = {} if self.writers is None else {"numPartitions": str(self.writers)}

@@ -6,7 +6,7 @@ from tallyline import schemas
 from tallyline.plans import jobs
 from tallyline.session import shared_folder
 from tallyline.sources.catalog import CatalogStore
-from tallyline.sources.files import Publication, publish_parquet, publish_table, published, read_csv
+from tallyline.sources.files import Addition, Publication, publish_parquet, publish_table, published, read_csv
 
 
 def rows(df):
@@ -298,3 +298,83 @@ def test_a_published_table_may_change_its_columns(spark, store, tmp_path):
         publish_table(df, name, path)
         assert rows(spark.table(name)) == rows(df) == rows(spark.read.parquet(path))
     assert spark.catalog.getTable(name).tableType == "EXTERNAL"
+
+
+def lost_at(monkeypatch, patched, step):
+    """Make the n-th step of an append fail once, before or after it is done."""
+    count = [0]
+
+    def wrap(owner, name):
+        own = getattr(owner, name)
+
+        def call(*args, **more):
+            count[0] += 1
+            if count[0] == step:
+                raise Lost(name)
+            out = own(*args, **more)
+            count[0] += 1
+            if count[0] == step:
+                raise Lost(name)
+            return out
+
+        patched.setattr(owner, name, call)
+
+    for owner, name in ((Addition, "_write_record"), (Addition, "_rename"), (Addition, "forget"), (CatalogStore, "_resync"), (CatalogStore, "_set_properties")):
+        wrap(owner, name)
+
+
+@pytest.mark.parametrize("step", [1, 2, 4, 6, 9, 11, 17, 23])
+def test_a_lost_lookup_copy_is_repeated_without_doubles(spark, store, monkeypatch, step):
+    store.write(spark.range(6), "s")
+    db = store.database
+    lookup = spark.createDataFrame(
+        [("s", f"SELECT id FROM {db}.s", "t"), ("s", f"SELECT id FROM {db}.s", "t"), ("s", f"SELECT id + 100 AS id FROM {db}.s WHERE id > 1", "u")],
+        schemas.LOOKUP)
+    with monkeypatch.context() as patched:
+        lost_at(monkeypatch, patched, step)
+        try:
+            jobs.lookup_copy(store, store, lookup, run="monday")
+        except Lost:
+            pass
+    for _ in range(2):
+        assert rows(jobs.lookup_copy(store, store, lookup, run="monday")) == Counter({("t", 6): 2, ("u", 4): 1})
+    assert sorted(r.id for r in store.table("t").collect()) == sorted([*range(6)] * 2)
+    assert sorted(r.id for r in store.table("u").collect()) == [102, 103, 104, 105]
+    jobs.lookup_copy(store, store, lookup, run="tuesday")
+    assert store.table("t").count() == 24
+
+
+@pytest.mark.parametrize("external", [False, True])
+def test_an_append_to_a_partitioned_table_is_made_once(spark, store, tmp_path, external):
+    writer = spark.createDataFrame([(1, "a")], "k int, p string").write.partitionBy("p")
+    (writer.option("path", str(tmp_path / "t")) if external else writer).saveAsTable(f"{store.database}.t")
+    for _ in range(2):
+        assert store.append_once(spark.createDataFrame([("b", 2), ("a", 3), (None, 4)], "p string, k long"), "t", "one") == 3
+        assert rows(store.table("t")) == Counter({(1, "a"): 1, (2, "b"): 1, (3, "a"): 1, (4, None): 1})
+    store.replace(store.table("t").where("k < 3"), "t")
+    assert store.append_once(store.table("t"), "t", "one") == 3 and store.table("t").count() == 2
+
+
+def test_ids_go_on_and_retried_appends_add_nothing(spark, store):
+    seed(spark, store)
+    for token in ("a", "a", "b", None):
+        jobs.reconcile_maps(store, store, "1,2", token=token)
+    log = [r.ReconLogId for r in store.table("reconciliation_log").collect()]
+    assert sorted(log) == [*range(1, len(log) + 1)] and len(log) == 3
+    store.drop("metric_data")
+    pairs = spark.createDataFrame([("General", "Policy")] * 2, "SourceName string, MetricName string")
+    for token in ("a", "a", "b"):
+        jobs.load_bulk_metrics(store, pairs, "20240228", 35, "20240228", "someone", token=token)
+    assert sorted(r.metricDataId for r in store.table("metric_data").collect()) == [1, 2, 3, 4]
+    store.write(spark.createDataFrame([], "id string, n string"), "jobmetadata")
+    store.write(spark.createDataFrame([], "b string"), "jbatch")
+    for _ in range(2):
+        jobs.store_metadata(store, spark.createDataFrame([("j", 1)], "x string, y int"), spark.createDataFrame([("p",)], "z string"), "jobmetadata", "jbatch", token="load")
+    assert rows(store.table("jobmetadata")) == Counter({("j", "1"): 1}) and rows(store.table("jbatch")) == Counter({("p",): 1})
+    log = spark.createDataFrame([(1, None, "I", 5, "a")], "id_new int, id_old int, op_code string, op_time int, note string")
+    store.write(log, "audit_log")
+    for _ in range(2):
+        jobs.compact_log(store, store, token="day")
+        jobs.seed_definition(store, spark.createDataFrame([(9, "M", "d")], schemas.METRIC_DEFINITION), "MetricId", "metric_definition", token="day")
+    assert store.table("output_auditlog").count() == 1
+    assert store.table("metric_definition").where("MetricId = 9").count() == 1
