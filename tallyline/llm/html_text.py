@@ -6,7 +6,8 @@ blocks, and successive blocks of one parent, are joined by edges whose capacity
 the DOM they share. The maximum flow's cut separates content from boilerplate at the least total cost.
 Elements that say what they are (article, nav, footer, class names such as ad or cookie) add to the
 costs. Class names and ids weigh less than elements, so that a block's costs and its neighbours may
-outvote them, and ids that may be anchors weigh least. What a wrapper's class, id or form says ends at
+outvote them, and ids that may be anchors weigh least. Names of comments, and articles below a
+heading of comments in one element, are boilerplate wherever they stand. What a wrapper's class, id or form says ends at
 a main in it, and at an article unless the page has one that no such wrapper holds.
 
 The regression learns from pages whose elements say what they are, on at most `max_pages` pages
@@ -19,6 +20,7 @@ element around it, or at the next block in it. Formulas are text.
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -51,7 +53,8 @@ BREAKOUT = {
     "td", "th", "tr", "ul",
 }
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-BOILERPLATE = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset", "address"}
+BOILERPLATE = {"nav", "footer", "aside", "form", "menu"}
+BOILERPLATE_OUTSIDE = {"header", "dialog", "fieldset", "address"}  # inside content they are a part of it
 CONTENT = {"article", "main"}
 CONTENT_NAMES = {"article", "content", "entry", "main", "post", "story"}
 BOILERPLATE_NAMES = {
@@ -60,12 +63,17 @@ BOILERPLATE_NAMES = {
     "pagination", "popup", "promo", "promotion", "related", "search", "share", "sharing", "sidebar", "signup", "social",
     "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+COMMENT_NAMES = {
+    "comment", "comments", "commentlist", "commentarea", "commentbody", "commentsection", "commentthread", "commentwrapper",
+    "disqus", "replies", "reply", "respond", "responses",
+}
 #: Class names with one of these words tell what an element is not, or what is in it.
 MODIFIERS = {"has", "have", "hide", "no", "non", "not", "overflow", "with", "without"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 WRAPPERS = {"form", "fieldset"}  # may hold a whole page
 BOILERPLATE_ROLES = {"alert", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "navigation", "search"}
 
+COMMENTS = re.compile(r"(?:\d+ |all |reader |readers' |user )?(?:comments?|replies|responses)(?: ?\(?\d+\)?)?|leave a (?:comment|reply)", re.I)
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S
@@ -77,10 +85,14 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 def _says(tag, attributes, inside_content):
-    """What an element says of itself, from 1 for content to -1 for boilerplate, and whether a wrapper may say it."""
-    if tag in BOILERPLATE or tag == "header" and not inside_content:
+    """What an element says of itself, from 1 for content to -1 for boilerplate, and whether a wrapper may say it.
+
+    A name that stands alone outranks names that are parts of a longer one, and an article or main is what
+    its element says, whatever its own names are, unless they are those of comments.
+    """
+    if tag in BOILERPLATE or tag in BOILERPLATE_OUTSIDE and not inside_content:
         return -1.0, tag in WRAPPERS
-    good, bad, anchored = False, False, False
+    alone, parts, anchored = set(), set(), False
     if attributes and tag not in ("html", "body"):
         for name, a, b, c in ATTRIBUTE.findall(attributes):
             name = name.lower()
@@ -93,30 +105,54 @@ def _says(tag, attributes, inside_content):
                 if value.lower() in BOILERPLATE_ROLES:
                     return -1.0, value.lower() in WRAPPERS
                 continue
-            if name == "id" and (tag in HEADINGS or tag == "section" and inside_content):  # an anchor made of a heading's words
-                continue
             for one in value.split():
                 words = set(SPLIT.split(CAMEL.sub(" ", one).lower()))
-                if words & MODIFIERS:
+                if words & MODIFIERS or name == "id" and tag in HEADINGS:
                     continue
-                if words & BOILERPLATE_NAMES:
-                    bad, anchored = bad or name == "class", anchored or name == "id"
-                elif words & CONTENT_NAMES:
-                    good = True
-    if tag == "main" or tag in CONTENT and (good or not bad and not anchored):
+                if words & COMMENT_NAMES and tag != "main":
+                    return -1.0, False
+                if name == "id" and tag == "section" and inside_content:  # an anchor made of a heading's words
+                    continue
+                bad, good = bool(words & BOILERPLATE_NAMES), bool(words & CONTENT_NAMES)
+                if name == "id" and bad:
+                    anchored = True
+                else:
+                    (alone if len(words) == 1 else parts).update([-1] * bad + [1] * good)
+    if tag in CONTENT:
         return 1.0, False
-    if good:  # names of both kinds are no statement
-        return (0.0 if bad or anchored else NAMED), False
-    if bad or anchored:
-        return (-NAMED if bad or not inside_content else -ANCHOR), True
+    named = alone or parts
+    if 1 in named:  # names of both kinds are no statement
+        return (0.0 if -1 in named or anchored else NAMED), False
+    if -1 in named or anchored:
+        return (-NAMED if -1 in named or not inside_content else -ANCHOR), True
     return 0.0, False
 
 
+class Place:
+    """A block element of the DOM: its parent, and how deep it lies."""
+
+    __slots__ = ("parent", "depth", "comments")
+
+    def __init__(self, parent):
+        self.parent, self.depth = parent, parent.depth + 1 if parent else 0
+        self.comments = None  # the block of a heading of comments in it
+
+
+def shared_depth(a, b):
+    """How many elements two places have in common."""
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+    return a.depth
+
+
 class Block:
-    __slots__ = ("text", "path", "tag", "said", "linked", "wrapped")
+    __slots__ = ("text", "place", "tag", "said", "linked", "wrapped")
 
-    def __init__(self, text, path, tag, said, linked, wrapped):
-        self.text, self.path, self.tag, self.said, self.linked, self.wrapped = text, path, tag, said, linked, wrapped
+    def __init__(self, text, place, tag, said, linked, wrapped):
+        self.text, self.place, self.tag, self.said, self.linked, self.wrapped = text, place, tag, said, linked, wrapped
 
 
 def _tokens(page):
@@ -147,24 +183,27 @@ def _tokens(page):
 
 def _closed(tokens):
     """The place of the end tag of each DROPPED element that has its own, by the place of its start tag."""
-    found, stack = {}, []  # stack: (tag, place)
+    found, stack, opened = {}, [], Counter()  # stack: (tag, place)
     for at, (part, tag, attributes, ends) in enumerate(tokens):
         if part is not None or tag in VOID:
             continue
         if ends:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None) if opened[tag] else None
             if depth is None or tag in INLINE and any(s[0] not in INLINE for s in stack[depth:]):
                 continue
             if tag in DROPPED:
                 found[stack[depth][1]] = at
+            opened.subtract(s[0] for s in stack[depth:])
             del stack[depth:]
             continue
-        if tag in BREAKOUT:
+        if tag in BREAKOUT and any(opened[t] for t in FOREIGN):
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in FOREIGN or stack[i][0] in BACK), None)
             if depth is not None and stack[depth][0] in FOREIGN:
+                opened.subtract(s[0] for s in stack[depth:])
                 del stack[depth:]
-        if not attributes.endswith("/") or tag not in DROPPED and tag not in FOREIGN and not any(s[0] in FOREIGN for s in stack):
+        if not attributes.endswith("/") or tag not in DROPPED and tag not in FOREIGN and not any(opened[t] for t in FOREIGN):
             stack.append((tag, at))
+            opened[tag] += 1
     return found
 
 
@@ -203,19 +242,19 @@ def _shown(page):
 def blocks_of(page):
     """The text blocks of a page in order."""
     out, held, linked = [], [], 0
-    # (tag, number, what the nearest named element says, whether a wrapper says it, what a wrapper says of the article)
-    stack = []
-    numbers, links = 0, 0
+    # (tag, block element around, what the nearest named element says, whether a wrapper says it, what a wrapper says of the article, its tag)
+    stack, opened = [], Counter()
+    root, links = Place(None), 0
 
     def close():
         nonlocal held, linked
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                blocked = [s for s in stack if s[0] not in INLINE]
-                path = tuple(s[1] for s in blocked)
-                said, wrapped = (stack[-1][2], stack[-1][4]) if stack else (0.0, 0.0)
-                out.append(Block(text, path, blocked[-1][0] if blocked else "", said, min(1.0, linked / len(text)), wrapped))
+                place, said, wrapped, tag = (*stack[-1][1:3], *stack[-1][4:]) if stack else (root, 0.0, 0.0, "")
+                out.append(Block(text, place, tag, said, min(1.0, linked / len(text)), wrapped))
+                if tag in HEADINGS and COMMENTS.fullmatch(text):
+                    place.parent.comments = out[-1]
         held, linked = [], 0
 
     def add(part):
@@ -234,9 +273,10 @@ def blocks_of(page):
         if tag not in INLINE:
             close()
         if ends:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None) if opened[tag] else None
             if depth is not None and not (tag in INLINE and any(s[0] not in INLINE for s in stack[depth:])):
                 links -= sum(s[0] == "a" for s in stack[depth:])
+                opened.subtract(s[0] for s in stack[depth:])
                 del stack[depth:]
             continue
         if tag in VOID:
@@ -244,17 +284,22 @@ def blocks_of(page):
         if tag not in INLINE:  # a new block ends open paragraphs, items and inline elements
             ended = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
             while stack and (stack[-1][0] in INLINE or stack[-1][0] == "p" or stack[-1][0] in ended.get(tag, ())):
+                opened[stack[-1][0]] -= 1
                 links -= stack.pop()[0] == "a"
-        above, by_wrapper, wrapped = stack[-1][2:] if stack else (0.0, False, 0.0)
+        place, above, by_wrapper, wrapped, around = stack[-1][1:] if stack else (root, 0.0, False, 0.0, "")
         said, wrapper = _says(tag, attributes, above > 0) if tag not in INLINE else (0.0, False)
+        if tag == "article" and place.comments:
+            said = place.comments.said = -1.0
         if said == 0 or above < 0 and not (by_wrapper and said == 1.0) and not (by_wrapper and said <= above):
             said, wrapper = above, by_wrapper
         elif above < 0 and said > 0:
             wrapped = 0.0 if tag == "main" else above
         elif said < 0:
             wrapped = 0.0
-        numbers += 1
-        stack.append((tag, numbers, said, wrapper, wrapped))
+        if tag not in INLINE:
+            place, around = Place(place), tag
+        stack.append((tag, place, said, wrapper, wrapped, around))
+        opened[tag] += 1
         links += tag == "a"
     close()
     if any(b.said == 1.0 and not b.wrapped for b in out):
@@ -292,51 +337,70 @@ def fit_costs(rows, labels, counts, rounds=200, rate=0.5, decay=1e-3):
 def minimum_cut(costs, edges):
     """Which nodes stay with the source: costs > 0 are capacities from it, < 0 to the sink.
 
-    Flow is pushed along shortest paths from nodes that have some to nodes that take it.
+    Each round pushes flow along all shortest paths from nodes that have some to nodes that take it,
+    by the nodes' distances; no arc that leads nowhere is tried twice in a round.
     """
-    size = len(costs)
-    left = [float(c) for c in costs]
-    spare = [{} for _ in range(size)]
+    size, least = len(costs), 1e-9
+    left, arcs, to, spare = [float(c) for c in costs], [[] for _ in range(size)], [], []
     for a, b, capacity in edges:
-        spare[a][b] = spare[a].get(b, 0.0) + capacity
-        spare[b][a] = spare[b].get(a, 0.0) + capacity
+        for x, y in ((a, b), (b, a)):  # an arc and its reverse are neighbours: e and e ^ 1
+            arcs[x].append(len(to))
+            to.append(y)
+            spare.append(capacity)
     while True:
-        came = {i: i for i in range(size) if left[i] > 1e-9}
-        front, end = list(came), None
-        while front and end is None:
+        front = [i for i in range(size) if left[i] > least]
+        begun, distance, met = front, [-1] * size, False
+        for i in front:
+            distance[i] = 0
+        while front and not met:
             following = []
             for a in front:
-                for b, capacity in spare[a].items():
-                    if capacity > 1e-9 and b not in came:
-                        came[b] = a
-                        if left[b] < -1e-9:
-                            end = b
-                            break
+                for e in arcs[a]:
+                    b = to[e]
+                    if distance[b] < 0 and spare[e] > least:
+                        distance[b] = distance[a] + 1
+                        met = met or left[b] < -least
                         following.append(b)
-                if end is not None:
-                    break
             front = following
-        if end is None:
-            return [i in came for i in range(size)]
-        path = [end]
-        while came[path[-1]] != path[-1]:
-            path.append(came[path[-1]])
-        flow = min(left[path[-1]], -left[end], *(spare[a][b] for b, a in zip(path, path[1:])))
-        left[path[-1]] -= flow
-        left[end] += flow
-        for b, a in zip(path, path[1:]):
-            spare[a][b] -= flow
-            spare[b][a] = spare[b].get(a, 0.0) + flow
+        if not met:
+            return [d >= 0 for d in distance]
+        tried = [0] * size
+        for start in begun:
+            node, path = start, []
+            while left[start] > least:
+                if left[node] < -least:
+                    flow = min([left[start], -left[node], *(spare[e] for e in path)])
+                    left[start] -= flow
+                    left[node] += flow
+                    for e in path:
+                        spare[e] -= flow
+                        spare[e ^ 1] += flow
+                    node, path = start, []
+                    continue
+                way = next((
+                    k for k in range(tried[node], len(arcs[node]))
+                    if spare[arcs[node][k]] > least and distance[to[arcs[node][k]]] == distance[node] + 1
+                ), None)
+                if way is not None:
+                    tried[node] = way
+                    path.append(arcs[node][way])
+                    node = to[path[-1]]
+                elif path:
+                    tried[node] = len(arcs[node])
+                    node = to[path.pop() ^ 1]
+                    tried[node] += 1
+                else:
+                    break
 
 
 def _edges(blocks):
     last = {}
     for i, block in enumerate(blocks):
         if i:
-            before = blocks[i - 1].path
-            shared = sum(1 for a, b in zip(before, block.path) if a == b)
-            yield i - 1, i, NEAR * shared / max(len(before), len(block.path), 1)
-        parent = block.path[:-1]
+            before = blocks[i - 1].place
+            deepest = max(before.depth, block.place.depth, 1)
+            yield i - 1, i, NEAR * shared_depth(before, block.place) / deepest
+        parent = id(block.place.parent)
         if parent in last:
             yield last[parent], i, SAME_PARENT
         last[parent] = i

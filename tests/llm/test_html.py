@@ -2,6 +2,8 @@
 
 import itertools
 import random
+import time
+import tracemalloc
 
 import numpy as np
 
@@ -107,6 +109,49 @@ def test_minimum_cut_is_the_cheapest_labelling():
         assert abs(price(html_text.minimum_cut(costs, edges)) - best) < 1e-6
 
 
+def test_reader_comments_go():
+    said = "<p>I liked this text, said a reader, very much indeed.</p>"
+    for comments in (
+        f'<section id="comments">{said}</section>', f'<section><h2>Comments</h2><article class="reply">{said}</article></section>',
+        f'<ol class="commentlist"><li>{said}</li></ol>', f'<div class="responses">{said}{said}</div>', f'<section><article class="reply">{said}</article></section>',
+        f"<section><h3>2 Comments</h3><article>{said}</article><article>{said}</article></section>", f'<div id="disqus_thread">{said}</div>',
+        f'<div class="comments-area"><article>{said}</article></div>', f'<section id="replies"><article>{said}</article></section>',
+    ):
+        for page in (ARTICLE.replace("</article>", comments + "</article>"), f"<body>{ARTICLE}{comments}</body>", f"<main>{ARTICLE}{comments}</main>"):
+            assert text(page) == TEXT, comments
+    part = "<section><h2>Comments on method</h2><p>What others said of it, in their own words.</p></section></article>"
+    assert text(ARTICLE.replace("</article>", part)).startswith(TEXT + "\nComments on method\n")
+
+
+def test_compound_names_do_not_empty_an_article():
+    body = "<p>A paragraph of many words, which tells a story, and goes on.</p><p>Another paragraph of many words, with stops, as it were.</p>"
+    for open_, close in (
+        ('<article class="post-search">', "</article>"), ('<article class="news-banner-free">', "</article>"), ('<div class="promo-story">', "</div>"),
+        ('<article class="sponsored">', "</article>"), ('<div class="content ad-container">', "</div>"), ('<main id="login">', "</main>"),
+    ):
+        page = f"<body><nav>Menu</nav>{open_}{body}{close}<div class='ad-slot'>Buy this now, please.</div><footer>End</footer></body>"
+        assert text(page).count("\n") == 1, open_
+
+
+def test_parts_of_an_article_stay():
+    for tag in ("address", "fieldset", "dialog", "figure", "details", "blockquote", "table"):
+        part = f"<{tag}>Somebody at work, in some street, of a town.</{tag}>"
+        assert text(ARTICLE.replace("<p>Second", part + "<p>Second")) == TEXT.replace("\nSecond", "\nSomebody at work, in some street, of a town.\nSecond")
+    assert text(f"<body>{ARTICLE}<address>Somebody, some street.</address><dialog>Log in, please.</dialog></body>") == TEXT
+
+
+def test_large_pages_take_linear_time_and_memory():
+    many = "".join(f"<p>A paragraph of many words, which tells story {n}, and goes on.</p><li><a href=x>Link {n}</a></li>" for n in range(10_000))
+    deep = "".join(f"<div>two words {n % 10}" for n in range(40_000))
+    for page in (f"<body><div>{many}</div></body>", f"<body>{deep}</body>"):
+        tracemalloc.start()
+        start = time.process_time()
+        text(page)
+        took, (_, most) = time.process_time() - start, tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert took < 30 and most < 250_000_000
+
+
 def test_columns(spark):
     page = f"<html><body><nav>Menu</nav>{ARTICLE}</body></html>"
     long = "<article>" + "".join(f"<p>Paragraph {n}, of a long page.</p>" for n in range(4000)) + "</article>"
