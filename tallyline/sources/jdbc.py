@@ -1,24 +1,49 @@
 """Tables of a database reached over JDBC. Connection options always come from the caller."""
 
+import datetime
+
 CATALOG_CLASS = "org.apache.spark.sql.execution.datasources.v2.jdbc.JDBCTableCatalog"
 
 
-def parallel_scan(column, lower, upper, partitions):
-    """Options that make Spark read a table in ranges of `column`, one per partition."""
-    return {
-        "partitionColumn": column,
-        "lowerBound": str(lower),
-        "upperBound": str(upper),
-        "numPartitions": str(partitions),
-    }
+def cuts_query(relation, column, parts):
+    """A query for the least values of `parts` runs of about as many rows each, in the order of a column."""
+    return (
+        f"(SELECT MIN({column}) AS cut FROM (SELECT {column}, NTILE({parts}) OVER (ORDER BY {column}) AS part "
+        f"FROM {relation} WHERE {column} IS NOT NULL) ranked GROUP BY part) cuts"
+    )
+
+
+def literal(value):
+    """A number, text, date or time in SQL."""
+    if isinstance(value, datetime.datetime):
+        return f"TIMESTAMP '{value}'"
+    if isinstance(value, datetime.date):
+        return f"DATE '{value}'"
+    if isinstance(value, str):
+        return "'" + value.replace("'", "''") + "'"
+    return str(value)
+
+
+def cut_predicates(column, cuts):
+    """Conditions that each row fulfils one of, one for each run between different cuts; nulls go with the first.
+
+    A value that fills several runs is cut out once: its rows are one run.
+    """
+    bounds = [literal(cut) for cut in sorted(set(cuts))][1:]
+    if not bounds:
+        return ["1 = 1"]
+    between = [f"{column} >= {a} AND {column} < {b}" for a, b in zip(bounds, bounds[1:])]
+    return [f"{column} < {bounds[0]} OR {column} IS NULL", *between, f"{column} >= {bounds[-1]}"]
 
 
 class JdbcStore:
     """Reads and writes the tables of one database.
 
     `options` are Spark's JDBC options (url, driver, user, password, fetchsize, batchsize, ..).
-    `ranges` names, for the tables many tasks shall read, a numeric, date or timestamp column and
-    the number of ranges to cut it into. `writers` bounds the connections that write at a time.
+    `ranges` names, for the tables many tasks shall read, a column of numbers, texts, dates or times and
+    the number of ranges to cut it into; the database is asked for its quantiles, so that the ranges hold
+    about as many rows each, however the values are spread. `writers` bounds the connections that write
+    at a time.
     """
 
     remote = True
@@ -43,11 +68,10 @@ class JdbcStore:
         """A table or a query in brackets, in ranges of a column if `split` names one and their number."""
         if split is None:
             return self._reader(dbtable=relation).load()
-        column, partitions = split
-        bounds = f"(SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {relation}) t"
-        lower, upper = self._reader(dbtable=bounds).load().first()
-        ranges = {} if lower is None else parallel_scan(column, lower, upper, partitions)
-        return self._reader(dbtable=relation, **ranges).load()
+        column, parts = split
+        cuts = [row[0] for row in self._reader(dbtable=cuts_query(relation, column, parts)).load().collect()]
+        options = {k: v for k, v in self.options.items() if k != "numPartitions"}
+        return self.spark.read.options(**options).jdbc(options["url"], relation, predicates=cut_predicates(column, cuts))
 
     def query(self, sql, split=None):
         """The result of a query the database runs; `split` is (column, number of ranges)."""
