@@ -9,7 +9,8 @@ is put into every control string, and backslashes are doubled, so the string can
 whatever the texts say.
 
 Null roles and texts count as empty, turns without a number come first, equal numbers are ordered by
-role and text. Rows that no mapping fits have no layout: `canonical_turns` leaves them to
+role and text. Contents in several parts are joined, parts without text left out. Rows that no mapping
+fits, whatever the shape and types of their fields, have no layout: `canonical_turns` leaves them to
 `unmapped_rows`. A conversation is one output row, so it must fit into a task; nothing else is gathered.
 """
 
@@ -23,7 +24,7 @@ TURNS = "array<struct<role:string,text:string>>"
 
 
 def _turn(role, text):
-    return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+    return F.struct(*[F.coalesce(part.cast("string"), F.lit("")).alias(name) for part, name in ((role, "role"), (text, "text"))])
 
 
 def _role(name):
@@ -44,6 +45,10 @@ MAPPINGS = [
     ("turn rows", [], ["turn", "role", "text"], lambda c: F.array(_turn(c("role"), c("text")))),
     ("messages", ["messages[].role", "messages[].content"], [], lambda c: F.transform(
         c("messages"), lambda m: _turn(m["role"], m["content"]))),
+    ("message parts", ["messages[].role", "messages[].content[].text"], ["messages[].content[].type"], lambda c: F.transform(
+        c("messages"), lambda m: _turn(m["role"], F.array_join(m["content"]["text"], "")))),
+    ("message lists", ["messages[].role", "messages[].content[]"], [], lambda c: F.transform(
+        c("messages"), lambda m: _turn(m["role"], F.array_join(m["content"], "")))),
     ("shared turns", ["conversations[].from", "conversations[].value"], [], lambda c: F.transform(
         c("conversations"), lambda m: _turn(_role(m["from"]), m["value"]))),
     ("prompt", ["prompt", "response"], [], lambda c: _pair(c("prompt"), c("response"))),
@@ -56,23 +61,25 @@ MAPPINGS = [
 ]
 
 
-def _holds(name):
-    return lambda element: element[name].isNotNull()
-
-
-def _filled_paths(kind, column, path):
-    """(path, condition that it holds a value) for every leaf below a column."""
+def _leaves(kind):
+    """(path below a column of a type, condition on the column that it holds a value) for every leaf."""
     if isinstance(kind, T.StructType):
         for field in kind:
-            yield from _filled_paths(field.dataType, column[field.name], f"{path}.{field.name}" if path else field.name)
+            for path, holds in _leaves(field.dataType):
+                yield f".{field.name}{path}", lambda c, holds=holds, name=field.name: holds(c[name])
     elif isinstance(kind, T.ArrayType):
-        if not isinstance(kind.elementType, T.StructType):
-            yield f"{path}[]", F.exists(column, lambda element: element.isNotNull())
-            return
-        for field in kind.elementType:
-            yield f"{path}[].{field.name}", F.exists(column, _holds(field.name))
+        for path, holds in _leaves(kind.elementType):
+            yield f"[]{path}", lambda c, holds=holds: F.exists(c, lambda element: F.coalesce(holds(element), F.lit(False)))
     else:
-        yield path, column.isNotNull()
+        yield "", lambda c: c.isNotNull()
+
+
+def _paths(schema, skip):
+    """{path: condition that a row fills it} for every leaf of a schema."""
+    return {
+        field.name + path: holds(F.col(f"`{field.name}`"))
+        for field in schema if field.name not in skip for path, holds in _leaves(field.dataType)
+    }
 
 
 def _hash(paths):
@@ -80,30 +87,27 @@ def _hash(paths):
 
 
 def fingerprint(df, skip=()):
-    """Hash of the sorted nested field paths that a row of `df` fills."""
-    found = []
-    for field in df.schema:
-        if field.name not in skip:
-            found += _filled_paths(field.dataType, F.col(f"`{field.name}`"), field.name)
-    found.sort(key=lambda pair: pair[0])
+    """Hash of the sorted nested field paths that a row of `df` fills, however deep they lie."""
+    found = sorted(_paths(df.schema, skip).items())
     return _hash(F.array_compact(F.array(*[F.when(held, F.lit(path)) for path, held in found])).cast("array<string>"))
 
 
 def _fitting(df, mappings, skip):
-    """(name, condition, turns) of the mappings whose columns `df` has."""
-    names = {field.name for field in df.schema} - set(skip)
+    """(name, condition, turns) of the mappings whose paths are leaves of `df`'s schema."""
+    names, leaves = {field.name for field in df.schema} - set(skip), set(_paths(df.schema, skip))
     mark = F.col("fingerprint")
     for name, required, optional, turns in mappings:
-        if not {p.split("[")[0].split(".")[0] for p in required} <= names:
+        if not set(required) <= leaves:
             continue
-        optional = [p for p in optional if p in names]
+        optional = [p for p in optional if p in leaves]
         if not required and not optional:
             continue
         sets = [sorted([*required, *more]) for n in range(len(optional) + 1) for more in combinations(optional, n)]
         fits = F.lit(False)
         for paths in sets:
             fits = fits | (mark == _hash(F.array(*map(F.lit, paths)).cast("array<string>")))
-        get = lambda c: F.col(f"`{c}`") if c in names else F.lit(None).cast("string")
+        used = {p.split("[")[0].split(".")[0] for p in [*required, *optional]}
+        get = lambda c: F.col(f"`{c}`") if c in used & names else F.lit(None).cast("string")
         yield name, fits, turns(get).cast(TURNS)
 
 

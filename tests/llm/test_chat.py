@@ -78,3 +78,40 @@ def test_other_columns_are_no_part_of_the_layout_unless_named(spark):
     assert chat.with_layout(rows).first().layout is None
     turns = chat.canonical_turns(rows, order_col="turn", columns=["turn", "role", "text"])
     assert [tuple(r)[3:5] for r in turns.collect()] == [("user", "a")]
+
+
+def read_json(spark, lines):
+    return spark.read.json(spark.createDataFrame([(x,) for x in lines], "value string").rdd.map(lambda r: r[0]))
+
+
+def test_contents_in_parts(spark):
+    records = read_json(spark, [
+        '{"conv_id": 1, "messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "text", "text": "b"}]},'
+        ' {"role": "assistant", "content": [{"type": "text", "text": "c"}]}]}',
+        '{"conv_id": 2, "messages": [{"role": "user", "content": [{"type": "image", "url": "x"}, {"type": "text", "text": "b"}]}]}',
+        '{"conv_id": 3, "messages": [{"role": "user", "content": [{"text": "only"}, {}]}, {"role": "assistant", "content": null}]}',
+        '{"conv_id": 4, "messages": [{"role": "user", "content": [{"text": "q"}], "tool_calls": [{"function": {"name": "f"}}]}]}',
+        '{"conv_id": 5, "messages": []}',
+    ])
+    laid = {r.conv_id: r.layout for r in chat.with_layout(records).collect()}
+    assert laid == {1: "message parts", 2: None, 3: "message parts", 4: None, 5: None}
+    turns = {}
+    for r in chat.canonical_turns(records).orderBy("conv_id", "part").collect():
+        turns.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert turns == {1: [("user", "ab"), ("assistant", "c")], 3: [("user", "only"), ("assistant", "")]}
+    texts = read_json(spark, ['{"conv_id": 1, "messages": [{"role": "user", "content": ["a", "b"]}]}'])
+    assert [r.text for r in chat.canonical_turns(texts).collect()] == ["ab"]
+
+
+def test_layouts_of_other_shapes_and_types_are_unmapped(spark):
+    for line in (
+        '{"conv_id": 1, "prompt": {"text": "q", "lang": "en"}, "response": "a"}', '{"conv_id": 1, "messages": "text"}',
+        '{"conv_id": 1, "messages": [["user", "a"]]}', '{"conv_id": 1, "turn": 1, "role": {"name": "user"}, "text": "x"}',
+        '{"conv_id": 1, "messages": {"role": "user", "content": "a"}}', '{"conv_id": 1, "instruction": ["do"], "output": "done"}',
+        '{"conv_id": 1, "conversations": [{"from": "human", "value": {"deep": [{"er": 1}]}}]}',
+    ):
+        records = read_json(spark, [line])
+        assert chat.with_layout(records).first().layout is None, line
+        assert chat.unmapped_rows(records).count() == 1 and chat.canonical_turns(records).collect() == []
+    numbers = read_json(spark, ['{"conv_id": "x", "prompt": 1, "response": 2.5}'])
+    assert [(r.conv_id, r.role, r.text) for r in chat.canonical_turns(numbers).collect()] == [("x", "user", "1"), ("x", "assistant", "2.5")]
