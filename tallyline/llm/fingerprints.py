@@ -17,7 +17,7 @@ last row comes the first. Null text counts as empty.
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Window, functions as F
+from pyspark.sql import Window, functions as F, types as T
 
 from tallyline.llm.common import filled, ship_package
 from tallyline.llm.words import distinct
@@ -154,13 +154,24 @@ def _range_of(column, bounds):
     return passed + F.size(F.filter(near, lambda b: b <= column))
 
 
+def _bounds(ids, shares, sampled):
+    """Different ids that cut the rows into about equal ranges: quantiles of numbers, or of a sample of other ids."""
+    if not shares:
+        return []
+    if isinstance(ids.schema["id"].dataType, T.NumericType):
+        return sorted(set(ids.agg(F.percentile_approx("id", shares, sampled)).first()[0] or []))
+    drawn = ids.where("id IS NOT NULL").orderBy(F.xxhash64("mark", "id")).limit(sampled)
+    found = [r["id"] for r in drawn.orderBy("id").collect()]
+    return sorted({found[int(share * len(found))] for share in shares}) if found else []
+
+
 def with_next(rows, id_col, text_col, columns):
     """`rows` with each of `columns` of the following row as next_<column>."""
     spark = rows.sparkSession
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = rows.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"))
     shares = [i / ranges for i in range(1, ranges)]
-    bounds = sorted(set((ids.agg(F.percentile_approx("id", shares, 10 * ranges)).first()[0] if shares else None) or []))
+    bounds = _bounds(ids, shares, 10 * ranges)
     part = F.when(F.col("id").isNull(), -1).otherwise(_range_of(F.col("id"), bounds))
     # one row for each range, of which there are as many as shuffle partitions
     first = {r["part"]: r["first"] for r in ids.groupBy(part.alias("part")).agg(

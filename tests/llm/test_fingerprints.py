@@ -84,3 +84,18 @@ def test_an_empty_table_and_other_columns(spark):
     assert edited(spark, []) == []
     docs = spark.createDataFrame([(1, "abcd", 3, "p"), (2, "efgh", 4, "q")], "doc_id long, text string, part int, id string")
     assert {r.doc_id for r in fp.edited_fingerprints(docs).collect()} == {1, 2}
+
+
+def test_ids_of_other_types(spark):
+    """The next text goes by the descending order of the ids, whatever they are."""
+    texts = {f"d{n:03}": f"text number {n} " * (n % 5 + 1) for n in range(60)}
+    rows = [*texts.items(), (None, "without an id")]
+    found = fp.edited_fingerprints(spark.createDataFrame(rows, "doc_id string, text string").repartition(4)).collect()
+    order = [*sorted(texts, reverse=True), None]
+    following = {i: dict(rows)[order[(n + 1) % len(order)]] for n, i in enumerate(order)}
+    assert len(found) == len(rows)
+    for r in found:
+        text = dict(rows)[r.doc_id]
+        half = len(text) // 2
+        edited = text[:len(text) - half] + following[r.doc_id][:half]
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
