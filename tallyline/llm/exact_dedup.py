@@ -12,7 +12,7 @@ moved after it. A name held by a third of all rows is split by Spark's skew join
 names have a row for each name.
 
 Null text counts as empty; empty texts are equal. Rows that repeat a doc_id are rows of their own.
-Of equal rows one is kept. A null doc_id comes after all others.
+Of equal rows one is kept. Ids are of any type that has an order; a null one comes after all others.
 """
 
 import math
@@ -110,11 +110,12 @@ def exact_groups(docs, id_col="doc_id", text_col="text", block_bytes=BLOCK_BYTES
     Of equal texts the row with the most code points in the original text, then the smallest id stays.
     """
     named = written(identities(docs, id_col, text_col, block_bytes, key), "identities")
-    best = F.max(F.struct("n_chars", F.bitwise_not(F.col(id_col)).alias("by_id"), F.bitwise_not(F.col("row_id")).alias("by_row")))
+    # the least of (fewer code points, no id, id, row), so ids may be of any type that has an order
+    best = F.min(F.struct((-F.col("n_chars")).alias("short"), F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "row_id"))
     groups = written(named.groupBy("level", "name").agg(F.count("*").alias("group_size"), best.alias("best")), "groups")
     return named.join(groups, ["level", "name"]).select(
-        id_col, F.bitwise_not("best.by_id").alias("keep_id"), "group_size",
-        (F.col("row_id") == F.bitwise_not("best.by_row")).alias("kept"), "text_sha256", "n_chars", "text_key",
+        id_col, F.col("best.id").alias("keep_id"), "group_size",
+        (F.col("row_id") == F.col("best.row_id")).alias("kept"), "text_sha256", "n_chars", "text_key",
     )
 
 

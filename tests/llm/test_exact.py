@@ -73,3 +73,15 @@ def test_what_stays_has_all_its_columns(spark):
     stayed = sorted((tuple(r) for r in got.collect()), key=str)
     assert [r[0] for r in stayed] == [1, 3, 4]
     assert set(stayed) <= set(rows)
+
+
+def test_ids_of_other_types(spark):
+    rows = [("b", "same"), ("a", "sa me"), ("c", "same"), (None, "same"), (None, "other"), ("d", None), ("", "")]
+    got = exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    keep = {(r.doc_id, r.text_sha256): (r.keep_id, r.group_size, r.kept) for r in got}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert keep[("a", sha("same"))] == ("a", 4, True) and keep[("b", sha("same"))] == ("a", 4, False)
+    assert keep[(None, sha("same"))] == ("a", 4, False) and keep[(None, sha("other"))] == (None, 1, True)
+    assert keep[("", sha(""))] == ("", 2, True) and keep[("d", sha(""))] == ("", 2, False)
+    days = spark.sql("SELECT DATE'2024-01-02' AS doc_id, 'x' AS text UNION ALL SELECT DATE'2024-01-01', 'x'")
+    assert {str(r.keep_id) for r in exact_dedup.exact_groups(days).collect()} == {"2024-01-01"}
