@@ -17,7 +17,7 @@ in one of them, and a group gives a spanning forest of its links, never all of t
 
 Texts without words equal those of the same characters only; null counts as empty. Rows that repeat a
 doc_id are rows of their own. A class has the smallest doc_id of its rows as its id, and that row
-stays (the first of several).
+stays (the first of several). Ids are of any type that has an order; a null one comes after all others.
 """
 
 import hashlib
@@ -296,11 +296,11 @@ def near_classes(docs, id_col="doc_id", text_col="text"):
         "row_id", "id", "text_key", F.coalesce("label", "rep").alias("label")
     )
     classed = written(classed, "classed")
-    first = F.max(F.struct(F.bitwise_not("id").alias("by_id"), F.bitwise_not("row_id").alias("by_row")))
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row_id"))
     classes = written(classed.groupBy("label").agg(F.count("*").alias("class_size"), first.alias("first")), "classes")
     return classed.join(classes, "label").select(
-        F.col("id").alias(id_col), F.bitwise_not("first.by_id").alias("class_id"), "class_size",
-        (F.col("row_id") == F.bitwise_not("first.by_row")).alias("kept"), "text_key",
+        F.col("id").alias(id_col), F.col("first.id").alias("class_id"), "class_size",
+        (F.col("row_id") == F.col("first.row_id")).alias("kept"), "text_key",
     )
 
 

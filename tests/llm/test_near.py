@@ -122,3 +122,12 @@ def test_components(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(pairs, "a long, b long"), "test").collect()}
     assert got == {x: root(x) for x in parent}
     assert components(spark.createDataFrame([], "a long, b long"), "none").count() == 0
+
+
+def test_ids_of_other_types(spark):
+    text = " ".join(f"w{n}" for n in range(200))
+    rows = [("b", text), ("a", text + " end"), (None, text), ("c", "alone"), (None, "nothing")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {(r.doc_id, r.class_id, r.class_size, r.kept) for r in near_dedup.near_classes(docs).collect()}
+    assert got == {("b", "a", 3, False), ("a", "a", 3, True), (None, "a", 3, False), ("c", "c", 1, True), (None, None, 1, True)}
+    assert {r.text for r in near_dedup.keep_first(docs).collect()} == {text + " end", "alone", "nothing"}
