@@ -11,8 +11,8 @@ family counts once for each place: its shortest paragraphs that do not overlap.
 that no confirmed paragraph covers are counted as unknown; those below the limit are no licences.
 
 Only paragraphs with one of the model's telling words are scored. They are chosen from the weights so
-that the n-grams without any of them can't raise a family to the limit, all taken together. Null and empty texts have no paragraphs. Rows
-that repeat a doc_id get a row each.
+that the n-grams without any of them can't raise a family, nor all families together, to the limit, all
+taken together. Null and empty texts have no paragraphs. Rows that repeat a doc_id get a row each.
 """
 
 import math
@@ -138,7 +138,11 @@ def fit(spark, lines):
 
 
 def telling_words(families, intercepts, weights, limit, seen):
-    """Words without which no paragraph reaches the limit; words that `seen` counts often are left out first."""
+    """Words without which no paragraph's families reach the limit together; words that `seen` counts often are left out first.
+
+    A family's odds against the unknown class are at most those of all n-grams that speak for it, so the
+    families' greatest odds are added and held against the limit's.
+    """
     gains = {
         gram: [max(0.0, w - by[-1]) for w in by[:-1]] for gram, by in weights.items() if max(by[:-1]) > by[-1]
     }
@@ -149,7 +153,8 @@ def telling_words(families, intercepts, weights, limit, seen):
         fewer = kept - {word}
         without = [by for gram, by in gains.items() if fewer.isdisjoint(gram.split())]
         reach = [sum(by[i] for by in without) + intercepts[i] - intercepts[-1] for i in range(len(families) - 1)]
-        if max(reach) < needed:
+        most = max(reach)
+        if most + math.log(sum(math.exp(r - most) for r in reach)) < needed:
             kept = fewer
     return sorted(kept)
 
