@@ -4,13 +4,14 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 import tallyline
 from tallyline.session import written
 
 _shipped = set()
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+FIT_BYTES = 64 << 20  # of texts that one classifier learns from
 
 
 def table(spark, sf_dir, name):
@@ -53,6 +54,23 @@ def ship_package(spark):
     _shipped.add(spark.sparkContext.applicationId)
 
 
+def rows_to_fit(docs, chosen, mark, max_rows, max_bytes, id_col, text_col):
+    """Rows (mark, text_key, value, text) to fit a classifier on: at most `max_rows`, of `max_bytes` together.
+
+    `chosen` are at most `max_rows` labels (label_id, value); `mark` is a hash of label_id. The first rows by
+    mark and text_key are taken as long as they fit, without texts of over a sixteenth of `max_bytes`; rows
+    that repeat id and text are one. Only hashes and sizes are sorted, so long texts stay where they are.
+    """
+    texts = docs.select(F.col(id_col).alias("label_id"), filled(text_col).alias("text"))
+    known = texts.join(F.broadcast(chosen), "label_id").withColumns({"mark": mark, "text_key": F.xxhash64("text")})
+    sizes = known.groupBy("mark", "text_key").agg(F.max(F.octet_length("text").cast("long")).alias("bytes"))
+    first = sizes.where(F.col("bytes") <= max_bytes // 16).orderBy("mark", "text_key").limit(max_rows)
+    so_far = F.sum("bytes").over(Window.orderBy("mark", "text_key"))
+    taken = written(first.withColumn("so_far", so_far).where(F.col("so_far") <= max_bytes).select("mark", "text_key"), "rows-to-fit")
+    rows = known.join(F.broadcast(taken), ["mark", "text_key"])
+    return rows.groupBy("mark", "text_key").agg(F.first("value").alias("value"), F.first("text").alias("text"))
+
+
 def components(pairs, label):
     """Connected components of pairs (a, b): a row (node, label) for each node, with its least node as label.
 

@@ -10,9 +10,13 @@ end when the targets are met; a warning tells what is missing if no step, or PAT
 the totals nearer. A document's rate follows from its posterior and the steps so far, so no state is
 kept between them.
 
-The classifier is fitted on at most `max_rows` labelled rows, chosen by a hash of their id, in one task;
-posteriors, totals and rates cover every document. The features are byte shares and hashed words of the
-whole text. A document is seen floor(rate) times, and once more if a hash of its id and text is below
+Where `least` is above 0 the total is free, as repeating a document of one domain also adds the others'
+share in it: it is the smallest one at which rates of `least` plus a mix of the posteriors, no part of it
+negative, have the target shares. That follows from the domains' overlaps alone, and one step gets there.
+
+The classifier is fitted on at most `max_rows` labelled rows of `max_bytes` together, chosen by a hash of
+their id, in one task; texts of over a sixteenth of `max_bytes` are not learned from. Posteriors, totals
+and rates cover every document. The features are byte shares and hashed words of the whole text. A document is seen floor(rate) times, and once more if a hash of its id and text is below
 the rest. Null and empty texts have no tokens and rates like others of their posterior; null labels are
 left out; rows that repeat an id are mixed each. Without labels all domains are equally likely.
 """
@@ -23,7 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import filled, ship_package
+from tallyline.llm.common import FIT_BYTES, filled, rows_to_fit, ship_package
 from tallyline.llm.words import distinct, words_of
 from tallyline.session import written
 
@@ -77,19 +81,19 @@ def _fit(domains):
     return fit
 
 
-def domain_weights(docs, labels, domains, id_col, text_col, max_rows=MAX_ROWS):
+def domain_weights(docs, labels, domains, id_col, text_col, max_rows=MAX_ROWS, max_bytes=FIT_BYTES):
     """Weights of the classifier, a row for each place and a column for each domain."""
     number = F.lit(None).cast("int")
     for i, condition in reversed(list(enumerate(domains.values()))):
         number = F.when(F.expr(condition), i).otherwise(number)
     known = labels.select(F.col(id_col).alias("label_id"), number.alias("domain")).where("label_id IS NOT NULL AND domain IS NOT NULL")
-    known = known.where(F.crc32(F.col("label_id").cast("string")) % 5 != 0).groupBy("label_id").agg(F.min("domain").alias("domain"))
+    known = known.where(F.crc32(F.col("label_id").cast("string")) % 5 != 0).groupBy("label_id").agg(F.min("domain").alias("value"))
     chosen = known.orderBy(F.xxhash64("label_id"), "label_id").limit(max_rows)
-    texts = docs.select(F.col(id_col).alias("label_id"), filled(text_col).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "label_id").select("domain", "text", F.xxhash64("label_id").alias("mark"))
-    rows = rows.orderBy("mark", F.xxhash64("text")).limit(max_rows).select("domain", "text")
+    rows = rows_to_fit(docs, chosen, F.xxhash64("label_id"), max_rows, max_bytes, id_col, text_col)
+    rows = rows.select(F.col("value").alias("domain"), "text", "mark", "text_key")
+    ordered = rows.repartition(1).sortWithinPartitions("mark", "text_key").select("domain", "text")
     weights = np.zeros((BYTES + (1 << BITS) + 1, len(domains)), np.float32)
-    for row in rows.mapInPandas(_fit(len(domains)), "place int, weights array<double>").collect():
+    for row in ordered.mapInPandas(_fit(len(domains)), "place int, weights array<double>").collect():
         weights[row["place"]] = row["weights"]
     return weights
 
@@ -120,25 +124,45 @@ def _rates(posterior, steps, least):
     return rates
 
 
-def fit_steps(table, targets, least=0.0, tolerance=TOLERANCE):
-    """Gradient steps whose rates give the domains of `table` (tokens, posterior) the target totals.
+def _summed(table, what, width):
+    """The sum over all rows of `what`(tokens, posteriors), an array of `width` numbers."""
+    def sums(batches):
+        total = np.zeros(width)
+        for batch in batches:
+            if len(batch):
+                total += what(batch["tokens"].to_numpy(np.float64), np.array(batch["posterior"].tolist()))
+        yield pd.DataFrame({"sums": [total]})
+
+    parts = table.select("tokens", "posterior").mapInPandas(sums, "sums array<double>")
+    return np.sum([row["sums"] for row in parts.collect()] or [np.zeros(width)], axis=0)
+
+
+def overlaps(table, size):
+    """The matrix of the domains' overlaps, sums of tokens * posterior * posterior; its rows sum to the totals at rate 1."""
+    return _summed(table, lambda n, p: (p * n[:, None]).T.dot(p).ravel(), size * size).reshape(size, size)
+
 
-    `targets` has None for a domain that may have any total.
+def least_total(whole, shares, least):
+    """The smallest total of the domains with `shares` at which rates of `least` plus a mix of posteriors meet them.
+
+    None where no mix does: where domains overlap more than their shares allow.
     """
-    size = len(targets)
+    bound = sorted(shares)
+    block, share = whole[np.ix_(bound, bound)], np.array([shares[i] for i in bound])
+    inverse = np.linalg.pinv(block)
+    held, wanted = inverse @ (least * whole.sum(axis=1)[bound]), inverse @ share
+    if (wanted <= 0).any() or not np.allclose(block @ wanted, share, atol=1e-9):
+        return None
+    return (held / wanted).max()
 
-    def summed(what, width):
-        def sums(batches):
-            total = np.zeros(width)
-            for batch in batches:
-                if len(batch):
-                    total += what(batch["tokens"].to_numpy(np.float64), np.array(batch["posterior"].tolist()))
-            yield pd.DataFrame({"sums": [total]})
 
-        parts = table.select("tokens", "posterior").mapInPandas(sums, "sums array<double>")
-        return np.sum([row["sums"] for row in parts.collect()] or [np.zeros(width)], axis=0)
+def fit_steps(table, targets, least=0.0, tolerance=TOLERANCE, whole=None):
+    """Gradient steps whose rates give the domains of `table` (tokens, posterior) the target totals.
 
-    whole = summed(lambda n, p: (p * n[:, None]).T.dot(p).ravel(), size * size).reshape(size, size)
+    `targets` has None for a domain that may have any total; `whole` are the table's overlaps, if known.
+    """
+    size = len(targets)
+    whole = overlaps(table, size) if whole is None else whole
     # a plain gradient step of this length never raises the error
     slowest = max(np.linalg.eigvalsh(whole).max(), 1e-9)
     bound = np.array([t is not None for t in targets])
@@ -162,7 +186,7 @@ def fit_steps(table, targets, least=0.0, tolerance=TOLERANCE):
             return np.concatenate(out)
 
         width, found = size + size * size, []
-        for option, sums in zip(options, summed(what, width * len(options)).reshape(-1, width)):
+        for option, sums in zip(options, _summed(table, what, width * len(options)).reshape(-1, width)):
             missing = np.where(bound, sums[:size] - wanted, 0.0)
             error = np.sqrt((missing ** 2).sum()) / max(wanted.sum(), 1.0)
             found.append((error, missing, sums[size:].reshape(size, size), option))
@@ -186,12 +210,6 @@ def fit_steps(table, targets, least=0.0, tolerance=TOLERANCE):
     return steps
 
 
-def totals(table):
-    """Tokens of each domain at rate 1, expected."""
-    sums = table.select(F.posexplode(F.transform("posterior", lambda p: p * F.col("tokens")))).groupBy("pos").agg(F.sum("col").alias("n"))
-    return {row["pos"]: row["n"] for row in sums.collect()}
-
-
 def mixed_rates(docs, labels, weights, domains=None, least=0.0, id_col="doc_id", text_col="text", max_rows=MAX_ROWS):
     """A row for each row of `docs`: id_col, text_key, tokens, posterior, rate, copies.
 
@@ -201,15 +219,16 @@ def mixed_rates(docs, labels, weights, domains=None, least=0.0, id_col="doc_id",
     """
     domains = domains or DOMAINS
     table = written(posteriors(docs, labels, domains, id_col, text_col, max_rows), "posteriors")
-    now = totals(table)
-    bound = [i for i, name in enumerate(domains) if name in weights]
+    whole = overlaps(table, len(domains))
+    now = whole.sum(axis=1)
     share = sum(weights.values())
-    total = sum(now.get(i, 0.0) for i in bound)
     shares = {i: weights[name] / share for i, name in enumerate(domains) if name in weights}
+    total = sum(now[i] for i in shares)
     if least > 0:
-        total = max([total * least, *(least * now.get(i, 0.0) / s for i, s in shares.items() if s)])
+        reached = least_total(whole, shares, least)
+        total = max([total * least, *(least * now[i] / s for i, s in shares.items() if s)]) if reached is None else reached
     targets = [total * shares[i] if i in shares else None for i in range(len(domains))]
-    steps = fit_steps(table, targets, least)
+    steps = fit_steps(table, targets, least, whole=whole)
 
     @F.pandas_udf("double")
     def rate(posterior: pd.Series) -> pd.Series:

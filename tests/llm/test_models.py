@@ -2,6 +2,7 @@
 
 import random
 import textwrap
+import warnings
 import zlib
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyline.llm import licences, mixing, toxicity
+from tallyline.llm.common import rows_to_fit
 from tallyline.llm.queries import MIX
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -201,6 +203,45 @@ def test_mixing_that_keeps_every_document(spark):
     assert {r.doc_id for r in got.collect()} == {k for k, _ in docs}
 
 
+@pytest.mark.parametrize("mix", [{"clean": 0.94, "junk": 0.06}, {"clean": 0.5, "junk": 0.5}, {"clean": 0.6, "junk": 0.3, "toxic": 0.1}])
+def test_rates_of_one_and_more_meet_the_mix_in_one_step(spark, mix):
+    draw = np.random.default_rng(15)
+    scores = draw.normal(0, 1, (1500, 3))
+    scores[np.arange(1500), draw.choice(3, 1500, p=[0.05, 0.15, 0.8])] += 5
+    posterior = np.exp(scores) / np.exp(scores).sum(axis=1, keepdims=True)
+    tokens = draw.lognormal(5, 1, 1500).astype(int) + 1
+    whole = (posterior * tokens[:, None]).T @ posterior
+    shares = {i: mix[name] for i, name in enumerate(mixing.DOMAINS) if name in mix}
+    total = mixing.least_total(whole, shares, 1.0)
+    wanted = [total * shares[i] if i in shares else None for i in range(3)]
+    rows = [(int(n), p.tolist()) for n, p in zip(tokens, posterior)]
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        steps = mixing.fit_steps(spark.createDataFrame(rows, "tokens long, posterior array<double>"), wanted, 1.0, whole=whole)
+    rates = mixing._rates(posterior, steps, 1.0)
+    reached = (tokens * rates) @ posterior
+    assert len(steps) <= 2 and rates.min() >= 1
+    assert all(abs(reached[i] / reached[list(shares)].sum() - shares[i]) < 1e-5 for i in shares)
+
+
+def test_shares_beyond_the_overlaps_have_no_least_total():
+    whole = np.array([[5.0, 4.9], [4.9, 5.0]])
+    assert mixing.least_total(whole, {0: 0.99, 1: 0.01}, 1.0) is None
+    assert mixing.least_total(np.zeros((2, 2)), {0: 0.5, 1: 0.5}, 1.0) is None
+    assert mixing.least_total(np.diag([2.0, 6.0]), {0: 0.5, 1: 0.5}, 1.0) == pytest.approx(12.0)
+
+
+def test_fits_are_bounded_in_rows_and_bytes(spark):
+    rows = [(n, "x" * (100 + n)) for n in range(50)] + [(7, "x" * 107), (7, "other"), (60, "y" * 5000), (None, "null")]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.range(61).select(F.col("id").alias("label_id"), F.lit(1).alias("value"))
+    fit = lambda n, size: rows_to_fit(docs, labels, F.xxhash64("label_id"), n, size, "doc_id", "text").collect()
+    assert len(fit(100, 1 << 20)) == 52  # all but the null id and the repeated row
+    some = fit(100, 3000)
+    assert 0 < len(some) < 52 and sum(len(r.text) for r in some) <= 3000 and max(len(r.text) for r in some) <= 3000 // 16
+    assert len(fit(10, 1 << 20)) == 10
+
+
 def test_rates_that_cannot_reach_their_targets_stay_bounded(spark):
     table = spark.createDataFrame([(10, [1.0, 0.0]), (10, [1.0, 0.0])], "tokens long, posterior array<double>")
     steps = mixing.fit_steps(table, [30.0, 50.0])
