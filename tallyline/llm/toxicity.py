@@ -4,10 +4,10 @@ Features are the distinct words of a text, their first letters, adjacent pairs a
 word between, hashed into 2**BITS places. Weights are learned with per-coordinate rates, and L1 sets
 most of them to zero: what is sent to the tasks has a row for each remaining weight.
 
-The model is fitted on at most `max_rows` labelled rows, chosen and ordered by a hash of their id, in
-one task; that bound is the fit's only limit, and every row is scored on its whole text. A label of
-null is no label; of several labels for an id the largest counts; of rows that repeat an id the fit
-may take each. Null and empty texts have no features, so their score is that of the bias. Without
+The model is fitted on at most `max_rows` labelled rows of `max_bytes` together, chosen and ordered by a
+hash of their id, in one task; texts of over a sixteenth of `max_bytes` are not learned from. Every row
+is scored on its whole text. A label of null is no label; of several labels for an id the largest counts;
+of rows that repeat an id the fit takes each text once. Null and empty texts have no features, so their score is that of the bias. Without
 any label all scores are 0.5 and nothing is predicted as toxic.
 """
 
@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tallyline.llm.common import filled, ship_package
+from tallyline.llm.common import FIT_BYTES, filled, rows_to_fit, ship_package
 from tallyline.llm.words import distinct, mixed, words_of
 
 BITS = 20
@@ -77,25 +77,24 @@ def held_out(id_col):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(docs, labels, id_col="doc_id", text_col="text", label_col="toxic", max_rows=MAX_ROWS):
+def fit(docs, labels, id_col="doc_id", text_col="text", label_col="toxic", max_rows=MAX_ROWS, max_bytes=FIT_BYTES):
     """Weights by place, learned from the labels that are not held out."""
     ship_package(docs.sparkSession)
-    mark = F.xxhash64(F.col(id_col), F.lit(7))
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    known = known.groupBy(F.col(id_col).alias("label_id")).agg(F.max(label_col).cast("double").alias("label"))
-    chosen = known.orderBy(F.xxhash64("label_id", F.lit(7)), "label_id").limit(max_rows)
+    known = known.groupBy(F.col(id_col).alias("label_id")).agg(F.max(label_col).cast("double").alias("value"))
+    mark = F.xxhash64("label_id", F.lit(7))
+    chosen = known.orderBy(mark, "label_id").limit(max_rows)
 
     def places(batches):
         for batch in batches:
             yield pd.DataFrame({
-                "mark": batch["mark"], "label": batch["label"],
+                "mark": batch["mark"], "text_key": batch["text_key"], "label": batch["value"],
                 "places": [distinct(p).tobytes() for p in features(batch["text"])],
             })
 
-    texts = docs.select(F.col(id_col).alias("label_id"), filled(text_col).alias("text"), mark.alias("mark"))
-    joined = texts.join(F.broadcast(chosen), "label_id").select("mark", "label", "text")
-    rows = joined.mapInPandas(places, "mark long, label double, places binary")
-    ordered = rows.orderBy("mark", F.xxhash64("places")).limit(max_rows)
+    rows = rows_to_fit(docs, chosen, mark, max_rows, max_bytes, id_col, text_col)
+    rows = rows.mapInPandas(places, "mark long, text_key long, label double, places binary")
+    ordered = rows.repartition(1).sortWithinPartitions("mark", "text_key")
     found = ordered.mapInPandas(_fit, "place int, weight double").collect()
     return {row["place"]: row["weight"] for row in found}
 
