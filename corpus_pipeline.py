@@ -2,6 +2,10 @@
 
 Each stage works on all that its predecessor kept. Stages read their input twice and more, so `run`
 writes each result to the shared folder. All stages but the last return the columns of documents.
+
+Null and empty texts stay, are equal to each other and have no tokens. Rows that repeat id and text are
+one after exact dedup. An empty table gives no rows; without labels nothing is toxic and all domains are
+equally likely. Other columns are carried through to the last stage, whatever their names.
 """
 
 import public_tokenizers
@@ -10,9 +14,9 @@ from tallyline.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
 from tallyline.llm.common import table
 from tallyline.session import written
 
-#: Target shares of the tokens. Rates are 1 at least, so the mix is reached by repeating documents of
-#: the domains that are short, and no document that earlier stages kept is lost.
-MIX = {"clean": 0.88, "junk": 0.12}
+#: Target shares of the tokens: half the share of junk that comes in. Rates are 1 at least, so the mix is
+#: reached by repeating clean documents, and no document that earlier stages kept is lost.
+MIX = {"clean": 0.94, "junk": 0.06}
 
 
 def clean(spark, docs, sf_dir):
