@@ -49,7 +49,8 @@ def op4_byte_bpe(spark, sf_dir):
 
 
 def op5_url_filter(spark, sf_dir):
-    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    judged = url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.withColumn("score", F.round("score", 6) + 0.0)
 
 
 def op6_near_dedup(spark, sf_dir):
@@ -92,6 +93,28 @@ def op13_decontamination(spark, sf_dir):
     )
 
 
+def _url_level(order):
+    """SQL of one level of the two url models: the chance of a gram's last character after the others."""
+    chance = lambda k: (
+        f"CASE WHEN {k}_all = 0 THEN {k}_below ELSE ({k} + {k}_kinds * {k}_below) / ({k}_all + {k}_kinds) END AS {k}_p"
+    )
+    shorter = "1 / 256.0 AS a_below, 1 / 256.0 AS b_below" if order == 1 else "s.a_p AS a_below, s.b_p AS b_below"
+    join = "" if order == 1 else f"JOIN model{order - 1} s ON s.gram = right(l.gram, {order - 1})"
+    return f"""
+        level{order} AS (
+            SELECT right(gram, {order}) AS gram, sum(a) AS a, sum(b) AS b FROM counts GROUP BY 1
+        ), context{order} AS (
+            SELECT left(gram, {order - 1}) AS context, sum(a) AS a_all, sum(b) AS b_all,
+                count(*) FILTER (a > 0) AS a_kinds, count(*) FILTER (b > 0) AS b_kinds
+            FROM level{order} GROUP BY 1
+        ), model{order} AS (
+            SELECT gram, {chance("a")}, {chance("b")} FROM (
+                SELECT l.*, c.* EXCLUDE (context), {shorter}
+                FROM level{order} l JOIN context{order} c ON c.context = left(l.gram, {order - 1}) {join}
+            )
+        )"""
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_chat_format": op2_chat_format,
@@ -142,6 +165,51 @@ ORACLES = {
             sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
         FROM chats
     """,
+    "op5_url_filter": r"""
+        WITH parts AS (
+            SELECT page_id, path, translate(host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM (
+                SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '') AS host,
+                    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+                FROM pages
+            )
+        ), ruled AS (
+            SELECT *, CASE
+                WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+                WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+                WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+                WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/'
+            END AS rule FROM parts
+        ), decided AS (
+            SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS said FROM ruled
+        ), addresses AS (
+            SELECT address, said, CAST('0x' || left(md5(address), 8) AS BIGINT) % 5 = 0 AS held
+            FROM (SELECT host || path AS address, max(said) AS said FROM decided GROUP BY 1)
+        ), grams AS (
+            SELECT address, said, held, substr(padded, i, 4) AS gram FROM (
+                SELECT *, unnest(range(1, length(padded) - 2)) AS i
+                FROM (SELECT *, chr(2) || chr(2) || chr(2) || address || chr(3) AS padded FROM addresses)
+            )
+        ), counts AS (
+            SELECT gram, count(*) FILTER (said = 'allow' AND NOT held) AS a, count(*) FILTER (said = 'block' AND NOT held) AS b
+            FROM grams GROUP BY gram
+        ),""" + ",".join(_url_level(order) for order in range(1, url_filter.ORDER + 1)) + r""", known AS (
+            SELECT coalesce(bool_or(a > 0) AND bool_or(b > 0), false) AS known FROM counts
+        ), raw AS (
+            SELECT address, avg(CASE WHEN known THEN ln(a_p) - ln(b_p) ELSE 0 END) AS score
+            FROM grams JOIN model4 USING (gram), known GROUP BY address
+        ), ends AS (
+            SELECT count(*) FILTER (said = 'allow') AS n_a, count(*) FILTER (said = 'block') AS n_b,
+                avg(score) FILTER (said = 'allow') AS mean_a, avg(score) FILTER (said = 'block') AS mean_b,
+                stddev_pop(score) FILTER (said = 'allow') AS spread_a, stddev_pop(score) FILTER (said = 'block') AS spread_b
+            FROM raw JOIN addresses USING (address) WHERE held
+        ), threshold AS (
+            SELECT CASE WHEN n_a = 0 OR n_b = 0 THEN 0 WHEN spread_a + spread_b = 0 THEN (mean_a + mean_b) / 2
+                ELSE (mean_a * spread_b + mean_b * spread_a) / (spread_a + spread_b) END AS cut FROM ends
+        )
+        SELECT page_id, host, path, rule, coalesce(said, CASE WHEN score >= cut THEN 'allow' ELSE 'block' END) AS verdict,
+            round(score - cut, 6) + 0.0 AS score
+        FROM decided JOIN raw ON raw.address = host || path, threshold
+    """,
     "op12_search": r"""
         WITH words AS (
             SELECT doc_id, row_number() OVER () AS row, len(w) AS n, w FROM (
