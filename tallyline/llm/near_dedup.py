@@ -11,9 +11,11 @@ Document frequency is exact for shingles found in at least COMMON of all documen
 the full weight 1, and one found everywhere weighs FLOOR. There are at most mean set size / COMMON
 common shingles, whatever the number of documents, so that table is sent to the tasks.
 
-Rows of equal sets are one text to all later steps. Large buckets and clusters are cut into blocks, and
-each pair of blocks is a group of its own: a task holds two blocks at most, every pair of texts meets
-in one of them, and a group gives a spanning forest of its links, never all of them.
+Rows of equal sets are one text to all later steps. Large buckets and clusters are cut into blocks. Each
+block is first linked by itself and with the bucket's first row, the hub; that takes a row for each text.
+What is connected to the hub by then needs no comparison among itself. Only the texts that are still apart
+from it meet all blocks, in blocks of their own, so every pair that is not yet connected is compared. A
+task holds two blocks at most, and a group gives a spanning forest of its links, never all of them.
 
 Texts without words equal those of the same characters only; null counts as empty. Rows that repeat a
 doc_id are rows of their own. A class has the smallest doc_id of its rows as its id, and that row
@@ -36,7 +38,7 @@ SAMPLES = BANDS * ROWS
 AGREE = 32
 COMMON, FLOOR = 0.01, 0.85
 FLUSHED = 1 << 21  # shingles that are counted together
-BLOCK_TEXTS, BLOCK_SHINGLES = 1500, 1_500_000
+BLOCK_TEXTS, BLOCK_SHINGLES = 500, 500_000
 LEVELS = 1 << 16
 
 
@@ -191,17 +193,45 @@ def _forest(size, near):
             yield from ((root, i) for i in found)
 
 
-def _agreeing(batches):
-    """Pairs that connect the rows of a bucket whose signatures agree."""
-    for group in _groups(batches, ["bucket", "low", "high"]):
-        if len(group) < 2:
-            continue
-        ids = group["row_id"].to_numpy()
-        signs = np.frombuffer(b"".join(group["signature"]), np.uint8).reshape(len(ids), SAMPLES)
-        pairs = list(_forest(len(ids), lambda i, rest: (signs[rest] == signs[i]).sum(axis=1) >= AGREE))
-        if pairs:
-            a, b = np.array(pairs).T
-            yield pd.DataFrame({"a": ids[a], "b": ids[b]})
+def _crossing(labels, apart, near):
+    """Pairs that connect rows of different labels; one of each pair is `apart`."""
+    labels = labels.copy()
+    for i in np.flatnonzero(apart):
+        rest = np.flatnonzero(labels != labels[i])
+        if not len(rest):
+            return
+        hit = rest[near(i, rest)]
+        names, at = np.unique(labels[hit], return_index=True)
+        for name, k in zip(names, at):
+            yield i, hit[k]
+            labels[labels == name] = labels[i]
+
+
+def _connected(nearness):
+    """For mapInPandas: pairs (a, b) that connect the rows of each group, by nearness(group)(i, rest)."""
+    def pairs(batches):
+        for group in _groups(batches, ["bucket", "low", "high"]):
+            if len(group) < 2:
+                continue
+            ids, near = group["row_id"].to_numpy(), nearness(group)
+            if "apart" in group:
+                found = list(_crossing(group["label"].to_numpy(), group["apart"].to_numpy(), near))
+            else:
+                found = list(_forest(len(ids), near))
+            if found:
+                a, b = np.array(found).T
+                yield pd.DataFrame({"a": ids[a], "b": ids[b]})
+
+    return pairs
+
+
+def _agreement(group):
+    signs = np.frombuffer(b"".join(group["signature"]), np.uint8).reshape(len(group), SAMPLES)
+    return lambda i, rest: (signs[rest] == signs[i]).sum(axis=1) >= AGREE
+
+
+def _likeness(group):
+    return _WeightedSets(list(group["hashes"]), list(group["weights"])).near
 
 
 class _WeightedSets:
@@ -227,38 +257,58 @@ class _WeightedSets:
         self.held_codes, self.held_weights = self.codes[at], self.weights[at]
 
     def near(self, i, rest):
-        if len(rest) < len(self.held) / 2:
+        at = np.searchsorted(self.held, rest)
+        if len(rest) < len(self.held) / 2 or at[-1] == len(self.held) or (self.held[at] != rest).any():
             self._take(rest)
+            at = np.arange(len(rest))
         own = slice(self.starts[i], self.starts[i + 1])
         self.dense[self.codes[own]] = self.weights[own]
         common = np.minimum(self.dense[self.held_codes], self.held_weights)
         self.dense[self.codes[own]] = 0
-        shared = np.add.reduceat(common, self.bounds[:-1], dtype=np.float64)[np.searchsorted(self.held, rest)]
+        shared = np.add.reduceat(common, self.bounds[:-1], dtype=np.float64)[at]
         return shared >= (THRESHOLD - 1e-6) * (self.totals[i] + self.totals[rest] - shared)
 
 
-def _linked(batches):
-    """Pairs that connect the rows of a cluster that are linked."""
-    for group in _groups(batches, ["bucket", "low", "high"]):
-        if len(group) < 2:
-            continue
-        ids = group["row_id"].to_numpy()
-        pairs = list(_forest(len(ids), _WeightedSets(list(group["hashes"]), list(group["weights"])).near))
-        if pairs:
-            a, b = np.array(pairs).T
-            yield pd.DataFrame({"a": ids[a], "b": ids[b]})
-
-
-def _block_pairs(rows, bucket, blocks):
-    """Rows, cut into blocks by a hash of row_id, once for each pair of blocks they are in."""
-    own = F.pmod(F.xxhash64("row_id"), F.col(blocks)).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col(blocks).cast("int") - 1))
-    placed = rows.withColumn("own", own).withColumn("other", other)
-    placed = placed.withColumns({"bucket": F.col(bucket), "low": F.least("own", "other"), "high": F.greatest("own", "other")})
+def _together(rows, sets):
+    """Rows (bucket, low, high, row_id, ..) with their columns of `sets`, each group in one task.
+
+    Block numbers are part of the key, so the groups of a large bucket go to different tasks; in order of
+    row_id, so that the hub comes first and the buckets of a class mostly name the same row.
+    """
     keys = ["bucket", "low", "high"]
-    # block numbers are part of the key, so the pairs of a large bucket go to different tasks; in order of
-    # row_id, so that the buckets of a class mostly name the same row as the root of their pairs
-    return placed.drop("own", "other", blocks).repartition(*keys).sortWithinPartitions(*keys, "row_id")
+    return rows.join(sets, "row_id").repartition(*keys).sortWithinPartitions(*keys, "row_id")
+
+
+def _linked(placed, sets, nearness, label):
+    """Components (node, label) of the rows (bucket, row_id, n, blocks) that are near in a bucket."""
+    link = lambda rows: _together(rows, sets).mapInPandas(_connected(nearness), "a long, b long")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    block = lambda n: F.pmod(F.xxhash64("row_id"), F.col(n)).cast("int")
+    placed = placed.withColumn("own", block("blocks"))
+    many = placed.where("blocks > 1")
+    hubs = written(many.groupBy("bucket", "n", "blocks").agg(F.min("row_id").alias("row_id")), f"{label}-hubs")
+    in_block = lambda rows: rows.select("bucket", F.col("own").alias("low"), F.lit(0).alias("high"), "row_id")
+    guests = hubs.withColumns({"home": block("blocks"), "own": numbers("blocks")}).where("own <> home")
+    found = components(link(in_block(placed).unionByName(in_block(guests))), f"{label}-blocks")
+    if hubs.isEmpty():
+        return found
+
+    named = lambda rows: rows.join(found.withColumnRenamed("node", "row_id"), "row_id", "left").withColumn(
+        "label", F.coalesce("label", "row_id"))
+    reached = written(named(hubs).select("bucket", F.col("label").alias("hub")), f"{label}-reached")
+    held = written(named(many).join(reached, "bucket").withColumn("apart", F.col("label") != F.col("hub")), f"{label}-held")
+    left = written(held.where("apart").groupBy("bucket").agg(
+        F.ceil(F.count("*") * F.first("blocks") / F.first("n")).alias("parts")), f"{label}-left")
+    if left.isEmpty():
+        return found
+    held = held.join(left, "bucket")
+    columns = ["bucket", "low", "high", "row_id", "label", "apart"]
+    theirs = held.where("apart").withColumns({"low": block("parts"), "high": numbers("blocks")}).select(*columns)
+    all_of_them = held.withColumns({"low": numbers("parts"), "high": F.col("own")})
+    # those apart are in the groups of their part already
+    others = all_of_them.where(~F.col("apart") | (F.col("low") != block("parts"))).withColumn("apart", F.lit(False)).select(*columns)
+    more = link(theirs.unionByName(others))
+    return components(more.unionByName(found.toDF("a", "b").where("a <> b")), label)
 
 
 def near_classes(docs, id_col="doc_id", text_col="text"):
@@ -279,18 +329,16 @@ def near_classes(docs, id_col="doc_id", text_col="text"):
 
     buckets = sketches.select("row_id", "bands").join(reps, "row_id", "left_semi").select("row_id", F.explode("bands").alias("band"))
     sizes = written(buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
-    met = written(buckets.join(sizes, "band"), "met")
-    blocks = F.ceil(F.col("n") / BLOCK_TEXTS)
-    signed = met.join(sketches.select("row_id", "signature"), "row_id").withColumn("blocks", blocks)
-    pairs = _block_pairs(signed.select("band", "row_id", "signature", "blocks"), "band", "blocks")
-    clusters = components(pairs.mapInPandas(_agreeing, "a long, b long"), "agreeing")
-
-    full = clusters.join(sketches.select("row_id", "hashes", "weights", "size"), F.col("node") == F.col("row_id")).drop("node")
-    sizes = written(clusters.join(sketches.select("row_id", "size"), F.col("node") == F.col("row_id")).groupBy("label").agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks")
-    ), "cluster-sizes")
-    full = full.join(sizes, "label").select("label", "row_id", "hashes", "weights", "blocks")
-    links = components(_block_pairs(full, "label", "blocks").mapInPandas(_linked, "a long, b long"), "linked")
+    met = written(buckets.join(sizes, "band").select(
+        F.col("band").alias("bucket"), "row_id", "n", F.ceil(F.col("n") / BLOCK_TEXTS).alias("blocks")), "met")
+    clusters = _linked(met, sketches.select("row_id", "signature"), _agreement, "agreeing")
+
+    sized = clusters.join(sketches.select(F.col("row_id").alias("node"), "size"), "node")
+    sizes = written(sized.groupBy("label").agg(F.count("*").alias("n"), F.greatest(
+        F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks")), "cluster-sizes")
+    placed = written(clusters.join(sizes, "label").select(
+        F.col("label").alias("bucket"), F.col("node").alias("row_id"), "n", "blocks"), "clustered")
+    links = _linked(placed, sketches.select("row_id", "hashes", "weights"), _likeness, "linked")
 
     classed = rows.join(links.withColumnRenamed("node", "rep"), "rep", "left").select(
         "row_id", "id", "text_key", F.coalesce("label", "rep").alias("label")

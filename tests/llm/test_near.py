@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyline.llm import near_dedup
 from tallyline.llm.common import components
@@ -67,6 +68,45 @@ def test_classes_are_those_of_all_pairs(spark, monkeypatch, block):
     assert got == {rows[i][0]: v for i, v in want.items()}
 
 
+def test_texts_apart_from_the_hub_meet_all_blocks(spark):
+    draw = random.Random(3)
+    near = {frozenset(p) for p in ((draw.randrange(60), draw.randrange(60)) for _ in range(45)) if len(set(p)) == 2}
+    near |= {frozenset((0, n)) for n in range(1, 30)}
+    sets = spark.createDataFrame([(n, n) for n in range(60)], "row_id long, me long")
+
+    def nearness(group):
+        me = group["me"].tolist()
+        return lambda i, rest: np.array([frozenset((me[i], me[j])) in near for j in rest])
+
+    for blocks in (1, 4, 13):
+        # rows 50 and up are also in a bucket of their own
+        placed = sets.select(F.lit(7).alias("bucket"), "row_id", F.lit(60).alias("n"), F.lit(blocks).alias("blocks")).union(
+            sets.where("me >= 50").selectExpr("9", "row_id", "10", "1"))
+        got = near_dedup._linked(placed, sets, nearness, "test").collect()
+        want = {n: n for n in range(60)}
+        for _ in range(60):
+            for a, b in map(tuple, near):
+                want[a] = want[b] = min(want[a], want[b])
+        assert {r.node: r.label for r in got} == {n: label for n, label in want.items() if any(n in p for p in near)}
+        assert len({label for label in want.values()}) > 2
+
+
+def test_a_comparison_in_blocks_takes_a_row_for_each_text_where_one_links_all(spark, monkeypatch):
+    met = []
+    together = near_dedup._together
+
+    def counted(rows, sets):
+        met.append(rows.count())
+        return together(rows, sets)
+
+    monkeypatch.setattr(near_dedup, "_together", counted)
+    sets = spark.range(2000).withColumnRenamed("id", "row_id")
+    placed = sets.select(F.lit(1).alias("bucket"), "row_id", F.lit(2000).alias("n"), F.lit(40).alias("blocks"))
+    found = near_dedup._linked(placed, sets, lambda group: lambda i, rest: np.ones(len(rest), bool), "test")
+    assert found.where("label = 0").count() == 2000
+    assert met == [2000 + 39]
+
+
 def test_nulls_short_texts_ties_and_repeats(spark):
     long = " ".join(f"w{n}" for n in range(40_000))
     rows = [(1, None), (2, ""), (3, "!!!"), (4, "???"), (5, "!!!"), (6, "one two"), (7, "One, two!"), (8, "one"), (8, "one"),
