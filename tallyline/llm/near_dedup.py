@@ -269,29 +269,34 @@ class _WeightedSets:
         return shared >= (THRESHOLD - 1e-6) * (self.totals[i] + self.totals[rest] - shared)
 
 
-def _together(rows, sets):
-    """Rows (bucket, low, high, row_id, ..) with their columns of `sets`, each group in one task.
+def _together(rows, sets, places):
+    """A row of `rows` (bucket, row_id, ..) with its columns of `sets` for each of its `places`, each group in one task.
 
-    Block numbers are part of the key, so the groups of a large bucket go to different tasks; in order of
-    row_id, so that the hub comes first and the buckets of a class mostly name the same row.
+    `rows` is a written table and its rows are multiplied after the join, so that Spark knows its size and
+    need not shuffle the sets where few rows are left. Block numbers are part of the key, so the groups of a
+    large bucket go to different tasks; in order of row_id, so that the hub comes first and the buckets of a
+    class mostly name the same row.
     """
     keys = ["bucket", "low", "high"]
-    return rows.join(sets, "row_id").repartition(*keys).sortWithinPartitions(*keys, "row_id")
+    placed = rows.join(sets, "row_id").withColumn("place", F.explode(places))
+    own = [c for c in ("label",) if c in rows.columns] + [c for c in sets.columns if c != "row_id"]
+    return placed.select("bucket", "place.*", "row_id", *own).repartition(*keys).sortWithinPartitions(*keys, "row_id")
 
 
 def _linked(placed, sets, nearness, label):
-    """Components (node, label) of the rows (bucket, row_id, n, blocks) that are near in a bucket."""
-    link = lambda rows: _together(rows, sets).mapInPandas(_connected(nearness), "a long, b long")
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    """Components (node, label) of the rows of a written table (bucket, row_id, n, blocks) that are near in a bucket."""
+    link = lambda rows, places: _together(rows, sets, places).mapInPandas(_connected(nearness), "a long, b long")
+    numbers = lambda n: F.sequence(F.lit(0), F.col(n).cast("int") - 1)
     block = lambda n: F.pmod(F.xxhash64("row_id"), F.col(n)).cast("int")
-    placed = placed.withColumn("own", block("blocks"))
     many = placed.where("blocks > 1")
     hubs = written(many.groupBy("bucket", "n", "blocks").agg(F.min("row_id").alias("row_id")), f"{label}-hubs")
-    in_block = lambda rows: rows.select("bucket", F.col("own").alias("low"), F.lit(0).alias("high"), "row_id")
-    guests = hubs.withColumns({"home": block("blocks"), "own": numbers("blocks")}).where("own <> home")
-    found = components(link(in_block(placed).unionByName(in_block(guests))), f"{label}-blocks")
     if hubs.isEmpty():
-        return found
+        one = F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("high")))
+        return components(link(placed, one), label)
+    at = placed.join(hubs.select("bucket", "row_id", F.lit(True).alias("hub")), ["bucket", "row_id"], "left")
+    blocks = F.when(F.col("hub"), numbers("blocks")).otherwise(F.array(block("blocks")))
+    in_blocks = F.transform(blocks, lambda i: F.struct(i.alias("low"), F.lit(0).alias("high")))
+    found = components(link(written(at, f"{label}-placed"), in_blocks), f"{label}-blocks")
 
     named = lambda rows: rows.join(found.withColumnRenamed("node", "row_id"), "row_id", "left").withColumn(
         "label", F.coalesce("label", "row_id"))
@@ -301,13 +306,14 @@ def _linked(placed, sets, nearness, label):
         F.ceil(F.count("*") * F.first("blocks") / F.first("n")).alias("parts")), f"{label}-left")
     if left.isEmpty():
         return found
-    held = held.join(left, "bucket")
-    columns = ["bucket", "low", "high", "row_id", "label", "apart"]
-    theirs = held.where("apart").withColumns({"low": block("parts"), "high": numbers("blocks")}).select(*columns)
-    all_of_them = held.withColumns({"low": numbers("parts"), "high": F.col("own")})
-    # those apart are in the groups of their part already
-    others = all_of_them.where(~F.col("apart") | (F.col("low") != block("parts"))).withColumn("apart", F.lit(False)).select(*columns)
-    more = link(theirs.unionByName(others))
+    held = written(held.join(left, "bucket").select(
+        "bucket", "row_id", "blocks", "label", F.col("apart").alias("is_apart"), "parts"), f"{label}-apart")
+    place = lambda low, high, apart: F.struct(low.alias("low"), high.alias("high"), F.lit(apart).alias("apart"))
+    # a row that is apart meets every block in its part; in its block, every row meets all parts but its own
+    every = F.when(F.col("is_apart"), numbers("blocks")).otherwise(F.array().cast("array<int>"))
+    other = F.filter(numbers("parts"), lambda i: ~F.col("is_apart") | (i != block("parts")))
+    more = link(held, F.concat(
+        F.transform(every, lambda j: place(block("parts"), j, True)), F.transform(other, lambda i: place(i, block("blocks"), False))))
     return components(more.unionByName(found.toDF("a", "b").where("a <> b")), label)
 
 

@@ -95,9 +95,10 @@ def test_a_comparison_in_blocks_takes_a_row_for_each_text_where_one_links_all(sp
     met = []
     together = near_dedup._together
 
-    def counted(rows, sets):
-        met.append(rows.count())
-        return together(rows, sets)
+    def counted(rows, sets, places):
+        out = together(rows, sets, places)
+        met.append(out.count())
+        return out
 
     monkeypatch.setattr(near_dedup, "_together", counted)
     sets = spark.range(2000).withColumnRenamed("id", "row_id")
