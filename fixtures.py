@@ -80,12 +80,15 @@ METRICS = {
 
 
 def metric_data(spark, sf_dir, metric="priority"):
-    """Source 1 counts orders, source 2 those that have a line."""
+    """Source 1 counts orders, source 2 those that have a line.
+
+    The lines are not broadcast: their one column is small in its file, and all of it in the driver's memory.
+    """
     by = [METRICS[metric]().alias("MetricId"), _month(F.col("o_orderdate")).cast("string").alias("BatchId")]
     orders = read(spark, sf_dir, "orders")
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey")
     ordered = orders.groupBy(*by).agg(F.count("*").alias("MetricValue"))
-    shipped = orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    shipped = orders.join(lines.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
     shipped = shipped.groupBy(*by).agg(F.count("*").alias("MetricValue"))
 
     def rows(df, source):
@@ -125,13 +128,16 @@ def metric_comparision_map(spark, sf_dir, metric="priority"):
 
 
 def metric_batch_tracker(spark, sf_dir, metric="priority"):
-    """Every map with the batches of its metric, and with one batch that has no metric rows."""
+    """Every map with the batches of its metric, and with one batch that has no metric rows.
+
+    Neither side is broadcast, as both grow with the orders.
+    """
     orders = read(spark, sf_dir, "orders").withColumn("MetricId", METRICS[metric]())
     months = orders.select("MetricId", _month(F.col("o_orderdate")).cast("string").alias("BatchId"))
     empty = orders.select("MetricId", F.lit("209901").alias("BatchId"))
     batches = months.union(empty).distinct()
     map_id = F.col("MetricComparisionMapId")
-    return metric_comparision_map(spark, sf_dir, metric).join(batches, "MetricId").select(
+    return metric_comparision_map(spark, sf_dir, metric).join(batches.hint("merge"), "MetricId").select(
         "MetricComparisionMapId", "BatchId",
         F.when((map_id + F.col("BatchId").cast("int")) % 4 == 0, "Done").otherwise("New")
             .alias("MetricComparisionStatus"),

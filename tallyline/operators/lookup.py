@@ -20,18 +20,24 @@ def latest_per_key(df, keys):
     return best.select(*[F.col(c) if c in keys else F.col(f"_best.{c}").alias(c) for c in df.columns])
 
 
-def join_definitions(df, definitions, on, how="inner", salts=SALTS):
+def join_definitions(df, definitions, on, how="inner", salts=SALTS, growing=False):
     """Join many rows, a few keys of which may hold most of them, with one definition per key.
 
     Spark broadcasts the definitions when their size is below its threshold. Beyond it both sides
     are shuffled by key and salt: the rows of a key are spread by their content, and AQE can split
     what is left, as neither side brings a partitioning of its own. The salt depends on the row
     alone, so a task that runs again sends its rows the same way.
+
+    Spark estimates a size from compressed files, which their rows may exceed many times. `growing`
+    definitions, whose number follows the data, are therefore shuffled at any size: the driver, which
+    gathers what is broadcast, never holds them.
     """
     rows = df.withColumn(SALT, F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
     spread = definitions.withColumn(
         SALT, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
     )
+    if growing:
+        spread = spread.hint("merge")
     return rows.join(spread, [*on, SALT], how).drop(SALT)
 
 

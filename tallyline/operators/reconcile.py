@@ -112,7 +112,7 @@ def recon_by_batch(maps, definitions, tracker, metric_data, map_ids=None, on_mis
         tracked = tracked.where(F.col(MAP_ID).isin(id_list(map_ids)))
     definitions = latest_per_key(definitions.select(*DEFINITION_COLUMNS), ["ComparisionId"])
     mapped = join_definitions(_maps(maps, map_ids), definitions, ["ComparisionId"])
-    compared = join_definitions(tracked.select(MAP_ID, "BatchId").distinct(), mapped, [MAP_ID])
+    compared = join_definitions(tracked.select(MAP_ID, "BatchId").distinct(), mapped, [MAP_ID], growing=True)
     systems = mapped.select("MetricId", F.explode(F.array("SourceId", "TargetId")).alias("SourceId"))
     metric_data = _of_systems(metric_data, systems, map_ids)
 
@@ -127,8 +127,9 @@ def recon_by_batch(maps, definitions, tracker, metric_data, map_ids=None, on_mis
             "MetricId", "BatchId", F.col("system").alias(system), F.struct("system", "version", "value").alias(name)
         )
 
-    matched = join_definitions(compared, side("s", "SourceId"), ["MetricId", "BatchId", "SourceId"], "left")
-    matched = join_definitions(matched, side("t", "TargetId"), ["MetricId", "BatchId", "TargetId"], "left")
+    by = ["MetricId", "BatchId"]
+    matched = join_definitions(compared, side("s", "SourceId"), [*by, "SourceId"], "left", growing=True)
+    matched = join_definitions(matched, side("t", "TargetId"), [*by, "TargetId"], "left", growing=True)
     matched = matched.withColumn("t", F.when(F.col("TargetId") != F.col("SourceId"), F.col("t")))
     found = F.col("s").isNotNull() | F.col("t").isNotNull()
     if on_missing == "skip":

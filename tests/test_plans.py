@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+import fixtures as fx
 from tallyline.operators import capture, changelog, reconcile, upsert
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -172,6 +173,31 @@ def test_a_hot_metric_is_split_in_reconciliation(spark, crowded, tmp_path, per_b
     assert found.count() == 30_000
 
 
+def test_batch_reconciliation_broadcasts_only_definitions(spark, tmp_path):
+    """Small files may hold many rows, so nothing that grows with the data goes through the driver."""
+    path = str(tmp_path)
+    orders = spark.range(200).select(
+        F.col("id").alias("o_orderkey"), (F.col("id") % 20).alias("o_custkey"),
+        F.timestamp_seconds(F.col("id") % 3 * 3_000_000).alias("o_orderdate"),
+    )
+    orders.write.parquet(f"{path}/orders.parquet")
+    lines = orders.where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("l_orderkey"))
+    lines.union(lines).write.parquet(f"{path}/lineitem.parquet")
+    made = {
+        "maps": fx.metric_comparision_map(spark, path, "customer"), "data": fx.metric_data(spark, path, "customer"),
+        "tracker": fx.metric_batch_tracker(spark, path, "customer"),
+    }
+    for name, rows in made.items():
+        assert "BroadcastHashJoin" not in ran(rows)
+        rows.write.parquet(f"{path}/{name}")
+    maps, data, tracker = (spark.read.parquet(f"{path}/{name}") for name in made)
+    found = reconcile.recon_by_batch(maps, fx.comparision_definition(spark), tracker, data)
+    joins = re.findall(r"BroadcastHashJoin \[(\w+)#", ran(found))
+    assert set(joins) <= {"ComparisionId"}
+    assert data.agg(F.sum("MetricValue")).first()[0] == 200 + 171
+    assert found.count() == tracker.where("MetricComparisionStatus = 'New'").count()
+
+
 @pytest.mark.parametrize("name", sorted(entry.CORE))
 def test_no_pair_joins_and_no_python_rows(spark, name):
     plan = entry.queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
